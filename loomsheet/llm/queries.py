@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_bpe, queries_media, queries_quality, queries_spans
+from . import queries_bpe, queries_jaccard, queries_media, queries_quality, queries_spans
 
-MODULES = (queries_spans, queries_bpe, queries_media, queries_quality)
+MODULES = (queries_spans, queries_jaccard, queries_bpe, queries_media, queries_quality)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: sql for m in MODULES for k, sql in getattr(m, "ORACLE_SQL", {}).items()}
