@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ROW_ID = "row_id"
-BUCKETS = 64
+FEWEST, MOST, STEP = 64, 4096, 64
 
 
 def _running(counts: DataFrame, order: list[str]) -> DataFrame:
@@ -35,16 +35,21 @@ def with_file_row_id(read: DataFrame, row_index: bool, name: str = ROW_ID, offse
 def number_rows(df: DataFrame, order_by: list[str], name: str = ROW_ID, descending: bool = False) -> DataFrame:
     """Adds a dense number from 0 in the given order, nulls last.
 
-    Bounds drawn from the data, at most ``BUCKETS`` of them, cut the order into ranges; a row's
-    number is the rows of earlier ranges plus its place in its own. Equal keys keep to one range.
+    Bounds drawn from the data, about as many as there are shuffle partitions, cut the order into
+    ranges; a row's number is the rows of earlier ranges plus its place in its own. Equal keys keep
+    to one range. A row finds its range in two steps, among every ``STEP``-th bound and then between.
     """
     order = [F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_last() for c in order_by]
     key = F.struct(*[x for c in order_by for x in (F.col(c).isNull(), F.col(c))])
+    n = min(MOST, max(FEWEST, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     keyed = df.withColumn("__k", key)
-    drawn = keyed.select("__k").distinct().orderBy(F.xxhash64(F.to_json("__k")), "__k").limit(BUCKETS)
+    drawn = keyed.select("__k").distinct().orderBy(F.xxhash64(F.to_json("__k")), "__k").limit(n)
     bounds = drawn.agg(F.array_sort(F.collect_list("__k")).alias("__bounds"))
-    low = F.size(F.filter("__bounds", lambda b: b <= F.col("__k")))
-    bucketed = keyed.crossJoin(F.broadcast(bounds)).withColumn("__bucket", -low if descending else low).drop("__bounds", "__k")
+    bounds = bounds.select("__bounds", F.filter("__bounds", lambda b, i: i % STEP == 0).alias("__coarse"))  # n keys at most
+    upto = lambda a: F.size(F.filter(a, lambda b: b <= F.col("__k")))
+    found = keyed.crossJoin(F.broadcast(bounds)).withColumn("__c", F.greatest(upto("__coarse") - 1, F.lit(0)))
+    low = F.col("__c") * STEP + upto(F.slice("__bounds", F.col("__c") * STEP + 1, F.lit(STEP)))
+    bucketed = found.withColumn("__bucket", -low if descending else low).drop("__bounds", "__coarse", "__c", "__k")
     starts = _running(bucketed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("many")), ["__bucket"]).select("__bucket", "start")
     place = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order))
     out = bucketed.withColumn("__place", place).join(F.broadcast(starts), "__bucket")  # a row for each bucket

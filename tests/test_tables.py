@@ -28,6 +28,16 @@ def test_numbers_follow_an_order(spark, parts):
     assert [(r["g"], r["k"]) for r in down] == sorted(((r["g"], r["k"]) for r in down), reverse=True) and [r["row_id"] for r in down] == list(range(5000))
 
 
+def test_numbers_with_more_ranges_than_a_step(spark):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        df = spark.range(3000).select((F.col("id") * 7919 % 3000).alias("k"))
+        assert [r["k"] for r in rowid.number_rows(df, ["k"]).orderBy("row_id").collect()] == list(range(3000))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def test_numbers_with_nulls_ties_and_nothing(spark):
     df = spark.createDataFrame([(None,), (2,), (1,), (1,), (None,)], "k long")
     assert [r["k"] for r in rowid.number_rows(df, ["k"]).orderBy("row_id").collect()] == [1, 1, 2, None, None]
