@@ -51,7 +51,8 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)/?>|[^<]+|<",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_CAMEL = re.compile(r"([a-z])([A-Z])")
 _NUMBER = re.compile(r"[0-9]+")
 
 
@@ -62,6 +63,8 @@ class Element:
         found = {m[0].lower(): (m[1] or m[2] or m[3]) for m in _ATTRIBUTE.findall(attributes)} if attributes else {}
         classes = found.get("class", "")
         names = f"{classes} {found.get('id', '')}"
+        if names != names.lower():
+            names = f"{names} {_CAMEL.sub(r'\1-\2', names)}"  # sideBar is sideBar and side-Bar
         self.tag = tag
         self.name = ".".join([tag, *sorted(_NUMBER.sub("#", classes).split())])
         self.path = f"{parent.path}>{self.name}" if parent else self.name

@@ -40,6 +40,12 @@ def test_odd_pages_do_not_fail(page):
     text_of(page)
 
 
+def test_attributes_are_read_by_name():
+    kept = '<div style="overflow:hidden" data-id="ad" aria-hidden="false" class=content><p>stays</p></div>'
+    gone = '<div class="userComments"><p>goes</p></div><div hidden><p>goes</p></div><div id="sideBar"><p>goes</p></div><div role=navigation>goes</div>'
+    assert text_of(f"<body>{kept}{gone}</body>", "#page>body") == "stays"
+
+
 def test_odd_texts():
     assert text_of("plain  words\n here") == "plain words here" and text_of("a < b") == "a < b" and text_of("<p>&#x41;b&eacute;") == "Abé"
 
