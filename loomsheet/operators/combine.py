@@ -92,6 +92,13 @@ def merge(tables: list[DataFrame], on: list[str]) -> DataFrame:
     return reduce(pair, tables)
 
 
+def combine_and_save(combined: DataFrame, path: str, format: str = "parquet", overwrite: bool = False) -> dict:  # noqa: A002
+    """Writes a concat, join or merge as a new table; says what was written."""
+    from ..sources.sinks import save_as
+
+    return save_as(combined, path, format, overwrite=overwrite)
+
+
 def preview(combined: DataFrame, limit: int = 100) -> DataFrame:
     return combined.limit(limit)
 

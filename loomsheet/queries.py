@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from .operators import combine, columns, edits, enrich, predicates, profile, reshape, rows, search, text, versions
 from .plans.pipeline import run_pipeline
+from .sources import sinks
+from .sources.load import load
 from .sources.rowid import number_rows, with_file_row_id
+from .sources.shared import scratch
 from .streaming.guard import windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +91,87 @@ def _(orders):
     )
 
 
+# --- formats written and read again (O-02 to O-08, O-13 to O-18, O-45, O-68a)
+_PLAIN = "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders"
+
+
+def _plain(orders):
+    return orders.select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+
+
+for _name, (_format, _codec) in {
+    "o04_csv": ("csv", None), "o04_tsv": ("tsv", None), "o06_json_lines": ("jsonl", None), "o07_gzipped_json_lines": ("jsonl", "gzip"), "o08_orc": ("orc", None), "o13_parquet_zstd": ("parquet", "zstd"), "o16_gzipped_csv": ("csv", "gzip"),
+}.items():
+
+    def _round_trip(orders, name=_name, fmt=_format, codec=_codec):
+        path = scratch(orders.sparkSession, name)
+        sinks.write(_plain(orders), path, fmt, codec)
+        return load(orders.sparkSession, path, fmt).select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+
+    query(_name, "orders", _PLAIN)(_round_trip)
+
+
+@query("o05_json_array", "nation", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def _(nation):
+    path = scratch(nation.sparkSession, "json")
+    whole = nation.select(F.to_json(F.struct("n_nationkey", "n_name", "n_regionkey")).alias("j")).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("j"), ",\n"), F.lit("]")).alias("value"))  # 25 nations
+    whole.coalesce(1).write.text(path)
+    return load(nation.sparkSession, path, "json").select("n_nationkey", "n_name", "n_regionkey")
+
+
+@query("o14_export", "orders", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 150000")
+def _(orders):
+    path = scratch(orders.sparkSession, "export")
+    sinks.export(orders, path, "parquet", ["o_orderkey", "o_totalprice"], [{"column": "o_totalprice", "operator": "gte", "value": 150000}])
+    return load(orders.sparkSession, path, "parquet")
+
+
+@query("o15_partitioned_export", "orders", "SELECT o_orderstatus, count(*) AS count FROM orders GROUP BY 1")
+def _(orders):
+    path = scratch(orders.sparkSession, "parts")
+    sinks.export(orders, path, "parquet", partition_by=["o_orderstatus"])
+    return reshape.group_aggregate(load(orders.sparkSession, path, "parquet"), ["o_orderstatus"], "count")
+
+
+@query("o18_save_as", "customer", "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING'")
+def _(customer):
+    path = scratch(customer.sparkSession, "saved")
+    sinks.save_as(customer, path, filters=[{"column": "c_mktsegment", "operator": "eq", "value": "BUILDING"}])
+    return load(customer.sparkSession, path, "parquet").select("c_custkey", "c_name")
+
+
+@query("o19_separate_files", "orders", "SELECT o_orderkey, replace(o_orderpriority, '/', '_') AS part FROM orders")
+def _(orders):
+    path = scratch(orders.sparkSession, "separate")
+    combine.separate(orders.select("o_orderkey", "o_orderpriority"), "o_orderpriority", path)
+    return load(orders.sparkSession, path, "parquet").select("o_orderkey", F.col("part").cast("string").alias("part"))
+
+
+@query("o45_combine_and_save", "orders customer", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+def _(orders, customer):
+    path = scratch(orders.sparkSession, "combined")
+    combine.combine_and_save(combine.join(orders.select("o_orderkey", "o_custkey"), customer.select("c_custkey", "c_name"), ["o_custkey"], ["c_custkey"]), path)
+    return load(orders.sparkSession, path, "parquet").select("o_orderkey", "c_name")
+
+
+def _versioned(part) -> versions.Versions:
+    held = versions.Versions(part.sparkSession, scratch(part.sparkSession, "versions"))
+    held.init(number_rows(part.select("p_partkey", "p_size"), ["p_partkey"]))
+    held.commit([{"op": "delete", "row_id": 3}, {"op": "update", "row_id": 5, "values": {"p_size": 99}}], "first edit")
+    held.commit([{"op": "replace", "column": "p_size", "find": 10, "replace": 11}], "second edit")
+    return held
+
+
+@query("o68a_commit_newest", "part", "SELECT p_partkey, CASE WHEN i = 5 THEN 99 WHEN p_size = 10 THEN 11 ELSE p_size END AS p_size FROM (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS i FROM part) WHERE i <> 3")
+def _(part):
+    return _versioned(part).checkout().select("p_partkey", "p_size")
+
+
+@query("o68a_checkout_first", "part", "SELECT p_partkey, p_size FROM part")
+def _(part):
+    return _versioned(part).checkout(0).select("p_partkey", "p_size")
+
+
 # --- predicates (O-20 to O-25) through filter_rows (O-27)
 _PREDICATES = {
     "o20_eq": ("orders", "o_orderkey", "o_orderstatus", "eq", "F", "o_orderstatus = 'F'"),
