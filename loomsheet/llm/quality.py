@@ -4,7 +4,8 @@ Two zstandard dictionaries are built from labelled text, one of each class, and
 shapes of the same texts (letters folded to one of two marks, digits to one), where junk layout
 shows whatever the words are. A text is compressed in pieces of ``PIECE`` bytes, so that the dictionaries bear
 on all of it; the difference of the compressed sizes over their sum is the normalised difference.
-A logistic fit on the labels turns the differences and the ratio of size into a calibrated score.
+A logistic fit on the labels turns the differences and the ratio of size into a calibrated score. The
+sample has as many texts of each class where it can, so the score is calibrated for even classes.
 
 Defined results: null and empty texts get the score that the fit gives to no bytes (differences 0);
 without labels of both classes every score is 0.5; repeated rows repeat their score; extra columns

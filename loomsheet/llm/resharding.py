@@ -12,9 +12,9 @@ kind for each new shard, which bounds what the driver sees. Places on the axis a
 start, from a table of block sums, and of the rows before it in its block, so that no task sorts a
 whole shard.
 
-Defined results: a null text has no bytes and a size of 16; equal rows may be parted; a null source
-is an old shard like any other; an empty table gives no rows; extra columns are dropped by ``plan``
-and kept by ``rewrite``.
+Defined results: a null text has no bytes and a size of 16; equal rows may be parted; rows without an
+old shard count to shard 0; rows without a doc_id are placed like others; an empty table gives no
+rows; extra columns are dropped by ``plan`` and kept by ``rewrite``, but for one named shard.
 """
 
 from __future__ import annotations
@@ -110,7 +110,7 @@ def capacities(loads: list[int], rest: int) -> list[int]:
 def sized(docs: DataFrame, old) -> DataFrame:
     """doc_id, size, text_crc32 and the old shard of each row; written once, without the texts."""
     data = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "utf-8")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(data) + OVERHEAD).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), old.cast("int").alias("old"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(data) + OVERHEAD).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.coalesce(old.cast("int"), F.lit(0)).alias("old"))
     return written(rows, "sizes")
 
 
@@ -188,7 +188,7 @@ def rewrite(docs: DataFrame, planned: DataFrame, path: str) -> list[int]:
     """Writes anew, as ``path/shard=j``, the shards that gain or lose rows; returns them. ``docs`` has unique doc_ids."""
     changed = planned.where("old <> shard")
     affected = sorted(r[0] for r in changed.select("shard").union(changed.select("old")).distinct().collect())  # shards, not rows
-    rows = docs.join(planned.where(F.col("shard").isin(affected)).select("doc_id", "shard"), "doc_id")
+    rows = docs.drop("shard").join(planned.where(F.col("shard").isin(affected)).select("doc_id", "shard"), "doc_id")
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
     return affected
 

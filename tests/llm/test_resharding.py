@@ -84,8 +84,14 @@ def test_small_odd_tables(spark):
     assert resharding.with_slots(resharding.plan(resharding.sized(docs.where("false"), F.col("part")), 7, 2)).count() == 0
 
 
+def test_nulls_in_any_column(spark):
+    docs = spark.createDataFrame([(None, "x" * (i % 5), None) for i in range(40)] + [(i, None, 1) for i in range(40)] + [(None, "y" * 900, 1)] * 3, "doc_id long, text string, part int")
+    got = resharding.with_slots(resharding.plan(resharding.sized(docs, F.col("part")), 4, 2)).collect()
+    assert len(got) == 83 and sorted(r["slot"] for r in got if r["shard"] == 0) == list(range(sum(r["shard"] == 0 for r in got)))
+
+
 def test_rewrite_touches_affected_shards_only(spark, tmp_path):
-    docs = spark.createDataFrame([(i, "x" * 50, i % 3) for i in range(90)] + [(100 + i, "x" * 50, 0) for i in range(40)], "doc_id long, text string, part int")
+    docs = spark.createDataFrame([(i, "x" * 50, i % 3, 0) for i in range(90)] + [(100 + i, "x" * 50, 0, 0) for i in range(40)], "doc_id long, text string, part int, shard int")
     planned = resharding.plan(resharding.sized(docs, F.col("part")), 4, 3)
     path = str(tmp_path / "out")
     affected = resharding.rewrite(docs, planned, path)
