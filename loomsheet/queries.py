@@ -106,7 +106,7 @@ for _name, (_format, _codec) in {
     def _round_trip(orders, name=_name, fmt=_format, codec=_codec):
         path = scratch(orders.sparkSession, name)
         sinks.write(_plain(orders), path, fmt, codec)
-        return load(orders.sparkSession, path, fmt).select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+        return load(orders.sparkSession, path, fmt).select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "o_orderstatus", "o_totalprice", "o_orderpriority")
 
     query(_name, "orders", _PLAIN)(_round_trip)
 
@@ -116,7 +116,7 @@ def _(nation):
     path = scratch(nation.sparkSession, "json")
     whole = nation.select(F.to_json(F.struct("n_nationkey", "n_name", "n_regionkey")).alias("j")).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("j"), ",\n"), F.lit("]")).alias("value"))  # 25 nations
     whole.coalesce(1).write.text(path)
-    return load(nation.sparkSession, path, "json").select("n_nationkey", "n_name", "n_regionkey")
+    return load(nation.sparkSession, path, "json").select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("int").alias("n_regionkey"))
 
 
 @query("o14_export", "orders", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 150000")
