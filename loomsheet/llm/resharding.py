@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 FINE = 64
-ROWS_A_BLOCK = 20_000
+ROWS_A_BLOCK = 5_000
 OVERHEAD = 16  # bytes that a row takes besides its text
 
 
@@ -117,7 +117,7 @@ def sized(docs: DataFrame, old) -> DataFrame:
 def plan(rows: DataFrame, new_shards: int, n_old: int) -> DataFrame:
     """Adds shard to rows with doc_id, size, text_crc32, old (0 to n_old - 1)."""
     spark = rows.sparkSession
-    total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     limit = max(1, total // (new_shards * FINE))
     key = ["doc_id", "text_crc32", "size"]
     large = rows.where(F.col("size") > limit)
@@ -131,9 +131,9 @@ def plan(rows: DataFrame, new_shards: int, n_old: int) -> DataFrame:
             loads[j] += r["size"]
             placed.append((r["old"], r["doc_id"], r["text_crc32"], r["size"], copy + 1, j))
     small = rows.where(F.col("size") <= limit)
-    supply = [0] * n_old
-    for r in small.groupBy("old").agg(F.sum("size").alias("size")).collect():
-        supply[r["old"]] = r["size"]
+    supply, blocks = [0] * n_old, [1] * n_old
+    for r in small.groupBy("old").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("many")).collect():
+        supply[r["old"]], blocks[r["old"]] = r["size"], -(-r["many"] // ROWS_A_BLOCK)
     flow = cheapest_flow(supply, capacities(loads, sum(supply)), lambda i, j: int(i != j))
     cuts: dict[int, tuple[list[int], list[int]]] = {}
     for i in range(n_old):
@@ -145,8 +145,8 @@ def plan(rows: DataFrame, new_shards: int, n_old: int) -> DataFrame:
         cuts[i] = ends, to
     table = spark.createDataFrame([(i, ends, to) for i, (ends, to) in cuts.items()], "old int, ends array<long>, targets array<int>")
 
-    blocks = max(1, -(-n // ROWS_A_BLOCK))
-    small = small.withColumn("block", F.pmod(F.xxhash64(*key), F.lit(blocks)))
+    # As many blocks for each old shard as its rows need, so that a hot shard's blocks are no larger.
+    small = small.withColumn("block", F.pmod(F.xxhash64(*key), F.get(F.array(*[F.lit(b) for b in blocks]), F.col("old"))))
     starts = small.groupBy("old", "block").agg(F.sum("size").alias("bytes"))
     starts = starts.select("old", "block", (F.sum("bytes").over(Window.partitionBy("old").orderBy("block")) - F.col("bytes")).alias("start"))
     inside = Window.partitionBy("old", "block").orderBy(*key)
@@ -170,7 +170,8 @@ def plan(rows: DataFrame, new_shards: int, n_old: int) -> DataFrame:
 def with_slots(planned: DataFrame) -> DataFrame:
     """Adds slot: the place of a row in its shard, from 0 without gaps, counted in blocks."""
     planned = written(planned, "plan")
-    blocks = max(1, -(-planned.count() // ROWS_A_BLOCK))
+    n, shards = planned.agg(F.count(F.lit(1)), F.coalesce(F.max("shard"), F.lit(0)) + 1).first()
+    blocks = max(1, -(-n // (shards * ROWS_A_BLOCK)))
     key = ["doc_id", "text_crc32", "size"]
     rows = planned.withColumn("block", F.pmod(F.xxhash64(*key, F.lit(1)), F.lit(blocks)))
     starts = rows.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("many"))
