@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,26 +10,19 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_local_roots: dict[str, str] = {}
+from ..sources.shared import scratch
+
+SHARES = 2**30
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    app = spark.sparkContext.applicationId
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        root = _local_roots.setdefault(app, f"file://{tempfile.mkdtemp(prefix='spark-')}")
-    return root.rstrip("/")
-
-
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """Cuts the lineage: writes ``df`` as Parquet to the shared folder and reads it back."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -81,9 +72,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
     """
     ids = labels.where(learnable() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label")).distinct()
     key = F.xxhash64(F.col("doc_id"), F.lit(7))
+    many = {r["label"]: r["n"] for r in ids.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     picked = None
     for value in (0, 1):
-        part = ids.where(F.col("label") == value).orderBy(key, "doc_id").limit(most // 2)
+        # A share of the hashes that holds four times what is wanted, so that no task sorts more.
+        low = F.pmod(key, F.lit(SHARES)) < min(SHARES, -(-4 * (most // 2) * SHARES // max(1, many.get(value, 1))))
+        part = ids.where((F.col("label") == value) & low).orderBy(F.pmod(key, F.lit(SHARES)), key, "doc_id").limit(most // 2)
         picked = part if picked is None else picked.unionByName(part)
     rows = (
         docs.select("doc_id", text_of().alias("text"))
