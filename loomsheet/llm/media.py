@@ -116,7 +116,7 @@ def _chunks(data: memoryview, at: int, end: int) -> Iterator[tuple[bytes, int, i
         at += 8 + size + size % 2
 
 
-def _scan_start(frame: bytes, known: dict[bytes, int]) -> int:
+def _scan_start(frame: bytes) -> int:
     """Where the scan of a frame begins; its headers must be those that this module writes."""
     if frame.startswith(HEADER):
         return len(HEADER)
@@ -141,10 +141,10 @@ def decode_avi(media: bytes) -> tuple[bytes, np.ndarray]:
             index = bytes(view[at : at + size])
     if movi is None or length is None:
         raise ValueError("a chunk is missing")
-    scans, known = [], {}
+    scans = []
     for _, _, offset, size in struct.iter_unpack("<4sIII", index):
         frame = bytes(view[movi + offset + 8 : movi + offset + 8 + size])
-        scans.append(frame[_scan_start(frame, known) : -2].replace(b"\xff\x00", b"\xff"))
+        scans.append(frame[_scan_start(frame) : -2].replace(b"\xff\x00", b"\xff"))
     five = np.frombuffer(b"".join(scans), np.uint8).reshape(-1, 5)
     wide = np.zeros((len(five), 8), np.uint8)
     wide[:, 3:] = five
