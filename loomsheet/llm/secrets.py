@@ -3,9 +3,12 @@
 Everything is DataFrame functions. Candidates are unbroken runs of token characters of ``RUN``
 characters or more. For each, a window of ``WINDOW`` characters slides along; the counts of its
 characters change by one character in and one out, and so does the sum of c * log2(c), from which
-the window's entropy follows. The limit depends on the run's character class: hexadecimal, digits
-and letters, or the base-64 alphabet. A run is suppressed if it holds no digit, is on the allow-list
-(placeholders, alphabets, paths, addresses of documents), or lies in a span that a format found.
+the window's entropy follows. What spans of a format cut out of a run isn't scanned again; each part
+left of the run is a candidate of its own. Windows that touch something on the allow-list
+(placeholders, alphabets, paths of lower-case words) aren't scored, all others are: the allow-list
+cuts a part into pieces, and a piece without a digit is passed over. The limit depends on the piece's
+character class: hexadecimal, digits and letters, or the base-64 alphabet. A part with a window above
+the limit is a secret as a whole.
 
 Defined results: null and empty texts have no spans; texts are scanned whole, whatever their length;
 repeated rows repeat their spans; extra columns are dropped by ``find`` and kept by ``redact``.
@@ -30,7 +33,9 @@ RUN, WINDOW = 20, 20
 HEX_ALPHABET = "0123456789abcdef"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 LIMITS = {"hex": 3.0, "alnum": 3.6, "base64": 3.7}  # bits a character
-ALLOWED = r"(?i)example|placeholder|changeme|dummy|sample|lorem|x{6,}|0{8,}|1{8,}|0123456|1234567|abcdefg|^[a-z]+(?:[-_/=][a-z]+)*$|^[-_=+/]+$|/[a-z]+/[a-z]+/"
+WORDS = r"(?i:example|placeholder|changeme|dummy|sample|lorem|x{6,}+|0{8,}+|1{8,}+|0123456|1234567|abcdefg)"
+PATH = r"(?:^|(?<=/))[a-z]{2,}+(?:/[a-z]{2,}+(?=/|$))++/?"
+ALLOWED = f"{WORDS}|{PATH}"
 
 
 def _plog(c: Column) -> Column:
@@ -57,12 +62,29 @@ def max_entropy(run: Column, alphabet: str) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.char_length(run)), zero, step, lambda s: s["best"])
 
 
-def is_secret(run: Column) -> Column:
-    """Whether the entropy of a candidate's windows exceeds the limit of its character class."""
-    suspect = run.rlike("[0-9]") & ~run.rlike(ALLOWED)
-    of_hex, of_alnum = run.rlike("^[0-9a-f]+$"), run.rlike("^[A-Za-z0-9]+$")
-    return F.when(~suspect, False).when(of_hex, max_entropy(run, HEX_ALPHABET) >= LIMITS["hex"]).otherwise(
-        max_entropy(run, ALPHABET) >= F.when(of_alnum, LIMITS["alnum"]).otherwise(LIMITS["base64"])
+def _scored(piece: Column) -> Column:
+    """Whether the entropy of a piece's windows exceeds the limit of its character class."""
+    of_hex, of_alnum = piece.rlike("^[0-9a-f]+$"), piece.rlike("^[A-Za-z0-9]+$")
+    return F.when(of_hex, max_entropy(piece, HEX_ALPHABET) >= LIMITS["hex"]).otherwise(
+        max_entropy(piece, ALPHABET) >= F.when(of_alnum, LIMITS["alnum"]).otherwise(LIMITS["base64"])
+    )
+
+
+def is_secret(part: Column) -> Column:
+    """Whether a window of a candidate that nothing on the allow-list touches has too much entropy."""
+    pieces = F.filter(F.split(part, ALLOWED, -1), lambda p: (F.char_length(p) >= WINDOW) & p.rlike("[0-9]"))
+    return F.when(~part.rlike("[0-9]"), False).otherwise(F.exists(pieces, _scored))
+
+
+def _parts(run: Column, base: Column) -> Column:
+    """(start, stop, hit) of what the spans in ``base``, which are in order, leave of a run; parts shorter than ``RUN`` are dropped."""
+    part = lambda start, stop: F.struct(start.alias("start"), stop.alias("stop"), F.substr(run["hit"], start - run["start"] + 1, stop - start).alias("hit"))
+    add = lambda parts, start, stop: F.when(stop - start >= RUN, F.concat(parts, F.array(part(start, stop)))).otherwise(parts)
+    return F.aggregate(
+        F.filter(base, lambda b: (b["start"] < run["stop"]) & (b["stop"] > run["start"])),
+        F.struct(run["start"].alias("at"), F.array().cast("array<struct<start:int,stop:int,hit:string>>").alias("parts")),
+        lambda a, b: F.struct(F.greatest(a["at"], b["stop"]).alias("at"), add(a["parts"], a["at"], b["start"]).alias("parts")),
+        lambda a: add(a["parts"], a["at"], run["stop"]),
     )
 
 
@@ -80,8 +102,8 @@ def with_spans(docs: DataFrame) -> DataFrame:
     )
     order = lambda a: F.transform(F.array_sort(F.transform(a, lambda s: F.struct(s["start"], s["kind"], s["stop"]))), lambda s: F.struct(s["kind"], s["start"], s["stop"]))
     df = df.withColumn("base", order(base))
-    free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (b["stop"] > s["start"]))
-    added = bare(F.filter("run_", lambda s: free(s) & is_secret(s["hit"])), 3)
+    parts = F.flatten(F.transform("run_", lambda s: _parts(s, F.col("base"))))
+    added = bare(F.filter(parts, lambda s: is_secret(s["hit"])), 3)
     return df.withColumn("spans", order(F.concat("base", added))).drop("assign_", "access_", "hex_", "run_")
 
 

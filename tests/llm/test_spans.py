@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 
 import pytest
@@ -92,6 +93,15 @@ def test_entropy_finds_and_the_allow_list_suppresses(spark):
     assert spans[0] == "entropy:4:24" and "entropy" not in spans[1] and spans[2] == "" and spans[3] == "" and spans[4].startswith("entropy")
 
 
+def test_the_allow_list_hides_only_what_it_touches(spark):
+    rng = random.Random(3)
+    key, blob = "Zx8Kq1Lm9Pw2Rt5Yv7Bn", "".join(rng.choice(secrets.ALPHABET[:64]) for _ in range(2000)) + "/Ab/cD/"
+    texts = [f"com/users/confirm/{key}", f"sample-{key}", f"{key}=dummy", f"{key}/{'0123456789abcdef' * 2}/{key[::-1]}", blob, "com/users/confirm/page2", f"{'0123456789abcdef' * 2}g1g2g3g4"]
+    spans = {r["doc_id"]: r["spans"] for r in secrets.digest(secrets.find(frame(spark, texts))).collect()}
+    assert [spans[i] for i in range(7)] == ["entropy:0:38", "entropy:0:27", "entropy:0:26", "entropy:0:21,hex:21:53,entropy:53:74", f"entropy:0:{len(blob)}", "", "hex:0:32"]
+    assert secrets.redact(frame(spark, texts[3:4])).first()["text"] == "[SECRET]"
+
+
 def test_redaction_replaces_spans_and_keeps_the_rest(spark):
     docs = spark.createDataFrame([(0, "a password=abcdefgh b", "x"), (1, None, None), (2, "clean", "y"), (3, "é token=a1b2c3d4e5f60718293a4b5c6d and token = 'qwertyu'", "z")], "doc_id long, text string, base string")
     out = {r["doc_id"]: r for r in secrets.redact(docs).collect()}
