@@ -18,7 +18,8 @@ rest by hash; two more order by other hashes. The steps:
 5. Components of all links.
 
 So every link either is verified or joins two documents that verified links connect already; for the
-result, the component of each document, nothing is lost.
+component of each document nothing is lost. The number of links needs the pairs inside components
+too: ``join`` counts them where asked, by comparing all sets of a component in pairs of blocks.
 
 Defined results: null texts and texts without words have no shingles and their own id as component;
 repeated rows are linked and each is returned; a row without a doc_id links nothing, and shows the
@@ -45,6 +46,9 @@ HIGHEST = 100_000  # counts are told apart up to it
 EXTRA_PERCENT = 3
 FLUSH = 3_000_000  # shingles counted together in a task
 BLOCK = 2_000_000  # bytes of text hashed together
+HELD = 1_000  # holders of a shingle that a task of step 4 pairs with the others
+PAIRED, PAIRED_SHINGLES = 1_024, 2_000_000  # sets, and shingles in them, of a block whose links are counted
+WIDE = 4_096  # shingles that a step of the counting compares
 LISTED = 4_000_000  # documents (two longs each) whose list may be broadcast
 ORDERS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)  # fixed seeds of the further orders
 
@@ -189,11 +193,62 @@ def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links for every row of ``docs`` (doc_id, text).
+def _holds(sets: list[np.ndarray], tokens: np.ndarray) -> np.ndarray:
+    """A row for each set, a column for each of the ascending tokens: 1 where the set has the token."""
+    out = np.zeros((len(sets), len(tokens)), np.float32)
+    for row, s in zip(out, sets, strict=True):
+        s = s[np.searchsorted(s, tokens[0]) : np.searchsorted(s, tokens[-1], side="right")]
+        at = np.searchsorted(tokens, s)
+        row[at[tokens[at] == s]] = 1
+    return out
 
-    n_links counts the verified links of the row's set to other sets; links inside a component that
-    others imply needn't be verified, so it is a lower bound.
+
+def _linked(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """Whether each of the left sets is similar to each of the right ones."""
+    both = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    common = np.zeros((len(left), len(right)), np.float32)  # exact, since sets are smaller than 2**24
+    for k in range(0, len(both), WIDE):
+        tokens = both[k : k + WIDE]
+        common += _holds(left, tokens) @ _holds(right, tokens).T
+    common = common.astype(np.int64)
+    sizes = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])
+    return 100 * common >= percent * (sizes - common)
+
+
+def _degrees(labels: DataFrame, texts: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node, n_links): how many other sets are similar to each node's set, counted over all pairs of its component.
+
+    A component's nodes lie in blocks by hash, and each pair of blocks is a group of its own.
+    """
+    members = nodes.join(labels.select(F.col("v").alias("node"), "label"), "node")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / PAIRED), F.ceil(F.sum("n") / PAIRED_SHINGLES)).cast("int")
+    members = members.join(members.groupBy("label").agg(blocks.alias("blocks")), "label")
+    members = written(members.select("node", "row", "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "members")
+    dealt = texts.join(F.broadcast(members) if members.count() <= LISTED else members, "row").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "text")
+
+    def count(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        held: dict[int, dict[int, np.ndarray]] = {i: {}, j: {}}
+        for part, sets in _sets(iter(group.combine_chunks().to_batches()), n):
+            for node, block, s in zip(part.column("node").to_pylist(), part.column("block").to_pylist(), sets, strict=True):
+                if node_of(s) == node:  # a doc_id that stands for several texts brings them all
+                    held[block][node] = s
+        left, right = held[i], held[j]
+        if not left or not right:
+            return pa.table({"node": pa.array([], pa.int64()), "n_links": pa.array([], pa.int64())})
+        linked = _linked(list(left.values()), list(right.values()), percent)
+        if i == j:  # a set isn't linked to itself
+            return pa.table({"node": pa.array(list(left), pa.int64()), "n_links": pa.array(linked.sum(1) - 1, pa.int64())})
+        return pa.table({"node": pa.array([*left, *right], pa.int64()), "n_links": pa.array(np.concatenate([linked.sum(1), linked.sum(0)]), pa.int64())})
+
+    return dealt.groupBy("label", "i", "j").applyInArrow(count, "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links"))
+
+
+def join(docs: DataFrame, n: int = 5, percent: int = 80, count_links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text).
+
+    ``count_links`` adds n_links: the exact number of other sets that are similar to the row's set.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     last = frequent(rows, n)
@@ -232,11 +287,15 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     grouped = tokens.join(labels.select(F.col("v").alias("node"), "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     grouped = written(grouped, "grouped")
-    split = grouped.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-    left = grouped.join(split, "token")
-    right = left.select("token", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "at", "label")])
+    # A shingle with many holders is dealt over tasks: each takes some of the holders and pairs them with all.
+    salts = F.ceil(F.count(F.lit(1)) / HELD).cast("int")
+    split = grouped.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), salts.alias("salts")).where("lo <> hi").select("token", "salts")
+    held = grouped.join(split, "token")
+    left = held.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
+    right = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    right = right.select("token", "salt", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "at", "label")])
     second = (
-        left.join(right, "token")
+        left.join(right, ["token", "salt"])
         .where((F.col("node") < F.col("o_node")) & (F.col("label") != F.col("o_label")))
         .where(_can_link(F.col("n"), F.col("o_n"), percent) & _can_reach(F.col("n"), F.col("at"), F.col("o_n"), F.col("o_at"), percent))
         .select(F.col("node").alias("a"), F.col("o_node").alias("b"))
@@ -248,13 +307,14 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         links = written(links.unionByName(_verified(second, texts, nodes, n, percent)), "links")
         labels = components(links)
 
-    degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     named = nodes.join(labels.select(F.col("v").alias("node"), "label"), "node", "left").select("node", "row", F.coalesce("label", "node").alias("label"))
     smallest = named.groupBy("label").agg(F.min("row").alias("component_id"))
-    of_node = named.join(smallest, "label").join(degree, "node", "left").select("node", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return sketches.join(of_node, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    )
+    of_node = named.join(smallest, "label").select("node", "component_id")
+    out = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")]
+    if count_links:
+        of_node = of_node.join(_degrees(labels, texts, nodes, n, percent), "node", "left")
+        out.append(F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return sketches.join(of_node, "node", "left").select(*out)
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

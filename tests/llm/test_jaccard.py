@@ -64,6 +64,22 @@ def test_components_equal_brute_force(spark, groups, n, percent, parts):
     assert result(jaccard.join(docs, n, percent)) == brute(groups, n, percent)
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_links_are_counted_exactly(spark, groups, small, monkeypatch):
+    if small:
+        for name, value in (("PAIRED", 4), ("WIDE", 16), ("HELD", 3)):
+            monkeypatch.setattr(jaccard, name, value)
+    sets = {}
+    for i, t in groups:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = frozenset(zip(*[w[k:] for k in range(3)])) if len(w) >= 3 else frozenset([tuple(w)] if w else [])
+    near = lambda a, b: 100 * len(a & b) >= 90 * len(a | b)
+    of_set = {s: sum(near(s, o) for o in set(sets.values()) if o and o != s) for s in set(sets.values())}
+    docs = spark.createDataFrame(groups, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["n_links"] for r in jaccard.join(docs, 3, 90, count_links=True).collect()}
+    assert got == {i: of_set[s] if s else 0 for i, s in sets.items()} and max(got.values()) > 3
+
+
 def test_query_equals_brute_force(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert result(op4_jaccard(spark, sf)) == brute(rows, 3, 90)
