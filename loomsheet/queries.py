@@ -367,6 +367,14 @@ def _(documents, labels):
     return combine.merge([even, labels.select("doc_id", F.col("quality").alias("v")), labels.where("toxic = 1").select("doc_id", F.col("toxic").alias("v"))], ["doc_id"])
 
 
+@query(
+    "o43_merge_all", "documents labels",
+    "SELECT doc_id, d.n_chars, l.quality AS v, m.toxic AS v_right FROM documents d FULL JOIN (SELECT doc_id, quality FROM labels) l USING (doc_id) FULL JOIN (SELECT doc_id, toxic FROM labels WHERE toxic = 1) m USING (doc_id)",
+)
+def _(documents, labels):
+    return combine.merge([documents.select("doc_id", "n_chars"), labels.select("doc_id", F.col("quality").alias("v")), labels.where("toxic = 1").select("doc_id", F.col("toxic").alias("v"))], ["doc_id"])
+
+
 @query("o45_combined_groups", "orders customer", "SELECT c_mktsegment, count(*) AS count FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
 def _(orders, customer):
     return reshape.group_aggregate(combine.join(orders, customer, ["o_custkey"], ["c_custkey"]), ["c_mktsegment"], "count")
@@ -439,6 +447,14 @@ def _(part):
     return rows.sort_rows(part, ["p_size"], True, ["p_partkey"]).select("p_partkey", "p_size").limit(100)
 
 
+@query("o52_sort_rows_all", "part", "SELECT row_number() OVER (ORDER BY p_size DESC NULLS LAST, p_partkey) - 1 AS row_id, p_partkey, p_size FROM part")
+def _(part):
+    # The ids ascend along the sorted rows; written, since they hold for one run of the sort only.
+    path = scratch(part.sparkSession, "sorted")
+    sinks.write(rows.sort_rows(part.select("p_partkey", "p_size"), ["p_size"], True, ["p_partkey"]).withColumn("place", F.monotonically_increasing_id()), path, "parquet")
+    return number_rows(load(part.sparkSession, path, "parquet"), ["place"]).select("row_id", "p_partkey", "p_size")
+
+
 @query("o53_top_n", "orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 def _(orders):
     return rows.top_n(orders, "o_totalprice", 25, order_by=["o_orderkey"]).select("o_orderkey", "o_totalprice")

@@ -279,3 +279,11 @@ def test_scores(spark):
     df = spark.createDataFrame([(18, "aaa AA"), (65, None), (None, "")], "age long, t string")
     out = enrich.bucketize(enrich.keyword_score(enrich.keyword_tag(df, "t", "tag", {"x": ["A"]}), "t", "s", {"aa": 2}), "age", [18, 65], "b")
     assert [tuple(r)[2:] for r in out.collect()] == [("x", 4.0, "(-inf, 18]"), ("other", 0.0, "(18, 65]"), ("other", 0.0, None)]
+
+
+def test_sort_and_merge_take_all_rows(spark, sf):
+    from loomsheet.queries import QUERIES
+
+    many = lambda name: spark.read.parquet(f"{sf}/{name}.parquet").count()
+    assert QUERIES["o52_sort_rows_all"](spark, sf).count() == many("part") > 100
+    assert QUERIES["o43_merge_all"](spark, sf).where("n_chars IS NOT NULL").count() == many("documents")
