@@ -14,7 +14,8 @@ whole shard.
 
 Defined results: a null text has no bytes and a size of 16; equal rows may be parted; rows without an
 old shard count to shard 0; rows without a doc_id are placed like others; an empty table gives no
-rows; extra columns are dropped by ``plan`` and kept by ``rewrite``, but for one named shard.
+rows; extra columns are dropped by ``plan`` and kept by ``rewrite``, but for one named shard; a shard that
+ends empty has no folder.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -107,10 +108,10 @@ def capacities(loads: list[int], rest: int) -> list[int]:
     return out
 
 
-def sized(docs: DataFrame, old) -> DataFrame:
-    """doc_id, size, text_crc32 and the old shard of each row; written once, without the texts."""
+def sized(docs: DataFrame, old, *further: Column) -> DataFrame:
+    """doc_id, size, text_crc32, the old shard and ``further`` columns of each row; written once, without the texts."""
     data = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "utf-8")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(data) + OVERHEAD).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.coalesce(old.cast("int"), F.lit(0)).alias("old"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(data) + OVERHEAD).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.coalesce(old.cast("int"), F.lit(0)).alias("old"), *further)
     return written(rows, "sizes")
 
 
@@ -185,11 +186,54 @@ def moved_bytes(planned: DataFrame) -> DataFrame:
     return planned.where("old <> shard").groupBy("old", "shard").agg(F.sum("size").alias("bytes"))
 
 
-def rewrite(docs: DataFrame, planned: DataFrame, path: str) -> list[int]:
-    """Writes anew, as ``path/shard=j``, the shards that gain or lose rows; returns them. ``docs`` has unique doc_ids."""
+def lay(docs: DataFrame, shard: Column, path: str) -> None:
+    """Writes ``docs`` as ``path/shard=j``."""
+    docs.withColumn("shard", F.coalesce(shard.cast("int"), F.lit(0))).write.option("compression", "zstd").partitionBy("shard").parquet(path)
+
+
+def held(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
+    """The rows of a folder of shards; ``docs`` has their columns."""
+    return spark.read.schema(docs.withColumn("shard", F.lit(0)).select(*[c for c in docs.columns if c != "shard"], "shard").schema).parquet(path)
+
+
+def _identity(df: DataFrame, size: Column, crc: Column, old: Column | None) -> DataFrame:
+    """Adds columns, none of them null, that tell rows apart as far as a plan does."""
+    df = df.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn("__none", F.col("doc_id").isNull())
+    return df.withColumn("__size", size).withColumn("__crc", crc).withColumn("__old", F.lit(0) if old is None else F.coalesce(old.cast("int"), F.lit(0)))
+
+
+def rewrite(docs: DataFrame, planned: DataFrame, path: str, old: Column | None = None) -> list[int]:
+    """Writes anew, as ``path/shard=j``, the shards that gain or lose rows, and deletes those left empty; returns them.
+
+    Rows without a doc_id and rows that share one are told apart by text; of equal rows, as many go to
+    each shard as the plan says. ``old`` is the shard where a row of ``docs`` lies; it's needed where equal
+    rows of different shards differ in further columns.
+    """
+    spark = docs.sparkSession
+    planned = written(planned, "plan")
     changed = planned.where("old <> shard")
     affected = sorted(r[0] for r in changed.select("shard").union(changed.select("old")).distinct().collect())  # shards, not rows
-    rows = docs.drop("shard").join(planned.where(F.col("shard").isin(affected)).select("doc_id", "shard"), "doc_id")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    kept = {r[0] for r in planned.select("shard").distinct().collect()}
+    key = ["__id", "__none", "__size", "__crc", "__old"]
+    data = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "utf-8")
+    rows = _identity(docs.drop("shard") if old is None else docs, (F.octet_length(data) + OVERHEAD).cast("long"), F.crc32(data), old).drop("shard")
+    if old is not None:  # no row leaves a shard that isn't affected
+        rows = rows.where(F.col("__old").isin(affected))
+    # For each kind of row, how many go to each shard: one row, so that texts are shuffled once.
+    targets = _identity(planned, F.col("size"), F.col("text_crc32"), None if old is None else F.col("old")).groupBy(*key, "shard").agg(F.count(F.lit(1)).alias("many"))
+    targets = targets.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("shard", "many"))).alias("__targets"))
+    copies = rows.join(targets, key).withColumn("__copy", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1))).cast("long"))
+    pick = F.aggregate(
+        "__targets",
+        F.struct(F.col("__copy").alias("left"), F.lit(None).cast("int").alias("shard")),
+        lambda a, t: F.struct((a["left"] - t["many"]).alias("left"), F.when((a["left"] > 0) & (a["left"] <= t["many"]), t["shard"]).otherwise(a["shard"]).alias("shard")),
+        lambda a: a["shard"],
+    )
+    out = copies.withColumn("shard", pick).where(F.col("shard").isin(affected)).drop(*key, "__targets", "__copy")
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("shard").parquet(path)
+    hadoop = spark._jsc.hadoopConfiguration()
+    for j in affected:
+        if j not in kept:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={j}")
+            folder.getFileSystem(hadoop).delete(folder, True)
     return affected
-

@@ -99,3 +99,26 @@ def test_rewrite_touches_affected_shards_only(spark, tmp_path):
     got = {r["doc_id"]: r["shard"] for r in spark.read.parquet(path).collect()}
     assert got == {k: v for k, v in want.items() if v in affected} and 3 in affected
     assert sum(r["bytes"] for r in resharding.moved_bytes(planned).collect()) == 66 * sum(1 for r in planned.collect() if r["old"] != r["shard"])
+
+
+def test_rewrite_keeps_nulls_and_repeats_and_empties_shards(spark, tmp_path):
+    data = [(i, "x" * 50, i % 6, f"a{i}") for i in range(120)] + [(None, "y" * 30, i % 6, f"n{i}") for i in range(20)] + [(7, t, 5, f"r{t}{i}") for i in range(6) for t in ("z", "w" * 40)] + [(None, None, 4, "none")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, part int, extra string")
+    for shards, by_shard in ((2, True), (9, True), (2, False)):
+        path = str(tmp_path / f"out{shards}{by_shard}")
+        resharding.lay(docs, F.col("part"), path)
+        before = resharding.held(spark, docs, path)
+        planned = resharding.plan(resharding.sized(before, F.col("shard")), shards, 6)
+        resharding.rewrite(before, planned, path, F.col("shard") if by_shard else None)
+        got = resharding.held(spark, docs, path).collect()
+        assert sorted(r["extra"] for r in got) == sorted(d[3] for d in data)
+        want = sorted((r["doc_id"] or -1, r["size"], r["shard"]) for r in planned.collect())
+        assert sorted((r["doc_id"] or -1, len(r["text"] or "") + 16, r["shard"]) for r in got) == want
+
+
+def test_the_query_reads_back_rewritten_shards(spark, sf, monkeypatch):
+    seen = []
+    rewrite = resharding.rewrite
+    monkeypatch.setattr(resharding, "rewrite", lambda *a: seen.extend(rewrite(*a)))
+    op5_resharding(spark, sf).collect()
+    assert seen
