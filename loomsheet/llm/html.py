@@ -189,6 +189,20 @@ def best(found: dict[str, float]) -> str | None:
     return min(found, key=lambda p: (-found[p], p)) if found else None
 
 
+def whole(path: str | None) -> str | None:
+    """The nearest article or main that a path lies in, or the path itself; its text is what a page is about."""
+    for p in (path, *_parents(path)) if path else ():
+        if p.rpartition(">")[2].partition(".")[0] in ("article", "main"):
+            return p
+    return path
+
+
+def shown(stream: list[tuple[Element, str | None]]) -> set[str]:
+    """The paths of a page's elements that have text, and of all that they lie in."""
+    paths = {e.path for e, _ in stream if not e.skipped}
+    return paths.union(*map(_parents, paths))
+
+
 def _host(url: str = "url"):
     return F.coalesce(F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
@@ -201,7 +215,7 @@ def votes(pages: DataFrame) -> DataFrame:
             for part in slices(batch, "html", BLOCK):
                 found = [scores(read(x)) for x in part.column("html").to_pylist()]
                 paths = [best(f) for f in found]
-                yield pa.RecordBatch.from_arrays([part.column("host"), pa.array(paths, pa.string()), pa.array([f[p] if p else 0.0 for f, p in zip(found, paths, strict=True)])], ["host", "path", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("host"), pa.array([whole(p) for p in paths], pa.string()), pa.array([f[p] if p else 0.0 for f, p in zip(found, paths, strict=True)])], ["host", "path", "score"])
 
     texts = pages.select(_host().alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     return texts.mapInArrow(run, "host string, path string, score double").where("path IS NOT NULL")
@@ -226,8 +240,8 @@ def main_text(pages: DataFrame) -> DataFrame:
                 texts, used = [], []
                 for page, paths in zip(part.column("html").to_pylist(), part.column("paths").to_pylist(), strict=True):
                     stream = read(page)
-                    own = scores(stream)
-                    path = next((p for p in paths or () if p in own), None) or best(own)
+                    have = shown(stream)
+                    path = next((p for p in paths or () if p in have), None) or whole(best(scores(stream)))
                     texts.append(extract(stream, path))
                     used.append(path)
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(used, pa.string())], ["page_id", "url", "text", "path"])

@@ -60,3 +60,11 @@ def test_a_host_votes_for_its_usual_path(spark):
     texts = {r["page_id"]: r["text"] for r in rows}
     assert len(rows) == 14 and texts[9] == "short" and texts[0].startswith("words") and texts[10].startswith("a much") and texts[11] == texts[12] == ""
     assert html.main_text(df.where("false")).count() == 0
+
+
+def test_the_whole_article_is_taken_however_long_its_inner_container_is(spark):
+    page = "<body><div class=other>Other</div><article class=post><h1>Title</h1><p class=lead>Lead</p><div><div class=content><p>{}</p></div></div><section class=more><p>More</p></section></article></body>"
+    pages = [(i, "http://n.example/", page.format("word " * n)) for i, n in enumerate((5, 400, 4000))] + [(3, "http://m.example/", "<main><section class=a><p>" + "one " * 900 + "</p></section><section class=b><p>two</p></section></main>")]
+    rows = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert [rows[i] for i in range(3)] == ["\n".join(["Title", "Lead", " ".join(["word"] * n), "More"]) for n in (5, 400, 4000)]
+    assert rows[3].endswith("one\ntwo")
