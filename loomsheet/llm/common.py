@@ -19,12 +19,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Spark removes the shuffle files of a write once it has ended, and not only when the driver collects garbage.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+class Tables:
+    """The tables that an operator writes to the shared folder as Parquet and reads again, by name.
+
+    Writing one cuts the lineage. ``drop`` deletes those that no later step reads; ``drop_all`` all but
+    those named, once a result that doesn't need them is written.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch(self.spark, name)
+        before = self.spark.conf.get(CLEANED, "false")
+        self.spark.conf.set(CLEANED, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANED, before)
+        self.paths.setdefault(name, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        files = self.spark._jvm.org.apache.hadoop.fs
+        for path in [p for name in names for p in self.paths.pop(name, [])]:
+            held = files.Path(path)
+            held.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(held, True)
+
+    def drop_all(self, *but: str) -> None:
+        self.drop(*[name for name in self.paths if name not in but])
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """Cuts the lineage: writes ``df`` as Parquet to the shared folder and reads it back."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Tables(df.sparkSession)(df, name)
 
 
 def text_of(column: str = "text") -> Column:

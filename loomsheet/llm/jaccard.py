@@ -2,24 +2,27 @@
 
 A document is the set of its word shingles. Two sets with similarity t must share a shingle among
 the first n - ceil(t n) + 1 of each, under any one order of all shingles; so they must under each of
-several orders. The first order, which finds the candidates, puts frequent shingles last and the
-rest by hash; two more order by other hashes. The steps:
+several orders. Prefixes that are x shingles longer must share 1 + x. All orders put frequent shingles
+last and the rest by a hash, each order by another. The steps:
 
 1. Count, per task, shingles that recur there; the ``FREQUENT`` most frequent, a bounded list, go last.
-   The list only steers the order: any order gives the same links.
+   The list only steers the orders: any order gives the same links.
 2. Equal sets become one node. Each node lists its prefix under the first order, with positions.
-   Only shingles in the prefixes of two nodes matter any more.
-3. For each shared shingle every node is paired with one pivot, the node that holds it earliest:
-   as many pairs as nodes, not their square. Length and position bounds drop pairs. Prefixes that
-   are x shingles longer must share 1 + x of them, which drops pairs that meet by chance. The
-   prefixes under the other orders must meet too, and the whole sets of the rest are intersected.
+   Only shingles in the prefixes of two nodes find anything.
+3. Within each shared shingle and class of sizes, every node is paired with one pivot, the node that
+   holds it earliest: as many pairs as nodes, not their square. Length and position bounds drop pairs.
+   The nodes of what is left get their longer prefixes under all orders, which must share enough
+   under each: the filters are intersected. Only texts of pairs that pass travel to be compared whole.
 4. Components of these links. Within a shared shingle, nodes of different components are then
-   paired, filtered and verified alike, so no link between components is missed.
+   paired, filtered and verified alike, so no link between components is missed. A shingle with more
+   than ``HELD`` holders is split by the second order first: holders must share a shingle of that
+   order's prefixes too, so the pair of both shingles is the key. What is still crowded is salted.
 5. Components of all links.
 
 So every link either is verified or joins two documents that verified links connect already; for the
 component of each document nothing is lost. The number of links needs the pairs inside components
 too: ``join`` counts them where asked, by comparing all sets of a component in pairs of blocks.
+Intermediate tables are deleted as soon as no later step reads them.
 
 Defined results: null texts and texts without words have no shingles and their own id as component;
 repeated rows are linked and each is returned; a row without a doc_id links nothing, and shows the
@@ -30,7 +33,7 @@ texts of any length are taken whole; extra columns are dropped by ``join`` and k
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as sh
-from .common import slices, text_of, utf8, written
+from .common import Tables, slices, text_of, utf8
 from .graph import components
 
 FREQUENT = 100_000
@@ -50,7 +53,8 @@ HELD = 1_000  # holders of a shingle that a task of step 4 pairs with the others
 PAIRED, PAIRED_SHINGLES = 1_024, 2_000_000  # sets, and shingles in them, of a block whose links are counted
 WIDE = 4_096  # shingles that a step of the counting compares
 LISTED = 4_000_000  # documents (two longs each) whose list may be broadcast
-ORDERS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)  # fixed seeds of the further orders
+# Fixed seeds of the orders; the first is by the shingles' own hashes.
+ORDERS = {"first": 0, "second": 0x1F83D9ABFB41BD6B, "third": 0x5BE0CD19137E2179}
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -81,7 +85,7 @@ def node_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def frequent(docs: DataFrame, n: int, most: int = FREQUENT) -> np.ndarray:
+def frequent(docs: DataFrame, n: int, keep: Tables, most: int = FREQUENT) -> np.ndarray:
     """At most ``most`` shingles that recur within tasks, ascending by hash, and the order of their frequencies."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +109,7 @@ def frequent(docs: DataFrame, n: int, most: int = FREQUENT) -> np.ndarray:
         yield from flush()
 
     found = docs.select(text_of().alias("text")).mapInArrow(count, "token long, many long")
-    counted = written(found.groupBy("token").agg(F.sum("many").alias("many")).where("many > 2"), "frequent")
+    counted = keep(found.groupBy("token").agg(F.sum("many").alias("many")).where("many > 2"), "frequent")
     # The least count that at most ``most`` shingles reach, from a histogram with a row for each count.
     histogram = counted.groupBy(F.least("many", F.lit(HIGHEST)).alias("many")).agg(F.count(F.lit(1)).alias("tokens")).collect()
     total, least = 0, HIGHEST + 1
@@ -114,28 +118,29 @@ def frequent(docs: DataFrame, n: int, most: int = FREQUENT) -> np.ndarray:
             break
         least = r["many"]
     top = sorted(counted.where(F.col("many") >= least).collect(), key=lambda r: (-r["many"], r["token"]))
+    keep.drop("frequent")
     tokens = np.array([r["token"] for r in reversed(top)], np.int64).view(np.uint64)  # the most frequent last
     by_hash = np.argsort(tokens)
     return np.stack([tokens[by_hash], by_hash.astype(np.uint64)])
 
 
-def _prefix(s: np.ndarray, length: int, last: np.ndarray) -> np.ndarray:
-    """The first shingles of an ascending set, with those in ``last`` put behind in their own order."""
-    if not last.shape[1]:
-        return s[:length]
+def _ordered(s: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An ascending set without the shingles in ``last``, and those, by their frequency."""
+    if not last.shape[1] or not len(s):
+        return s, s[:0]
     at = np.searchsorted(last[0], s)
     at[at == last.shape[1]] = 0
     late = last[0][at] == s
-    early = s[~late]
-    if len(early) >= length:
-        return early[:length]
-    rest = s[late][np.argsort(last[1][at[late]])]
-    return np.concatenate([early, rest])[:length]
+    return s[~late], s[late][np.argsort(last[1][at[late]])]
 
 
-def _other_prefix(s: np.ndarray, length: int, seed: int) -> np.ndarray:
-    keys = sh.mix(s ^ np.uint64(seed))
-    return s[np.argpartition(keys, length - 1)[:length]] if length < len(s) else s
+def _first(early: np.ndarray, late: np.ndarray, length: int, seed: int) -> np.ndarray:
+    """The first shingles of a set under the order of a seed: 32 bits of each, distinct."""
+    keys = sh.mix(early ^ np.uint64(seed))
+    if length < len(early):
+        keys = keys[np.argpartition(keys, length - 1)[:length]]
+    keys = np.concatenate([keys, sh.mix(late[: max(0, length - len(early))] ^ np.uint64(seed))])
+    return np.unique((keys >> np.uint64(32)).astype(np.uint32))
 
 
 def _can_link(na: Column, nb: Column, percent: int) -> Column:
@@ -147,34 +152,73 @@ def _can_reach(na: Column, pa_: Column, nb: Column, pb: Column, percent: int) ->
     return F.least(na - pa_, nb - pb) * (100 + percent) >= percent * (na + nb)
 
 
-def _enough(pairs: DataFrame, lists: DataFrame) -> DataFrame:
-    """The pairs whose longer prefixes share as many shingles as similar sets must."""
-    a, b = lists.toDF("a", "na", "la"), lists.toDF("b", "nb", "lb")
-    least = 1 + F.floor(F.least("na", "nb") * EXTRA_PERCENT / 100)
-    return pairs.join(a, "a").join(b, "b").where(F.size(F.array_intersect("la", "lb")) >= least).select("a", "b")
+def share_enough(order: str, percent: int) -> Column:
+    """Whether the longer prefixes of a pair under an order share as many shingles as those of similar sets must.
+
+    Where shingles of one set have the same 32 bits, that many may be missing in the count.
+    """
+    length = lambda n: n - F.ceil(n * percent / 100) + 1 + F.floor(n * EXTRA_PERCENT / 100)
+    a, b = F.col(f"a.{order}"), F.col(f"b.{order}")
+    merged = F.least(length(F.col("a.n")) - F.size(a), length(F.col("b.n")) - F.size(b))
+    return F.size(F.array_intersect(a, b)) + merged >= 1 + F.floor(F.least("a.n", "b.n") * EXTRA_PERCENT / 100)
+
+
+def with_prefixes(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) as p, with the prefixes of both as a and b."""
+    return pairs.alias("p").join(prefixes.alias("a"), F.col("p.a") == F.col("a.node")).join(prefixes.alias("b"), F.col("p.b") == F.col("b.node"))
+
+
+def _enough(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that share enough under every order: the intersection of the filters."""
+    out = with_prefixes(pairs, prefixes)
+    for order in ORDERS:
+        out = out.where(share_enough(order, percent))
+    return out.select("p.a", "p.b")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
-    """The links among ``pairs`` (a, b): first by the further orders' prefixes, then by whole sets.
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
 
-    Texts are smaller than sets of hashes, so the texts travel. The list of documents whose text is
-    wanted is broadcast up to ``LISTED`` rows; a longer one is joined by a shuffle.
+
+def _texts(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, keep: Tables) -> DataFrame:
+    """(node, text) of the wanted nodes; a doc_id that stands for several texts brings them all.
+
+    The list of documents is broadcast up to ``LISTED`` rows; a longer one is joined by a shuffle.
     """
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = written(wanted.join(nodes.select("node", "row"), "node"), "wanted")
-    small = wanted.count() <= LISTED
-    texts = docs.join(F.broadcast(wanted) if small else wanted, "row").select("node", "text")
+    wanted = keep(wanted.join(nodes.select("node", "row"), "node"), "wanted")
+    return docs.join(F.broadcast(wanted) if wanted.count() <= LISTED else wanted, "row").select("node", "text")
+
+
+def _prefixes(texts: DataFrame, n: int, percent: int, last: np.ndarray) -> DataFrame:
+    """(node, n, a column for each order): the longer prefixes of each node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, sets in _sets(batches, n):
+            own = [k for k, (node, s) in enumerate(zip(part.column("node").to_pylist(), sets, strict=True)) if node_of(s) == node]
+            lengths = [prefix_length(len(sets[k]), percent) + _extra(len(sets[k])) for k in own]
+            ordered = [_ordered(sets[k], last) for k in own]
+            lists = [_lists([_first(*o, length, seed) for o, length in zip(ordered, lengths, strict=True)], np.uint32) for seed in ORDERS.values()]
+            lists = [pa.ListArray.from_arrays(x.offsets, x.values.view(pa.int32())) for x in lists]
+            yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(own, pa.int64())), pa.array([len(sets[k]) for k in own], pa.int64()), *lists], ["node", "n", *ORDERS])
+
+    made = texts.mapInArrow(run, "node long, n long, " + ", ".join(f"{order} array<int>" for order in ORDERS))
+    return made.dropDuplicates(["node"])
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent: int, keep: Tables) -> DataFrame:
+    """The links among ``pairs`` (a, b), by whole sets. Texts are smaller than sets of hashes, so the texts travel."""
+    texts = _texts(_ends(pairs), docs, nodes, keep)
     both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "ta", BLOCK // 2):
                 sides = [sh.shingles(*sh.words(*utf8(part.column(c))), n) for c in ("ta", "tb")]
-                keep = []
+                held = []
                 for a, b, x, y in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), *sides, strict=True):
                     # A doc_id that stands for several texts brings them all; only the nodes' own are meant.
-                    keep.append(node_of(x) == a and node_of(y) == b and _meet(x, y, percent) and _similar(x, y, percent))
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                    held.append(node_of(x) == a and node_of(y) == b and _similar(x, y, percent))
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(held, pa.bool_()))
 
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
@@ -183,11 +227,6 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return len(np.intersect1d(x, y, assume_unique=True))
 
 
-def _meet(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Whether the prefixes of two sets share a shingle under each of the further orders."""
-    return all(_common(_other_prefix(x, prefix_length(len(x), percent), seed), _other_prefix(y, prefix_length(len(y), percent), seed)) for seed in ORDERS)
-
-
 def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     common = _common(x, y)
     return 100 * common >= percent * (len(x) + len(y) - common)
@@ -215,7 +254,7 @@ def _linked(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np
     return 100 * common >= percent * (sizes - common)
 
 
-def _degrees(labels: DataFrame, texts: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
+def _degrees(labels: DataFrame, texts: DataFrame, nodes: DataFrame, n: int, percent: int, keep: Tables) -> DataFrame:
     """(node, n_links): how many other sets are similar to each node's set, counted over all pairs of its component.
 
     A component's nodes lie in blocks by hash, and each pair of blocks is a group of its own.
@@ -223,7 +262,7 @@ def _degrees(labels: DataFrame, texts: DataFrame, nodes: DataFrame, n: int, perc
     members = nodes.join(labels.select(F.col("v").alias("node"), "label"), "node")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / PAIRED), F.ceil(F.sum("n") / PAIRED_SHINGLES)).cast("int")
     members = members.join(members.groupBy("label").agg(blocks.alias("blocks")), "label")
-    members = written(members.select("node", "row", "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "members")
+    members = keep(members.select("node", "row", "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "members")
     dealt = texts.join(F.broadcast(members) if members.count() <= LISTED else members, "row").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "text")
 
@@ -245,80 +284,132 @@ def _degrees(labels: DataFrame, texts: DataFrame, nodes: DataFrame, n: int, perc
     return dealt.groupBy("label", "i", "j").applyInArrow(count, "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links"))
 
 
-def join(docs: DataFrame, n: int = 5, percent: int = 80, count_links: bool = False) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text).
-
-    ``count_links`` adds n_links: the exact number of other sets that are similar to the row's set.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    last = frequent(rows, n)
+def sketches(rows: DataFrame, n: int, percent: int, last: np.ndarray) -> DataFrame:
+    """doc_id, node, n for each row, and its prefix under the first order where it is the first of its task with that set."""
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for part, sets in _sets(batches, n):
-            prefixes = [_prefix(s, prefix_length(len(s), percent) + _extra(len(s)), last) for s in sets]
+            nodes = [node_of(s) if len(s) else None for s in sets]
+            prefixes = []
+            for doc_id, node, s in zip(part.column("doc_id").to_pylist(), nodes, sets, strict=True):
+                new = node is not None and doc_id is not None and node not in seen
+                prefixes.append(np.concatenate(_ordered(s, last))[: prefix_length(len(s), percent)] if new else s[:0])
+                if new:
+                    seen.add(node)
             lists = _lists(prefixes, np.uint64)
             signed = pa.ListArray.from_arrays(lists.offsets, lists.values.view(pa.int64()))
-            nodes = pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), nodes, pa.array([len(s) for s in sets], pa.int64()), signed], ["doc_id", "node", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), signed], ["doc_id", "node", "n", "prefix"])
 
-    sketches = written(rows.mapInArrow(sketch, "doc_id long, node long, n long, prefix array<long>"), "sketch")
-    # One document stands for each node; its text is read again when the node's set is needed.
-    named_rows = sketches.where("node IS NOT NULL AND doc_id IS NOT NULL")
-    nodes = written(named_rows.groupBy("node").agg(F.min("doc_id").alias("row"), F.first("n").alias("n")), "nodes")
-    tokens = named_rows.select("node", "n", F.posexplode("prefix").alias("at", "token"))
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("token")
-    tokens = written(tokens.join(shared, "token").distinct(), "shared")
+    return rows.mapInArrow(run, "doc_id long, node long, n long, prefix array<long>")
 
-    # The shared shingles of a node's longer prefix, for counting; those of the shortest one, for finding.
-    lists = tokens.groupBy("node", "n").agg(F.collect_list("token").alias("held"))
-    tokens = tokens.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100))
 
-    texts = rows.select(F.col("doc_id").alias("row"), "text")
-    pivots = tokens.groupBy("token").agg(F.min(F.struct("at", "n", "node")).alias("p")).select("token", F.col("p.at").alias("pat"), F.col("p.n").alias("pn"), F.col("p.node").alias("pivot"))
-    first = (
-        tokens.join(pivots, "token")
+def near_pivots(tokens: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b): within each shingle and class of sizes, each node with the node that holds the shingle earliest."""
+    sized = tokens.withColumn("size", F.floor(F.log("n") / F.log(F.lit(100 / percent))))
+    pivots = sized.groupBy("token", "size").agg(F.min(F.struct("at", "n", "node")).alias("p"))
+    pivots = pivots.select("token", "size", F.col("p.at").alias("pat"), F.col("p.n").alias("pn"), F.col("p.node").alias("pivot"))
+    return (
+        sized.join(pivots, ["token", "size"])
         .where((F.col("node") != F.col("pivot")) & _can_link(F.col("n"), F.col("pn"), percent) & _can_reach(F.col("n"), F.col("at"), F.col("pn"), F.col("pat"), percent))
         .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
         .distinct()
     )
-    first = written(first, "pairs")
-    links = written(_verified(written(_enough(first, lists), "pairs"), texts, nodes, n, percent), "links")
-    labels = components(links)
 
+
+def _across(held: DataFrame, key: str) -> DataFrame:
+    """Adds ``many`` to the rows of keys that nodes of different components hold; the others go."""
+    span = held.groupBy(key).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("many"))
+    return held.join(span.where("lo <> hi").select(key, "many"), key)
+
+
+def between_components(tokens: DataFrame, labels: DataFrame, prefixes_of: Callable[[DataFrame], DataFrame], percent: int, keep: Tables) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that share a shingle, and a second one where the first is crowded."""
     grouped = tokens.join(labels.select(F.col("v").alias("node"), "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    grouped = written(grouped, "grouped")
-    # A shingle with many holders is dealt over tasks: each takes some of the holders and pairs them with all.
-    salts = F.ceil(F.count(F.lit(1)) / HELD).cast("int")
-    split = grouped.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), salts.alias("salts")).where("lo <> hi").select("token", "salts")
-    held = grouped.join(split, "token")
-    left = held.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
-    right = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    right = right.select("token", "salt", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "at", "label")])
-    second = (
-        left.join(right, ["token", "salt"])
+    held = keep(_across(keep(grouped, "grouped"), "token"), "held")
+    keep.drop("grouped")
+    columns = ["key", "node", "n", "at", "label", "many"]
+    keyed = held.where(F.col("many") <= HELD).withColumn("key", F.col("token")).select(columns)
+    crowded = held.where(F.col("many") > HELD).drop("many")
+    if not crowded.isEmpty():
+        second = prefixes_of(crowded.select("node").distinct()).select("node", "second")
+        finer = crowded.join(second, "node").withColumn("key", F.explode("second")).withColumn("key", F.xxhash64("token", "key"))
+        keyed = keyed.unionByName(_across(finer, "key").select(columns))
+    keyed = keep(keyed, "keyed")
+    keep.drop("held")
+    # A key that is still crowded is dealt over tasks: each takes some of the holders and pairs them with all.
+    salts = F.ceil(F.col("many") / HELD).cast("int")
+    left = keyed.withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int"))
+    right = keyed.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    right = right.select("key", "salt", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "at", "label")])
+    return (
+        left.join(right, ["key", "salt"])
         .where((F.col("node") < F.col("o_node")) & (F.col("label") != F.col("o_label")))
         .where(_can_link(F.col("n"), F.col("o_n"), percent) & _can_reach(F.col("n"), F.col("at"), F.col("o_n"), F.col("o_at"), percent))
         .select(F.col("node").alias("a"), F.col("o_node").alias("b"))
         .distinct()
-        .join(first, ["a", "b"], "left_anti")
     )
-    second = written(_enough(second, lists), "pairs")
-    if not second.isEmpty():
-        links = written(links.unionByName(_verified(second, texts, nodes, n, percent)), "links")
-        labels = components(links)
+
+
+def join(docs: DataFrame, n: int = 5, percent: int = 80, count_links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text).
+
+    ``count_links`` adds n_links: the exact number of other sets that are similar to the row's set.
+    """
+    keep = Tables(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    last = frequent(rows, n, keep)
+    sketch = keep(sketches(rows, n, percent, last), "sketch")
+    # One document stands for each node; its text is read again when the node's set is needed.
+    nodes = keep(sketch.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("row"), F.first("n").alias("n")), "nodes")
+    tokens = sketch.select("node", "n", F.posexplode("prefix").alias("at", "token"))
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("token")
+    tokens = keep(tokens.join(shared, "token").distinct(), "shared")
+
+    texts = rows.select(F.col("doc_id").alias("row"), "text")
+
+    def prefixes_of(wanted: DataFrame) -> DataFrame:
+        return keep(_prefixes(_texts(wanted, texts, nodes, keep), n, percent, last), "prefixes")
+
+    first = keep(near_pivots(tokens, percent), "first")
+    passed = keep(_enough(first, prefixes_of(_ends(first)), percent), "passed")
+    links = keep(_verified(passed, texts, nodes, n, percent, keep), "links")
+    keep.drop("passed", "wanted", "prefixes")
+    labels = components(links, keep)
+
+    second = between_components(tokens, labels, prefixes_of, percent, keep)
+    second = keep(second.join(first, ["a", "b"], "left_anti"), "across")
+    keep.drop("shared", "first", "keyed")
+    passed = keep(_enough(second, prefixes_of(_ends(second)), percent), "passed")
+    if not passed.isEmpty():
+        links = keep(links.unionByName(_verified(passed, texts, nodes, n, percent, keep)), "links")
+        labels = components(links, keep)
+    keep.drop("across", "passed", "wanted", "prefixes", "links")
 
     named = nodes.join(labels.select(F.col("v").alias("node"), "label"), "node", "left").select("node", "row", F.coalesce("label", "node").alias("label"))
     smallest = named.groupBy("label").agg(F.min("row").alias("component_id"))
     of_node = named.join(smallest, "label").select("node", "component_id")
     out = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")]
     if count_links:
-        of_node = of_node.join(_degrees(labels, texts, nodes, n, percent), "node", "left")
+        of_node = of_node.join(_degrees(labels, texts, nodes, n, percent, keep), "node", "left")
         out.append(F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return sketches.join(of_node, "node", "left").select(*out)
+    result = keep(sketch.select("doc_id", "node", "n").join(of_node, "node", "left").select(*out), "components")
+    keep.drop_all("components")
+    return result
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of their component, once each; rows without a doc_id stay."""
-    kept = join(docs, n, percent).where("doc_id = component_id").select("doc_id").distinct()
-    once = docs.where("doc_id IS NOT NULL").withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
-    return once.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+    """The rows of ``docs`` with the smallest doc_id of their component, once each; rows without a doc_id stay.
+
+    Texts are shuffled only where a doc_id occurs more than once, or where more than ``LISTED`` ids go.
+    """
+    keep = Tables(docs.sparkSession)
+    of_id = join(docs, n, percent).where("doc_id IS NOT NULL").groupBy("doc_id")
+    of_id = of_id.agg(F.count(F.lit(1)).alias("many"), F.max(F.expr("doc_id = component_id")).alias("kept")).where("many > 1 OR NOT kept")
+    of_id = keep(of_id.select("doc_id", "kept"), "ids")
+    known = lambda ids: F.broadcast(ids) if ids.count() <= LISTED else ids
+    gone, repeated = of_id.where("NOT kept"), of_id.where("kept")
+    stay = docs.join(known(gone.select("doc_id")), "doc_id", "left_anti")
+    repeated = known(repeated.select("doc_id"))
+    once = stay.join(repeated, "doc_id", "left_semi").withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    return stay.join(repeated, "doc_id", "left_anti").unionByName(once).select(docs.columns)

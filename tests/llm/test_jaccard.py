@@ -58,8 +58,9 @@ def groups():
     return [(i, t) for i, (_, t) in enumerate(order)]
 
 
-@pytest.mark.parametrize(("n", "percent", "parts"), [(3, 90, 1), (3, 90, 5), (5, 80, 3)])
-def test_components_equal_brute_force(spark, groups, n, percent, parts):
+@pytest.mark.parametrize(("n", "percent", "parts", "held"), [(3, 90, 1, 1000), (3, 90, 5, 2), (5, 80, 3, 1000), (5, 80, 3, 3)])
+def test_components_equal_brute_force(spark, groups, n, percent, parts, held, monkeypatch):
+    monkeypatch.setattr(jaccard, "HELD", held)  # a small one splits shingles by the second order
     docs = spark.createDataFrame([(i, t, 0) for i, t in groups], "doc_id long, text string, node int").repartition(parts)
     assert result(jaccard.join(docs, n, percent)) == brute(groups, n, percent)
 
