@@ -11,8 +11,9 @@ last and the rest by a hash, each order by another. The steps:
    Only shingles in the prefixes of two nodes find anything.
 3. Within each shared shingle and class of sizes, every node is paired with one pivot, the node that
    holds it earliest: as many pairs as nodes, not their square. Length and position bounds drop pairs.
-   The nodes of what is left get their longer prefixes under all orders, which must share enough
-   under each: the filters are intersected. Only texts of pairs that pass travel to be compared whole.
+   The nodes of what is left get their longer prefixes under two more orders, which must share enough
+   under each: the filters of all orders are intersected. Only texts of pairs that pass travel to be
+   compared whole.
 4. Components of these links. Within a shared shingle, nodes of different components are then
    paired, filtered and verified alike, so no link between components is missed. A shingle with more
    than ``HELD`` holders is split by the second order first: holders must share a shingle of that
@@ -52,9 +53,9 @@ BLOCK = 2_000_000  # bytes of text hashed together
 HELD = 1_000  # holders of a shingle that a task of step 4 pairs with the others
 PAIRED, PAIRED_SHINGLES = 1_024, 2_000_000  # sets, and shingles in them, of a block whose links are counted
 WIDE = 4_096  # shingles that a step of the counting compares
-LISTED = 4_000_000  # documents (two longs each) whose list may be broadcast
-# Fixed seeds of the orders; the first is by the shingles' own hashes.
-ORDERS = {"first": 0, "second": 0x1F83D9ABFB41BD6B, "third": 0x5BE0CD19137E2179}
+LISTED = 2_000_000  # rows of two longs that may be broadcast
+# Fixed seeds of the further orders; the first is by the shingles' own hashes.
+FURTHER = {"second": 0x1F83D9ABFB41BD6B, "third": 0x5BE0CD19137E2179}
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -163,15 +164,20 @@ def share_enough(order: str, percent: int) -> Column:
     return F.size(F.array_intersect(a, b)) + merged >= 1 + F.floor(F.least("a.n", "b.n") * EXTRA_PERCENT / 100)
 
 
+def _listed(df: DataFrame) -> DataFrame:
+    """A table of two longs, to be broadcast if it has ``LISTED`` rows at most."""
+    return F.broadcast(df) if df.count() <= LISTED else df
+
+
 def with_prefixes(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
     """``pairs`` (a, b) as p, with the prefixes of both as a and b."""
-    return pairs.alias("p").join(prefixes.alias("a"), F.col("p.a") == F.col("a.node")).join(prefixes.alias("b"), F.col("p.b") == F.col("b.node"))
+    return prefixes.alias("a").join(_listed(pairs).alias("p"), F.col("p.a") == F.col("a.node")).join(prefixes.alias("b"), F.col("p.b") == F.col("b.node"))
 
 
 def _enough(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     """The pairs that share enough under every order: the intersection of the filters."""
     out = with_prefixes(pairs, prefixes)
-    for order in ORDERS:
+    for order in FURTHER:
         out = out.where(share_enough(order, percent))
     return out.select("p.a", "p.b")
 
@@ -181,12 +187,9 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def _texts(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, keep: Tables) -> DataFrame:
-    """(node, text) of the wanted nodes; a doc_id that stands for several texts brings them all.
-
-    The list of documents is broadcast up to ``LISTED`` rows; a longer one is joined by a shuffle.
-    """
+    """(node, text) of the wanted nodes; a doc_id that stands for several texts brings them all."""
     wanted = keep(wanted.join(nodes.select("node", "row"), "node"), "wanted")
-    return docs.join(F.broadcast(wanted) if wanted.count() <= LISTED else wanted, "row").select("node", "text")
+    return docs.join(_listed(wanted), "row").select("node", "text")
 
 
 def _prefixes(texts: DataFrame, n: int, percent: int, last: np.ndarray) -> DataFrame:
@@ -197,18 +200,17 @@ def _prefixes(texts: DataFrame, n: int, percent: int, last: np.ndarray) -> DataF
             own = [k for k, (node, s) in enumerate(zip(part.column("node").to_pylist(), sets, strict=True)) if node_of(s) == node]
             lengths = [prefix_length(len(sets[k]), percent) + _extra(len(sets[k])) for k in own]
             ordered = [_ordered(sets[k], last) for k in own]
-            lists = [_lists([_first(*o, length, seed) for o, length in zip(ordered, lengths, strict=True)], np.uint32) for seed in ORDERS.values()]
+            lists = [_lists([_first(*o, length, seed) for o, length in zip(ordered, lengths, strict=True)], np.uint32) for seed in FURTHER.values()]
             lists = [pa.ListArray.from_arrays(x.offsets, x.values.view(pa.int32())) for x in lists]
-            yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(own, pa.int64())), pa.array([len(sets[k]) for k in own], pa.int64()), *lists], ["node", "n", *ORDERS])
+            yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(own, pa.int64())), pa.array([len(sets[k]) for k in own], pa.int64()), *lists], ["node", "n", *FURTHER])
 
-    made = texts.mapInArrow(run, "node long, n long, " + ", ".join(f"{order} array<int>" for order in ORDERS))
-    return made.dropDuplicates(["node"])
+    return texts.mapInArrow(run, "node long, n long, " + ", ".join(f"{order} array<int>" for order in FURTHER))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent: int, keep: Tables) -> DataFrame:
     """The links among ``pairs`` (a, b), by whole sets. Texts are smaller than sets of hashes, so the texts travel."""
     texts = _texts(_ends(pairs), docs, nodes, keep)
-    both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
+    both = texts.toDF("a", "ta").join(_listed(pairs), "a").join(texts.toDF("b", "tb"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -369,7 +371,9 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, count_links: bool = Fal
     texts = rows.select(F.col("doc_id").alias("row"), "text")
 
     def prefixes_of(wanted: DataFrame) -> DataFrame:
-        return keep(_prefixes(_texts(wanted, texts, nodes, keep), n, percent, last), "prefixes")
+        found = keep(_prefixes(_texts(wanted, texts, nodes, keep), n, percent, last), "prefixes")
+        # A repeated row brings its node more than once; mostly there is none, and nothing is shuffled.
+        return found if found.count() == wanted.count() else keep(found.dropDuplicates(["node"]), "prefixes")
 
     first = keep(near_pivots(tokens, percent), "first")
     passed = keep(_enough(first, prefixes_of(_ends(first)), percent), "passed")
