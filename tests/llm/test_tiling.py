@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pyarrow as pa
 import pytest
@@ -66,22 +67,39 @@ def test_leaks_equal_brute_force(spark, cases, parts):
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == set(range(len(docs))) - {i for i, _ in want}
 
 
-def test_blocks_of_items_change_nothing(spark, cases, monkeypatch):
+def test_blocks_and_a_full_bitmap_change_nothing(spark, cases, monkeypatch):
     docs, items = cases
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     rows = lambda: sorted(tuple(r) for r in tiling.leaks(df, bench).collect())
     whole = rows()
-    monkeypatch.setattr(tiling, "BLOCK_WORDS", 60)
+    for name, value in (("BITS", 2**15), ("SEEDS", 3), ("LISTED", 0)):
+        monkeypatch.setattr(tiling, name, value)
     assert rows() == whole
 
 
-def test_every_planted_passage_is_found(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
-    items = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
-    want = {(d["doc_id"], i["item_id"]) for d in docs for i in items if i["text"] in d["text"]}
-    got = {(r["doc_id"], r["item_id"]) for r in op8_decontaminate(spark, sf).collect()}
-    assert want and want <= got
+def test_the_query_equals_brute_force_on_all_pairs_with_a_common_seed(spark, sf):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    grams = lambda t: {tuple(w[i : i + tiling.SEED]) for w in [split(t)] for i in range(len(w) - tiling.SEED + 1)}
+    own, want = {i: grams(t) for i, t in items.items()}, {}
+    for d, text in docs.items():
+        have = grams(text)
+        for i in items:
+            if own[i] & have:
+                covered, size = brute(text, items[i])
+                if covered >= tiling.COVERAGE * size:
+                    want[d, i] = covered
+    got = {(r["doc_id"], r["item_id"]): r["n_matched"] for r in op8_decontaminate(spark, sf).collect()}
+    assert want and got == want
+
+
+def test_repeated_words_take_seconds(spark):
+    began = time.perf_counter()
+    docs = spark.createDataFrame([(1, "same " * 20_000), (2, "same other " * 10_000), (3, "same " * 300_000)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "same " * 400), (8, "other same " * 200)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["n_tiles"], r["n_matched"]) for r in tiling.leaks(docs, bench).collect()}
+    assert got == {(1, 7): (1, 400), (2, 8): (1, 400), (3, 7): (1, 400)} and time.perf_counter() - began < 90
 
 
 def test_empty_tables(spark):
