@@ -1,15 +1,17 @@
 """Quality classifier by compression.
 
-Two zstandard dictionaries are built from labelled text, one of each class, and two more from the
-shapes of the same texts (letters folded to one of two marks, digits to one), where junk layout
-shows whatever the words are. A text is compressed in pieces of ``PIECE`` bytes, so that the dictionaries bear
-on all of it; the difference of the compressed sizes over their sum is the normalised difference.
-A logistic fit on the labels turns the differences and the ratio of size into a calibrated score. The
-sample has as many texts of each class where it can, so the score is calibrated for even classes.
-
-Defined results: null and empty texts get the score that the fit gives to no bytes (differences 0);
-without labels of both classes every score is 0.5; repeated rows repeat their score; extra columns
-are dropped by ``score`` and kept by ``keep_good``.
+Zstandard dictionaries are trained on labelled text, one on good and one on bad texts, and two more on
+the shapes of the same texts (letters folded to one of two marks, digits to one), where junk layout
+shows whatever the words are. A text is compressed whole, in pieces of ``PIECE`` bytes, short enough
+that the dictionaries rather than the text's own repetitions make them small, and its shape likewise.
+With g and b the total sizes by the good and the bad dictionaries, the normalised difference
+(b - g) / (b + g) is the only feature; a logistic fit on other labelled texts turns it into a
+calibrated score. The sample has as many texts of each class where it can, so the score is calibrated
+for even classes then.
+
+Defined results: null and empty texts have the difference 0; without labels of both classes every
+score is 0.5; repeated rows repeat their score; extra columns are dropped by ``score`` and kept by
+``keep_good``. Classes with too little text to train on lend their text itself as the dictionary.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, labelled_sample, slices, text_of
 
-PIECE = 2048
+PIECE = 128
 SAMPLE = 3000  # labelled texts to learn from, at most
 DICTIONARY = 64 * 1024
 LEVEL = 3
@@ -45,50 +47,49 @@ def pieces(data: bytes) -> list[bytes]:
     return [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
 
 
-def dictionary(samples: list[bytes]) -> bytes:
-    """A dictionary of the pieces of texts: as many of them, taken in turn from all texts, as fit."""
-    out, size, texts, k = [], 0, [pieces(s) for s in samples], 0
-    while size < DICTIONARY and any(len(t) > k for t in texts):
-        for t in texts:
-            if len(t) > k and size < DICTIONARY:
-                out.append(t[k][:512])
-                size += len(out[-1])
-        k += 1
-    return b"\n".join(out)[-DICTIONARY:]
+def dictionary(samples: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """A dictionary trained on all pieces of the texts."""
+    cut = [p for s in samples for p in pieces(s)]
+    try:
+        return zstandard.train_dictionary(min(DICTIONARY, sum(map(len, cut)) // 8), cut, level=LEVEL)
+    except zstandard.ZstdError:  # a few pieces are not enough to train on
+        return zstandard.ZstdCompressionDict(b"".join(cut)[-DICTIONARY:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 @dataclass
 class Model:
-    """Dictionaries (good, bad, good shapes, bad shapes) and the weights of the fit."""
+    """Dictionaries (good, bad, good shapes, bad shapes) as bytes, whether each is trained, and the weights of the fit."""
 
-    dictionaries: list[bytes]
+    dictionaries: list[tuple[bytes, int]]
     weights: np.ndarray | None
 
     def compressors(self) -> list[zstandard.ZstdCompressor]:
         made = []
-        for raw in self.dictionaries:
-            held = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        for raw, kind in self.dictionaries:
+            held = zstandard.ZstdCompressionDict(raw, dict_type=kind)
             held.precompute_compress(level=LEVEL)
-            made.append(zstandard.ZstdCompressor(dict_data=held, write_checksum=False, write_content_size=False))
+            made.append(zstandard.ZstdCompressor(dict_data=held, write_checksum=False, write_content_size=False, write_dict_id=False))
         return made
 
+    def scores(self, differences: np.ndarray) -> np.ndarray:
+        if self.weights is None:
+            return np.full(len(differences), 0.5)
+        return 1 / (1 + np.exp(-np.clip(_scaled(differences) @ self.weights, -30, 30)))
 
-def features(data: bytes, compressors: list[zstandard.ZstdCompressor]) -> list[float]:
-    if not data:
-        return [0.0] * 5
-    sizes = [0, 0, 0, 0]
+
+def difference(data: bytes, compressors: list[zstandard.ZstdCompressor]) -> float:
+    """The normalised difference of the compressed sizes of a text."""
+    good = bad = 0
+    good_words, bad_words, good_shapes, bad_shapes = compressors
     for piece in pieces(data):
         shaped = shape(piece)
-        for k, c in enumerate(compressors):
-            sizes[k] += len(c.compress(piece if k < 2 else shaped))
-    raw, form = (sizes[1] - sizes[0]) / (sizes[0] + sizes[1]), (sizes[3] - sizes[2]) / (sizes[2] + sizes[3])
-    return [raw, form, min(sizes[:2]) / len(data), min(sizes[2:]) / len(data), 64.0 / (64.0 + len(data))]
+        good += len(good_words.compress(piece)) + len(good_shapes.compress(shaped))
+        bad += len(bad_words.compress(piece)) + len(bad_shapes.compress(shaped))
+    return (bad - good) / (bad + good) if data else 0.0
 
 
-def _expand(x: np.ndarray) -> np.ndarray:
-    """A constant, the features and their products."""
-    n = x.shape[1]
-    return np.column_stack([np.ones(len(x)), x, *(x[:, i] * x[:, j] for i in range(n) for j in range(i, n))])
+def _scaled(differences: np.ndarray) -> np.ndarray:
+    return np.column_stack([np.ones(len(differences)), 50 * differences])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -103,18 +104,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE) -> Model:
-    """Learns from ``most`` labelled texts at most: one half makes the dictionaries, the other the fit."""
+    """Learns from ``most`` labelled texts at most: one half of each class makes its dictionary, the other the fit."""
     rows = [(t.encode(), y) for t, y in labelled_sample(docs, labels, label, most) if t]
-    if len({y for _, y in rows}) < 2:
+    by = {y: [t for t, v in rows if v == y] for y in (0, 1)}
+    if not by[0] or not by[1]:
         return Model([], None)
-    first, second = rows[::2], rows[1::2]
-    by = {y: [t for t, v in first if v == y] or [t for t, v in rows if v == y] for y in (0, 1)}
-    made = Model([dictionary(by[1]), dictionary(by[0]), dictionary([shape(t) for t in by[1]]), dictionary([shape(t) for t in by[0]])], None)
+    texts = [[t if k == 0 else shape(t) for t in by[y][::2]] for k in (0, 1) for y in (1, 0)]
+    made = Model([], None)
+    for held in map(dictionary, texts):
+        made.dictionaries.append((held.as_bytes(), zstandard.DICT_TYPE_AUTO if held.dict_id() else zstandard.DICT_TYPE_RAWCONTENT))
     c = made.compressors()
-    x, y = np.array([features(t, c) for t, _ in second]), np.array([float(v) for _, v in second])
-    if len(set(y)) < 2:
-        x, y = np.array([features(t, c) for t, _ in rows]), np.array([float(v) for _, v in rows])
-    made.weights = _logistic(_expand(x), y)
+    fit = [(t, y) for y in (0, 1) for t in by[y][1::2] or by[y]]
+    made.weights = _logistic(_scaled(np.array([difference(t, c) for t, _ in fit])), np.array([float(y) for _, y in fit]))
     return made
 
 
@@ -125,13 +126,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         c = model.compressors()
         for batch in batches:
             for part in slices(batch, "text", 4_000_000):
-                texts = part.column("text").cast(pa.binary()).to_pylist()
-                if model.weights is None:
-                    x, p = np.zeros((len(texts), 5)), np.full(len(texts), 0.5)
-                else:
-                    x = np.array([features(t, c) for t in texts])
-                    p = 1 / (1 + np.exp(-np.clip(_expand(x) @ model.weights, -30, 30)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(p), pa.array(x[:, 0])], ["doc_id", "held_out", "score", "difference"])
+                d = np.array([difference(t, c) if c else 0.0 for t in part.column("text").cast(pa.binary()).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(model.scores(d)), pa.array(d)], ["doc_id", "held_out", "score", "difference"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_of().alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, difference double").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
@@ -145,9 +141,8 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
         c = model.compressors()
         for batch in batches:
             for part in slices(batch, "text", 4_000_000):
-                x = np.array([features(t or b"", c) for t in part.column("text").cast(pa.binary()).to_pylist()])
-                p = 1 / (1 + np.exp(-np.clip(_expand(x) @ model.weights, -30, 30)))
-                yield part.filter(pa.array(p >= THRESHOLD))
+                d = np.array([difference(t or b"", c) for t in part.column("text").cast(pa.binary()).to_pylist()])
+                yield part.filter(pa.array(model.scores(d) >= THRESHOLD))
 
     if model.weights is None:
         return docs
