@@ -8,7 +8,10 @@ Spark adds the votes of a host, and its best ``PATHS`` paths, most votes first,
 first winning path that a page has, or else the page's own best one, is extracted again.
 
 Extraction leaves out menus, headers of the page, footers, sidebars, notices, adverts, forms, scripts,
-styles, markup and reader comments, by tag, role or class; decodes character references; turns white
+styles, markup, hidden parts and reader comments, by tag, role or the words of classes and ids, for
+inline elements too. Names that tell of a state (no-sidebar, has-menu, nav-open) don't count, and what
+only a name, a role, or the tags form and header speak against stays if it holds most of the page's
+text; comments go whatever their length. Extraction decodes character references; turns white
 space inside a block into one space; trims; and joins the blocks that aren't empty by a line feed.
 
 Defined results: a null or empty page gives an empty text; a page without any container is read
@@ -21,6 +24,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -34,18 +38,23 @@ BLOCK = 2_000_000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 CONTAINERS = frozenset("html body div article main section td center".split())
-SKIPPED = frozenset("nav footer aside form script style noscript template iframe svg button select option textarea object canvas dialog menu head title math audio video input".split())
+SKIPPED = frozenset("nav footer aside script style noscript template iframe svg button select option textarea object canvas dialog menu head title math audio video input".split())
 # Elements that a start tag of the key ends if they are open in the same container.
 ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 for _tag in "div article section ul ol h1 h2 h3 h4 h5 h6 table blockquote pre aside nav footer header form main figure dl hr".split():
     ENDS[_tag] = {"p"}
 
-_UNWANTED = re.compile(
-    r"(?:^|[-_\s])(?:ads?|adverts?|advertisement|advertising|adbox|adslot|banner|sponsor(?:ed)?|promo(?:tion)?s?|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|share|sharing|social"
-    r"|related|recommended|recommendations|comments?|replies|disqus|respond|sidebar|widget|menu|navbar|nav|navigation|breadcrumbs?|pagination|pager|footer|masthead|topbar|newsletter|subscribe|subscription|signup|login|toolbar|skip|copyright)(?:$|[-_\s])",
-    re.I,
+# Words of classes and ids, between white space, -, _ and a change of case.
+_UNWANTED = frozenset(
+    "ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie cookies copyright footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification"
+    " overlay pager pagination popup promo promos promotion promotions alert recommendations recommended related share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget".split()
 )
+_COMMENTS = frozenset("comment comments commentlist commentary commentarea disqus respond reply replies".split())
+_STATES = frozenset("no not has have with without is hide hides".split()), frozenset("open opened closed enabled disabled active visible on off toggled".split())
+_POST = frozenset("post entry article story hentry".split())
+_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu".split())
 _WANTED = re.compile(r"article|content|post|entry|story|body|text|main", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(script|style|noscript|template|textarea|svg|iframe|title|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)/?>|[^<]+|<",
@@ -56,37 +65,59 @@ _CAMEL = re.compile(r"([a-z])([A-Z])")
 _NUMBER = re.compile(r"[0-9]+")
 
 
+@lru_cache(10_000)
+def _spoken(names: str) -> tuple[bool, bool, bool]:
+    """Whether classes and ids speak of something unwanted, of comments, of a post."""
+    unwanted = comments = post = False
+    for name in names.split():
+        parts = [x for x in re.split("[-_]+", _CAMEL.sub(r"\1-\2", name).lower()) if x]
+        if not parts or parts[0] in _STATES[0] or parts[-1] in _STATES[1]:
+            continue
+        parts.append(name.lower())  # sideBar is side and bar, and sidebar
+        unwanted |= not _UNWANTED.isdisjoint(parts)
+        comments |= not _COMMENTS.isdisjoint(parts)
+        post |= not _POST.isdisjoint(parts)
+    return unwanted, comments, post
+
+
+def _attributes(text: str) -> dict[str, str]:
+    return {m[0].lower(): (m[1] or m[2] or m[3]) for m in _ATTRIBUTE.findall(text)} if text else {}
+
+
+def _hidden(found: dict[str, str]) -> bool:
+    return "hidden" in found or found.get("aria-hidden", "").lower() == "true" or ("style" in found and bool(_UNSEEN.search(found["style"])))
+
+
 class Element:
-    __slots__ = ("base", "bonus", "inside", "links", "name", "path", "plain", "skipped", "tag")
+    """An open element: ``gone`` for certain, or ``doubted`` and gone unless it holds most of the page's text."""
+
+    __slots__ = ("base", "bonus", "doubted", "gone", "held", "inside", "links", "name", "parent", "path", "plain", "skipped", "tag")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str):
-        found = {m[0].lower(): (m[1] or m[2] or m[3]) for m in _ATTRIBUTE.findall(attributes)} if attributes else {}
+        found = _attributes(attributes)
         classes = found.get("class", "")
         names = f"{classes} {found.get('id', '')}"
-        if names != names.lower():
-            names = f"{names} {_CAMEL.sub(r'\1-\2', names)}"  # sideBar is sideBar and side-Bar
-        self.tag = tag
+        unwanted, comments, post = _spoken(names) if names != " " else (False, False, False)
+        self.tag, self.parent = tag, parent
         self.name = ".".join([tag, *sorted(_NUMBER.sub("#", classes).split())])
         self.path = f"{parent.path}>{self.name}" if parent else self.name
-        self.inside = bool(parent) and (parent.inside or parent.tag in ("article", "main"))
-        self.skipped = (
-            (bool(parent) and parent.skipped)
-            or tag in SKIPPED
-            or (tag == "header" and not self.inside and not (parent and parent.tag in ("article", "main")))
-            or "hidden" in found
-            or found.get("role", "") in ("navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "menu")
-            or (tag not in ("html", "body", "article", "main") and names != " " and bool(_UNWANTED.search(names)))
-        )
+        whole = tag in ("html", "body", "article", "main")
+        self.inside = tag in ("article", "main") or post or (bool(parent) and parent.inside)
+        self.gone = (bool(parent) and parent.gone) or tag in SKIPPED or _hidden(found) or (comments and tag not in ("html", "body", "main"))
+        self.doubted = not whole and (unwanted or tag == "form" or (tag == "header" and not self.inside) or found.get("role", "") in _ROLES)
+        self.skipped = self.gone
         self.bonus = 200.0 if tag in ("article", "main") or found.get("role") == "main" or found.get("itemprop") == "articleBody" else 50.0 if names != " " and _WANTED.search(names) else 0.0
         self.plain = self.base = self.links = 0.0
+        self.held = 0  # characters in a doubted element
 
 
 def read(page: str) -> list[tuple[Element, str | None]]:
     """What a page shows, in order: (innermost open element that isn't inline, text), or None for the end of a block."""
     stack: list[Element] = []
-    out: list[tuple[Element, str | None]] = []
+    out: list[tuple[Element, str | None, int]] = []
     root = Element("#page", None, "")
-    links = 0
+    made, total = [root], 0
+    links, unseen = 0, []  # open links, and open inline elements from the first that isn't shown
     for m in _TOKEN.finditer(page):
         tag = m[3]
         if tag is None:
@@ -97,20 +128,36 @@ def read(page: str) -> list[tuple[Element, str | None]]:
                 else:
                     continue
             top = stack[-1] if stack else root
-            if not top.skipped:
-                out.append((top, text))
-                size = len(text)
-                top.plain += size
-                if links:
-                    top.links += size
+            if not top.gone and not unseen:
+                out.append((top, text, links))
+                if not text.isspace():
+                    total += len(text)
+                    above = top
+                    while above:
+                        if above.doubted:
+                            above.held += len(text)
+                        above = above.parent
             continue
         tag = tag.lower()
         if tag in INLINE:
             if tag == "a":
                 links = 0 if m[2] else 1
+            if tag in VOID:
+                continue
+            if m[2]:
+                if tag in unseen:
+                    del unseen[len(unseen) - 1 - unseen[::-1].index(tag) :]
+            elif unseen:
+                unseen.append(tag)
+            elif m[4] and not m[4].isspace():
+                found = _attributes(m[4])
+                names = f"{found.get('class', '')} {found.get('id', '')}"
+                if _hidden(found) or (names != " " and any(_spoken(names)[:2])):
+                    unseen.append(tag)
             continue
+        unseen.clear()  # a block ends what is open inside the last one
         top = stack[-1] if stack else root
-        out.append((top, None))
+        out.append((top, None, 0))
         if m[2]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k].tag == tag:
@@ -130,7 +177,18 @@ def read(page: str) -> list[tuple[Element, str | None]]:
                 elif stack[k].tag in CONTAINERS or stack[k].tag in ("ul", "ol", "table", "dl"):
                     break
         stack.append(Element(tag, stack[-1] if stack else root, m[4]))
-    return out
+        made.append(stack[-1])
+    for e in made:  # parents come first
+        e.skipped = e.gone or (bool(e.parent) and e.parent.skipped) or (e.doubted and 2 * e.held <= total)
+    shown = []
+    for top, text, linked in out:
+        if text is None:
+            shown.append((top, None))
+        elif not top.skipped:
+            shown.append((top, text))
+            top.plain += len(text)
+            top.links += len(text) if linked else 0
+    return shown
 
 
 def _parents(path: str) -> Iterator[str]:

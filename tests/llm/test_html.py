@@ -68,3 +68,27 @@ def test_the_whole_article_is_taken_however_long_its_inner_container_is(spark):
     rows = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert [rows[i] for i in range(3)] == ["\n".join(["Title", "Lead", " ".join(["word"] * n), "More"]) for n in (5, 400, 4000)]
     assert rows[3].endswith("one\ntwo")
+
+
+BODY = "<h1>Title</h1><p>" + "A text of the article with several words. " * 8 + "</p>"
+WANT = "Title\n" + " ".join(["A text of the article with several words."] * 8)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body><div class="site has-sidebar"><div class=post>{BODY}</div></div></body>',
+        f'<body><div class="content no-sidebar">{BODY}</div></body>',
+        f'<body><div id="page" class="nav-open"><div class=entry>{BODY}</div></div></body>',
+        f'<body><div class="widget sidebar-right"><div class=x>{BODY}</div></div></body>',
+        f'<body><form id=aspnet><div class=x>{BODY}</div></form></body>',
+        f'<body><div class=post>{BODY}<ol class="commentlist"><li><p>{"A reader says very much about it. " * 60}</p></li></ol></div></body>',
+        f'<body><div class=post><header>{BODY[:14]}</header>{BODY[14:]}</div><header><a href=/>Home of the site</a></header></body>',
+        f'<body><div class=post>{BODY.replace("</p>", "")}<span class="ad">Buy <b>now</b></span><span hidden>no</span><a class="share" href=#>Share</a><i aria-hidden="true">x</i><em style="display: none">y</em></p></div></body>',
+        f'<body><div class=post>{BODY}<div aria-hidden="true">no</div><div style="display:none">no</div></div><div class=ad-slot>Advert</div></body>',
+    ],
+)
+def test_names_and_hidden_parts(spark, page):
+    """Pages without <article>, with others of their host that vote."""
+    rows = html.main_text(spark.createDataFrame([(i, "http://h.example/", page) for i in range(3)], "page_id long, url string, html string")).collect()
+    assert [r["text"] for r in rows] == [WANT] * 3
