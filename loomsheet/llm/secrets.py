@@ -1,10 +1,11 @@
 """Secret scans: fixed formats, and sliding-window Shannon entropy over candidate strings.
 
-Everything is DataFrame functions. Candidates are unbroken runs of token characters of ``RUN``
-characters or more. For each, a window of ``WINDOW`` characters slides along; the counts of its
-characters change by one character in and one out, and so does the sum of c * log2(c), from which
-the window's entropy follows. What spans of a format cut out of a run isn't scanned again; each part
-left of the run is a candidate of its own. Windows that touch something on the allow-list
+Everything is DataFrame functions. What the formats find is masked, one format after another, and
+candidates are the unbroken runs of ``RUN`` token characters or more of what is left, so each part of
+a run that a format cuts is a candidate of its own. For each, a window of ``WINDOW`` characters slides
+along; the counts of its characters change by one character in and one out, and so does the sum of
+c * log2(c), from which the window's entropy follows. The counts lie ``PACKED`` to a number, ``BITS``
+bits each, so that a step costs the same however long the run is. Windows that touch something on the allow-list
 (placeholders, alphabets, paths of lower-case words) aren't scored, all others are: the allow-list
 cuts a part into pieces, and a piece without a digit is passed over. The limit depends on the piece's
 character class: hexadecimal, digits and letters, or the base-64 alphabet. A part with a window above
@@ -16,20 +17,29 @@ repeated rows repeat their spans; extra columns are dropped by ``find`` and kept
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
-from .spans import bare, joined, locate, redacted
+from .spans import bare, bound, joined, locate, masked, those
 
 KINDS = ("assign", "access", "hex", "entropy")
 # Fixed formats.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)"""
 ACCESS = r"AKIA[A-Z0-9]++"
 HEX = r"(?<![0-9a-f])[0-9a-f]++"
+FORMATS = (
+    (ASSIGN, lambda h: F.length(F.regexp_extract(h, ASSIGN, 2)) >= 6),
+    (ACCESS, lambda h: F.length(h) >= 20),
+    (HEX, lambda h: F.length(h) >= 24),
+)
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 
 RUN, WINDOW = 20, 20
+MASKS = "\x01\x02\x03\x04\x05\x06"
 HEX_ALPHABET = "0123456789abcdef"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 LIMITS = {"hex": 3.0, "alnum": 3.6, "base64": 3.7}  # bits a character
@@ -37,29 +47,42 @@ WORDS = r"(?i:example|placeholder|changeme|dummy|sample|lorem|x{6,}+|0{8,}+|1{8,
 PATH = r"(?:^|(?<=/))[a-z]{2,}+(?:/[a-z]{2,}+(?=/|$))++/?"
 ALLOWED = f"{WORDS}|{PATH}"
 
+PACKED, BITS = 12, 5
+PLOG = [n * math.log2(n) if n > 1 else 0.0 for n in range(WINDOW + 2)]
+
 
-def _plog(c: Column) -> Column:
-    return F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def max_entropy(run: Column, alphabet: str) -> Column:
     """The largest entropy of a window of the run, in bits a character, from counts kept as it slides."""
-    place = lambda i: F.instr(F.lit(alphabet), F.substr(run, i, F.lit(1))) - 1
-    shift = lambda counts, at, by: F.transform(counts, lambda v, j: F.when(j == at, v + by).otherwise(v))
+    shift = lambda way, a, by: F.call_function(f"shift{way}", a, by)
+    plog = lambda n: F.get(F.array(*[F.lit(x) for x in PLOG]), n)
 
-    def step(state: Column, i: Column) -> Column:
-        entering, leaving = place(i), F.when(i > WINDOW, place(i - WINDOW)).otherwise(F.lit(-1))
-        n_in = F.get(state["counts"], entering)
-        grown = state["plogs"] - _plog(n_in) + _plog(n_in + 1)
+    def slot(c: Column) -> Column:
+        return _let(F.instr(F.lit(alphabet), c) - 1, lambda k: F.struct(F.floor(k / PACKED).cast("int").alias("word"), (k % PACKED * BITS).cast("int").alias("shift")))
+
+    def step(slots: Column, state: Column, i: Column) -> Column:
+        entering, leaving = F.get(slots, i), F.get(slots, i - WINDOW)  # null before the window is full
+        many = lambda s: shift("right", F.get(state["counts"], s["word"]), s["shift"]).bitwiseAND(2**BITS - 1).cast("int")
+        one = lambda s: shift("left", F.lit(1).cast("long"), s["shift"])
+        n_in = many(entering)
         # The count that leaves is taken after the entering one has been added.
-        n_out = F.when(leaving >= 0, F.get(state["counts"], leaving) + F.when(leaving == entering, 1).otherwise(0)).otherwise(F.lit(1))
-        plogs = grown - _plog(n_out) + _plog(n_out - 1)
-        counts = F.transform(state["counts"], lambda v, j: v + F.when(j == entering, 1).otherwise(0) - F.when(j == leaving, 1).otherwise(0))
-        best = F.when(i >= WINDOW, F.greatest(state["best"], F.log2(F.lit(float(WINDOW))) - plogs / WINDOW)).otherwise(state["best"])
-        return F.struct(counts.alias("counts"), plogs.alias("plogs"), best.alias("best"))
+        n_out = many(leaving) + F.when(leaving == entering, 1).otherwise(0)
+        grown = state["plogs"] - plog(n_in) + plog(n_in + 1)
+        plogs = F.when(i >= WINDOW, grown - plog(n_out) + plog(n_out - 1)).otherwise(grown)
+        moved = lambda v, j: v + F.when(j == entering["word"], one(entering)).otherwise(0) - F.when(j == leaving["word"], one(leaving)).otherwise(0)
+        return _let(plogs, lambda p: F.struct(
+            F.transform(state["counts"], moved).alias("counts"), p.alias("plogs"),
+            F.when(i >= WINDOW - 1, F.greatest(state["best"], F.log2(F.lit(float(WINDOW))) - p / WINDOW)).otherwise(state["best"]).alias("best"),
+        ))
 
-    zero = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("plogs"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(run)), zero, step, lambda s: s["best"])
+    words = -(-len(alphabet) // PACKED)
+    zero = F.struct(F.array_repeat(F.lit(0).cast("long"), words).alias("counts"), F.lit(0.0).alias("plogs"), F.lit(0.0).alias("best"))
+    along = lambda slots: F.aggregate(F.sequence(F.lit(0), F.size(slots) - 1), zero, lambda state, i: step(slots, state, i), lambda s: s["best"])
+    return _let(F.transform(F.split(run, ""), slot), along)
 
 
 def _scored(piece: Column) -> Column:
@@ -76,35 +99,23 @@ def is_secret(part: Column) -> Column:
     return F.when(~part.rlike("[0-9]"), False).otherwise(F.exists(pieces, _scored))
 
 
-def _parts(run: Column, base: Column) -> Column:
-    """(start, stop, hit) of what the spans in ``base``, which are in order, leave of a run; parts shorter than ``RUN`` are dropped."""
-    part = lambda start, stop: F.struct(start.alias("start"), stop.alias("stop"), F.substr(run["hit"], start - run["start"] + 1, stop - start).alias("hit"))
-    add = lambda parts, start, stop: F.when(stop - start >= RUN, F.concat(parts, F.array(part(start, stop)))).otherwise(parts)
-    return F.aggregate(
-        F.filter(base, lambda b: (b["start"] < run["stop"]) & (b["stop"] > run["start"])),
-        F.struct(run["start"].alias("at"), F.array().cast("array<struct<start:int,stop:int,hit:string>>").alias("parts")),
-        lambda a, b: F.struct(F.greatest(a["at"], b["stop"]).alias("at"), add(a["parts"], a["at"], b["start"]).alias("parts")),
-        lambda a: add(a["parts"], a["at"], run["stop"]),
-    )
-
-
 def with_spans(docs: DataFrame) -> DataFrame:
     """Adds ``base`` and ``spans`` (kind, start, stop) to rows that have a text column named ``text``, without nulls."""
     df = locate(docs, "assign_", ASSIGN)
     df = locate(df, "access_", ACCESS, F.contains("text", F.lit("AKIA")))
     df = locate(df, "hex_", HEX, F.col("text").rlike("[0-9a-f]{24}"))
-    df = locate(df, "run_", CANDIDATE)
-    value = lambda s: F.regexp_extract(s["hit"], ASSIGN, 2)
-    base = F.concat(
-        bare(F.filter("assign_", lambda s: F.length(value(s)) >= 6), 0),
-        bare(F.filter("access_", lambda s: s["stop"] - s["start"] >= 20), 1),
-        bare(F.filter("hex_", lambda s: s["stop"] - s["start"] >= 24), 2),
-    )
+    base = F.concat(*[bare(those(name, wanted), k) for k, (name, (_, wanted)) in enumerate(zip(("assign_", "access_", "hex_"), FORMATS, strict=True))])
     order = lambda a: F.transform(F.array_sort(F.transform(a, lambda s: F.struct(s["start"], s["kind"], s["stop"]))), lambda s: F.struct(s["kind"], s["start"], s["stop"]))
-    df = df.withColumn("base", order(base))
-    parts = F.flatten(F.transform("run_", lambda s: _parts(s, F.col("base"))))
-    added = bare(F.filter(parts, lambda s: is_secret(s["hit"])), 3)
-    return df.withColumn("spans", order(F.concat("base", added))).drop("assign_", "access_", "hex_", "run_")
+    df = bound(df.withColumn("base", order(base)), "base")
+    # Only a text that can have a candidate is masked.
+    df = df.withColumn("left_", F.when(F.col("text").rlike(CANDIDATE), F.col("text")).otherwise(F.lit("")))
+    for pattern, wanted in FORMATS:
+        df = df.withColumn("left_", F.when(F.size("base") > 0, masked(F.col("left_"), pattern, wanted)).otherwise(F.col("left_")))
+        df = bound(df, "left_")
+    df = locate(df, "run_", CANDIDATE, text="left_")
+    added = bare(F.filter("run_", lambda s: is_secret(s["hit"])), 3)
+    df = df.withColumn("spans", F.when(F.size("run_") > 0, order(F.concat("base", added))).otherwise(F.col("base")))
+    return bound(df, "spans").drop("assign_", "access_", "hex_", "left_", "run_")
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -113,10 +124,20 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """The rows of ``docs`` with every found secret in ``text`` replaced; rows without one stay as they are."""
+    """The rows of ``docs`` with every found secret in ``text`` replaced; rows without one stay as they are.
+
+    The spans that ``find`` gives are masked by a character that the text doesn't have, one of six; a
+    text that has all six loses its runs of the last one to the mark too.
+    """
     names = docs.columns
-    held = docs.withColumn("__kept", F.struct(*names)).select(text_of().alias("text"), "__kept")
-    out = with_spans(held).withColumn("__text", F.when(F.size("spans") > 0, redacted(F.col("text"), F.col("spans"), mark)).otherwise(F.col("__kept")["text"]))
+    mask = F.lit(MASKS[-1])
+    for c in reversed(MASKS[:-1]):
+        mask = F.when(~F.contains("text", F.lit(c)), F.lit(c)).otherwise(mask)
+    df = docs.withColumn("__kept", F.struct(*names)).select(text_of().alias("text"), "__kept").withColumn("__mask", mask).withColumn("__left", F.col("text"))
+    for pattern, wanted in (*FORMATS, (CANDIDATE, is_secret)):
+        df = bound(df.withColumn("__left", masked(F.col("__left"), pattern, wanted, F.col("__mask"))), "__left")
+    marked = F.regexp_replace("__left", F.concat("__mask", F.lit("+")), F.lit(mark.replace("\\", r"\\").replace("$", r"\$")))
+    out = df.withColumn("__text", F.when(F.col("__left") != F.col("text"), marked).otherwise(F.col("__kept")["text"]))
     return out.select(*[F.col("__text").alias(n) if n == "text" else F.col("__kept")[n].alias(n) for n in names])
 
 

@@ -8,6 +8,8 @@ so that a text with very many matches isn't quadratic.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +54,28 @@ def locate(df: DataFrame, name: str, pattern: str, guard: Column | None = None,
     return df.withColumn(name, whole).drop(hits, parts, sums, f"{name}__blocks")
 
 
+def those(spans: str, wanted: Callable[[Column], Column]) -> Column:
+    """The spans of a column whose text is ``wanted``."""
+    return F.filter(spans, lambda s: wanted(s["hit"]))
+
+
+MASK = "\x01"  # stands for each character that is cut out; no pattern of this folder matches it
+
+
+def masked(text: Column, pattern: str, wanted: Callable[[Column], Column] | None = None, mask: Column | None = None) -> Column:
+    """The text with each character of the matches, or of those that are ``wanted``, replaced by ``mask``, by default ``MASK``."""
+    gone = lambda h: F.repeat(F.lit(MASK) if mask is None else mask, F.char_length(h))
+    hit = lambda h: gone(h) if wanted is None else F.when(wanted(h), gone(h)).otherwise(h)
+    pieces = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p, h: F.concat(p, F.coalesce(hit(h), F.lit(""))))
+    return F.when(text.rlike(pattern), F.array_join(pieces, "")).otherwise(text)
+
+
+def bound(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with these columns as results of a generator, so that no filter further up evaluates them again."""
+    others = [c for c in df.columns if c not in names]
+    return df.select(*others, F.inline(F.array(F.struct(*names)))).select(df.columns)
+
+
 def bare(spans: Column, kind: int) -> Column:
     """(kind, start, stop) of spans."""
     return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
@@ -61,25 +85,3 @@ def joined(spans: Column, kinds: tuple[str, ...]) -> Column:
     """``kind:start:stop`` of each span, joined by commas."""
     names = F.array(*[F.lit(k) for k in kinds])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
-
-
-def redacted(text: Column, spans: Column, mark: str) -> Column:
-    """The text with each of the spans, which may overlap, replaced by ``mark``."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))))
-    merged = F.aggregate(
-        ordered,
-        F.array().cast("array<struct<start:int,stop:int>>"),
-        lambda a, s: F.when(
-            (F.size(a) > 0) & (s["start"] <= F.element_at(a, -1)["stop"]),
-            F.concat(
-                F.slice(a, 1, F.size(a) - 1),
-                F.array(F.struct(F.element_at(a, -1)["start"].alias("start"), F.greatest(F.element_at(a, -1)["stop"], s["stop"]).alias("stop"))),
-            ),
-        ).otherwise(F.concat(a, F.array(s))),
-    )
-    pieces = F.transform(
-        merged,
-        lambda s, i: F.concat(F.substr(text, F.when(i > 0, F.get(merged, i - 1)["stop"]).otherwise(0) + 1, s["start"] - F.when(i > 0, F.get(merged, i - 1)["stop"]).otherwise(0)), F.lit(mark)),
-    )
-    tail = F.substr(text, F.element_at(merged, -1)["stop"] + 1)
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(text)
