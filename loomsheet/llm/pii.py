@@ -1,17 +1,24 @@
 """Personal data: candidate spans scored by gradient-boosted trees, on top of fixed formats.
 
-Only DataFrame functions run on the data. High-recall generators propose overlapping spans: address-
-like strings with an at sign or a written-out one, and number-like strings that may be a dotted
-address, a card or a phone number. Each candidate has format features (digits, groups, separators)
-and context features (neighbouring characters, words that announce such data). One aggregate over
-all candidates counts each combination of features, and how many of it are confirmed by a format's
-own checks, separately for two halves of the documents. That table is bounded by the product of the
-features' values; shallow trees are boosted on one half of its counts, and the other half sets each
-kind's threshold, the lowest score above which ``PRECISION`` of the candidates are confirmed. What a
-check itself tests (leading plus, Luhn sum) isn't a feature, so that look-alikes can score high.
-
-Defined results: null and empty texts have no spans; with no candidates at all nothing is added;
-texts are scanned whole; repeated rows repeat their spans; extra columns are dropped.
+Only DataFrame functions run on the data. What the fixed formats find is masked; in the rest of a text,
+high-recall generators, one for each kind, propose spans that may overlap: addresses whose at sign or
+dots are spaced, bracketed or written out, dotted addresses, cards and phone numbers with other
+separators or without a plus. Each candidate has format features (digits, groups, separators, Luhn sum,
+octets) and context features (neighbouring characters, words that announce such data).
+
+The trees learn without labels. Every span of a fixed format is written once more in another way
+(``VARIANTS``, chosen by a hash), in its own context: a positive. Beside it stands a spoilt copy
+(``SPOILT``: a wrong Luhn sum, a part above 255, too few digits, no dot): a negative. So is each
+candidate of the texts, unless undoing the disguise gives a valid address, dotted address or card; those
+are left out of training. One aggregate counts each combination of features by label, separately for
+two halves of the documents, so what is learned from is bounded by the features' values however large
+the table is. Shallow trees are boosted on the counts of one half; the other half sets each kind's
+threshold, the lowest score above which at least ``PRECISION`` of the examples are positives. A
+candidate that reaches its kind's threshold is added.
+
+Defined results: null and empty texts have no spans; with no spans of a fixed format there is nothing
+to learn from and nothing is added; texts are scanned whole; repeated rows repeat their spans; extra
+columns are dropped.
 """
 
 from __future__ import annotations
@@ -23,8 +30,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
-from .spans import bare, joined, locate
+from .common import Tables, text_of
+from .spans import MASK, bare, bound, joined, locate, masked, those
 
 KINDS = ("email", "ip", "card", "phone")
 # Fixed formats. A match starts where no earlier start could differ, so that runs are read once.
@@ -33,10 +40,21 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTET = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
-# Generators.
-ADDRESS_LIKE = r"(?:(?<![^\s<>,;:()\[\]])|\G)[^\s<>,;:()\[\]@]{1,64}(?:@|\x20?[\[(](?:at|AT)[\])]\x20?)[^\s<>,;:()\[\]@]{3,}+"
-NUMBER_LIKE = r"(?<![0-9A-Za-z])[+(]{0,2}[0-9][\x20().0-9/-]{5,}[0-9]"
-ANNOUNCED = r"(?i)(?:mail|contact|write|tel|phone|call|fax|mobil|card|visa|account|host|addr|ip)\W{0,4}\w{0,12}\W{0,3}$"
+# Generators, each for a kind. Nothing starts or ends beside a masked character.
+_EDGE = rf"(?<![0-9A-Za-z{MASK}])"
+_STOP = rf"(?![0-9A-Za-z{MASK}])"
+_AT = r"(?:\x20?@\x20?|\x20?[\[({<]\x20?(?i:at)\x20?[\])}>]\x20?|\x20(?i:at)\x20|_(?i:at)_)"
+_DOT = r"(?:\x20?[\[({<]\x20?(?:(?i:dot)|\.)\x20?[\])}>]\x20?|\x20(?i:dot)\x20|_(?i:dot)_|\x20?\.\x20?)"
+_WORD = r"[\p{L}\p{N}%+-]+?"
+GENERATORS = (
+    rf"(?<![\p{{L}}\p{{N}}._%+{MASK}-]){_WORD}(?:{_DOT}{_WORD}){{0,3}}?{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+){{1,4}}{_STOP}",
+    rf"{_EDGE}[0-9]{{1,4}}(?:(?:{_DOT}|[,:_-])[0-9]{{1,4}}){{3}}{_STOP}",
+    rf"{_EDGE}[0-9]{{3,6}}(?:[\x20._/\xa0-]{{0,3}}[0-9]{{3,7}}){{2,5}}{_STOP}",
+    rf"{_EDGE}(?:\+\x20)?[(]?[0-9][\x20()./0-9\xa0-]{{5,20}}[0-9]{_STOP}",
+)
+GUARDS = (r"@|(?i:\bat\b|_at_)", r"[0-9]", r"[0-9]{3}", r"[0-9]")
+# Words that announce a kind just before it.
+ANNOUNCED = tuple(rf"(?i)(?:{words})\W{{0,4}}\w{{0,12}}\W{{0,3}}$" for words in ("mail|contact|write|reach|address", "ip|host|addr|server|node", "card|visa|pay|account|credit", "tel|phone|call|fax|mobil|contact|reach"))
 
 PRECISION = 0.95
 ROUNDS, RATE, LEAST = 24, 0.4, 5.0
@@ -88,49 +106,105 @@ def _side(c: Column) -> Column:
     return F.when((c == "") | c.rlike(r"^\s$"), 0).when(c.rlike(r"^(?U)\w$"), 2).otherwise(1)
 
 
+def _chosen(*cases: tuple[str, int]):
+    """The number of the first pattern that a candidate has, or 0."""
+    return lambda s: reduce(lambda rest, case: F.when(s["hit"].rlike(case[0]), case[1]).otherwise(rest), reversed(cases), F.lit(0))
+
+
+def _octets(hit: Column) -> Column:
+    return F.forall(F.filter(F.split(hit, "[^0-9]+"), lambda p: p != ""), lambda p: p.rlike(OCTET))
+
+
 FEATURES = (
     Feature("digits", 7, lambda s: _bucket(F.length(_digits(s["hit"])), 4, 7, 8, 10, 13, 16)),
-    Feature("groups", 4, lambda s: _bucket(F.size(F.split(s["hit"], "[^0-9A-Za-z]+")), 2, 4, 5)),
-    Feature("dots", 4, lambda s: _bucket(F.regexp_count(s["hit"], F.lit(r"\.")), 1, 3, 4)),
-    Feature("bracket", 2, lambda s: F.when(s["hit"].rlike(r"[()\[\]]"), 1).otherwise(0)),
-    Feature("dash", 2, lambda s: F.when(s["hit"].contains("-"), 1).otherwise(0)),
+    Feature("groups", 6, lambda s: _bucket(F.size(F.split(s["hit"], "[^0-9A-Za-z]+")), 2, 3, 4, 5, 6)),
+    Feature("at", 5, _chosen((r"[\[({<]\x20?(?i:at)\x20?[\])}>]", 3), (r"[\x20_](?i:at)[\x20_]", 4), (r"\x20@|@\x20", 2), ("@", 1))),
+    Feature("dot", 4, _chosen((r"(?i)[^a-z]dot[^a-z]", 2), (r"\x20\.|\.\x20|[\[({<]\x20?\.", 3), (r"\.", 1))),
+    Feature("tail", 3, _chosen((r"[^A-Za-z][A-Za-z]{2,6}$", 2), ("[A-Za-z]$", 1))),
+    Feature("joint", 5, _chosen((r"^[0-9]+$", 0), (r"^[0-9 ]+$", 1), (r"^[0-9.]+$", 2), (r"^[0-9-]+$", 3), ("^", 4))),
+    Feature("lead", 4, _chosen((r"^[(]", 1), (r"^\+", 2), ("^00", 3))),
+    Feature("luhn", 2, lambda s: F.when(F.length(_digits(s["hit"])).between(16, 19), luhn(_digits(s["hit"])).cast("int")).otherwise(0)),
+    Feature("octets", 2, lambda s: F.when(_octets(s["hit"]), 1).otherwise(0)),
     Feature("left", 3, lambda s: _side(F.right(s["before"], F.lit(1)))),
     Feature("right", 3, lambda s: _side(F.left(s["after"], F.lit(1)))),
-    Feature("announced", 2, lambda s: F.when(s["before"].rlike(ANNOUNCED), 1).otherwise(0)),
+    Feature("announced", 2, lambda s: F.when(reduce(lambda rest, k: F.when(s["kind"] == k, s["before"].rlike(ANNOUNCED[k])).otherwise(rest), range(len(KINDS)), F.lit(False)), 1).otherwise(0)),
+)
+
+
+def _undone(hit: Column) -> Column:
+    """An address without its disguise."""
+    return F.regexp_replace(F.regexp_replace(hit, _AT, "@"), _DOT, ".")
+
+
+def _valid(kind: int, hit: Column) -> Column:
+    """Whether a candidate is of its kind once the disguise is undone; a phone number can't be told from others so."""
+    if kind == 0:
+        return _undone(hit).rlike(f"^{EMAIL}$")
+    if kind == 1:
+        return _octets(hit) & (F.size(F.split(hit, "[^0-9]+")) == 4)
+    return good_card(hit) if kind == 2 else F.lit(False)
+
+
+def _respelt(at: str, dot: str):
+    return lambda hit: F.regexp_replace(F.regexp_replace(hit, "@", at), r"\.", dot)
+
+
+def _joined_by(mark: str):
+    return lambda hit: F.regexp_replace(F.regexp_replace(_digits(hit), "([0-9]{4})(?=[0-9]{3})", f"$1{mark}"), r"[^0-9]+$", "")
+
+
+# Other ways to write a span of each kind, and ways to spoil one.
+VARIANTS = (
+    (_respelt(" (at) ", " (dot) "), _respelt(" [at] ", "."), _respelt(" at ", " dot "), _respelt(" @ ", "."), _respelt("[at]", "[dot]"), _respelt("_at_", "_dot_"), _respelt("{at}", " . ")),
+    (_respelt("@", "[.]"), _respelt("@", " . "), _respelt("@", " dot "), _respelt("@", "(.)"), _respelt("@", "[dot]")),
+    (_joined_by("."), _joined_by("_"), _joined_by("  "), _joined_by(" - "), _joined_by("/")),
+    (lambda h: F.concat(F.lit("00"), F.substr(h, F.lit(2))), lambda h: F.concat(F.lit("+ "), F.substr(h, F.lit(2))), lambda h: F.substr(h, F.lit(2)), lambda h: F.regexp_replace(F.substr(h, F.lit(2)), "[ -]", "/")),
+)
+SPOILT = (
+    (_respelt(" at ", " "), _respelt(" @ ", " "), lambda h: F.regexp_replace(_undone(h), "@", " . ")),
+    tuple(lambda h, dot=dot: F.concat(F.lit("3"), F.regexp_replace(F.regexp_replace(h, r"^[0-9]+", "99"), r"\.", dot)) for dot in ("[.]", " . ", ".", ",")),
+    tuple(lambda h, mark=mark: _joined_by(mark)(F.concat(F.left(_digits(h), F.length(_digits(h)) - 1), ((F.right(_digits(h), F.lit(1)).cast("int") + 1) % 10).cast("string"))) for mark in (".", "_", "  ")),
+    (lambda h: F.left(_digits(h), F.lit(7)), lambda h: F.regexp_replace(F.left(_digits(h), F.lit(8)), "^([0-9]{4})([0-9]{2})([0-9]{2})$", "$1-$2-$3")),
 )
 
 
-def _kind_of_number(s: Column) -> Column:
-    n = F.length(_digits(s["hit"]))
-    return F.when(s["hit"].rlike(r"^[0-9]+(?:\.[0-9]+){3}$"), 1).when(n >= 16, 2).otherwise(3)
+def _one_of(ways, span: Column) -> Column:
+    """A span written in one of some ways, by the hash of its text and place."""
+    k = F.pmod(F.xxhash64(span["hit"], span["start"]), F.lit(len(ways)))
+    return reduce(lambda rest, i: F.when(k == i, ways[i](span["hit"])).otherwise(rest), range(1, len(ways)), ways[0](span["hit"]))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, base (kind, start, stop) and candidates with their features, for (doc_id, text)."""
+    """doc_id, base (kind, start, stop), near and made (candidates with features and a label) for (doc_id, text)."""
     df = docs.select("doc_id", text_of().alias("text"))
-    df = locate(df, "email", EMAIL, F.contains("text", F.lit("@")))
-    df = locate(df, "ip", IP)
-    df = locate(df, "card", CARD)
-    df = locate(df, "phone", PHONE, F.contains("text", F.lit("+")))
-    df = locate(df, "near_address", ADDRESS_LIKE, F.contains("text", F.lit("@")) | F.col("text").rlike(r"[\[(](?:at|AT)[\])]"))
-    df = locate(df, "near_number", NUMBER_LIKE)
-    base = F.concat(
-        bare(F.col("email"), 0),
-        bare(F.filter("ip", lambda s: good_ip(s["hit"])), 1),
-        bare(F.filter("card", lambda s: good_card(s["hit"])), 2),
-        bare(F.filter("phone", lambda s: good_phone(s["hit"])), 3),
-    )
-    df = df.select("doc_id", base.alias("base"), "near_address", "near_number")
-
-    def described(s: Column, kind: Column) -> Column:
-        near = lambda b: (b["kind"] == kind) & (b["start"] < s["stop"]) & (b["stop"] > s["start"])
-        return F.struct(
-            kind.alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), F.exists("base", near).alias("confirmed"),
-            F.exists("base", lambda b: (b["start"] < s["stop"]) & (b["stop"] > s["start"])).alias("covered"), *[f.value(s).alias(f.name) for f in FEATURES],
-        )
-
-    made = F.concat(F.transform("near_address", lambda s: described(s, F.lit(0))), F.transform("near_number", lambda s: described(s, _kind_of_number(s))))
-    return df.select("doc_id", "base", made.alias("near"))
+    patterns = {"email": (EMAIL, None), "ip": (IP, good_ip), "card": (CARD, good_card), "phone": (PHONE, good_phone)}
+    guards = {"email": F.contains("text", F.lit("@")), "phone": F.contains("text", F.lit("+"))}
+    for name, (pattern, good) in patterns.items():
+        df = locate(df, name, pattern, guards.get(name))
+        if good is not None:
+            df = df.withColumn(name, those(name, good))
+    df = bound(df, *patterns)
+    df = df.withColumn("left_", F.col("text"))
+    for name, (pattern, good) in patterns.items():
+        df = bound(df.withColumn("left_", F.when(F.size(name) > 0, masked(F.col("left_"), pattern, good)).otherwise(F.col("left_"))), "left_")
+    near = [f"near_{name}" for name in KINDS]
+    for name, pattern, guard in zip(near, GENERATORS, GUARDS, strict=True):
+        df = locate(df, name, pattern, F.col("left_").rlike(guard), text="left_")
+
+    def described(kind: int, span: Column, hit: Column, label: Column) -> Column:
+        s = {"kind": F.lit(kind), "hit": hit, "before": span["before"], "after": span["after"]}
+        return F.struct(F.lit(kind).alias("kind"), span["start"].alias("start"), span["stop"].alias("stop"), label.cast("int").alias("label"), *[f.value(s).cast("int").alias(f.name) for f in FEATURES])
+
+    def natural(name: str, kind: int) -> Column:
+        return F.transform(name, lambda s: described(kind, s, s["hit"], F.when(_valid(kind, s["hit"]), F.lit(None)).otherwise(0)))
+
+    def rewritten(name: str, kind: int, ways: tuple, label: int) -> Column:
+        return F.transform(name, lambda s: described(kind, s, _one_of(ways[kind], s), F.lit(label)))
+
+    found = [natural(name, k) for k, name in enumerate(near)]
+    made = [rewritten(name, k, ways, label) for ways, label in ((VARIANTS, 1), (SPOILT, 0)) for k, name in enumerate(KINDS)]
+    base = F.concat(*[bare(F.col(name), k) for k, name in enumerate(KINDS)])
+    return df.select("doc_id", base.alias("base"), F.concat(*found).alias("near"), F.concat(*made).alias("made"))
 
 
 @dataclass
@@ -189,15 +263,15 @@ def _grow(cells: list[dict], depth: int) -> tuple | float:
 
 
 def train(near: DataFrame) -> Model:
-    """Boosts on the counts of all candidates; their table has one row for each combination of features."""
+    """Boosts on the counts of all examples; their table has one row for each combination of features."""
     names = ["kind", *(f.name for f in FEATURES)]
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
-    flat = near.select(half.alias("half"), F.explode("near").alias("c")).select("half", "c.*")
-    hit = F.col("confirmed").cast("long")
+    flat = near.select(half.alias("half"), F.explode(F.concat("near", "made")).alias("c")).select("half", "c.*").where("label IS NOT NULL")
+    hit = F.col("label").cast("long")
     rows = flat.groupBy(*names).agg(
         F.sum(F.when(F.col("half") == 0, 1).otherwise(0)).alias("n0"), F.sum(F.when(F.col("half") == 0, hit).otherwise(0)).alias("y0"),
         F.sum(F.when(F.col("half") == 1, 1).otherwise(0)).alias("n1"), F.sum(F.when(F.col("half") == 1, hit).otherwise(0)).alias("y1"),
-    ).collect()  # fmt: skip  at most the product of the features' sizes
+    ).collect()  # fmt: skip  bounded by the features' values
     cells = sorted((r.asDict() for r in rows), key=lambda c: [c[n] for n in names])
     n, y = sum(c["n0"] for c in cells), sum(c["y0"] for c in cells)
     if not n:
@@ -225,14 +299,13 @@ def train(near: DataFrame) -> Model:
 
 
 def select(near: DataFrame, model: Model) -> DataFrame:
-    """Adds ``spans``: the base, and the candidates that no base span touches and whose score reaches the threshold of their kind."""
+    """Adds ``spans``: the base, and the candidates whose score reaches the threshold of their kind."""
 
     def wanted(c: Column) -> Column:
         if not model.limits:
             return F.lit(False)
-        margin = model.margin(lambda name: c[name])
-        over = reduce(lambda a, k: a | ((c["kind"] == k) & (margin >= model.limits[k] - 1e-9)), model.limits, F.lit(False))
-        return ~c["covered"] & over
+        limits = F.array(*[F.lit(model.limits.get(k, math.inf) - 1e-9) for k in range(len(KINDS))])
+        return model.margin(lambda name: c[name]) >= F.get(limits, c["kind"])
 
     added = F.transform(F.filter("near", wanted), lambda c: F.struct(c["kind"], c["start"], c["stop"]))
     return near.select("doc_id", "base", F.array_sort(F.concat("base", added)).alias("spans"))
@@ -240,8 +313,11 @@ def select(near: DataFrame, model: Model) -> DataFrame:
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, base, spans (kind, start, stop) for every row of ``docs`` (doc_id, text); learns from all of them."""
-    near = written(candidates(docs), "pii")
-    return select(near, train(near))
+    keep = Tables(docs.sparkSession)
+    near = keep(candidates(docs), "near")
+    found = keep(select(near, train(near)), "spans")
+    keep.drop("near")
+    return found
 
 
 def digest(found: DataFrame) -> DataFrame:
