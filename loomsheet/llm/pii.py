@@ -9,8 +9,8 @@ octets) and context features (neighbouring characters, words that announce such
 The trees learn without labels. Every span of a fixed format is written once more in another way
 (``VARIANTS``, chosen by a hash), in its own context: a positive. Beside it stands a spoilt copy
 (``SPOILT``: a wrong Luhn sum, a part above 255, too few digits, no dot): a negative. So is each
-candidate of the texts, unless undoing the disguise gives a valid address, dotted address or card; those
-are left out of training. One aggregate counts each combination of features by label, separately for
+candidate of the texts, unless undoing the disguise gives a valid address, dotted address, card or
+phone number with a country's prefix; those are left out of training. One aggregate counts each combination of features by label, separately for
 two halves of the documents, so what is learned from is bounded by the features' values however large
 the table is. Shallow trees are boosted on the counts of one half; the other half sets each kind's
 threshold, the lowest score above which at least ``PRECISION`` of the examples are positives. A
@@ -137,12 +137,12 @@ def _undone(hit: Column) -> Column:
 
 
 def _valid(kind: int, hit: Column) -> Column:
-    """Whether a candidate is of its kind once the disguise is undone; a phone number can't be told from others so."""
+    """Whether a candidate is of its kind once the disguise is undone; a phone number only if it has a country's prefix."""
     if kind == 0:
         return _undone(hit).rlike(f"^{EMAIL}$")
     if kind == 1:
         return _octets(hit) & (F.size(F.split(hit, "[^0-9]+")) == 4)
-    return good_card(hit) if kind == 2 else F.lit(False)
+    return good_card(hit) if kind == 2 else hit.rlike(r"^(?:00|\+)") & good_phone(hit)
 
 
 def _respelt(at: str, dot: str):
