@@ -38,7 +38,7 @@ from .common import Tables, slices, text_of, utf8
 SEED = 5
 COVERAGE = 0.5
 BLOCK = 2_000_000  # bytes of text hashed together
-BITS = 2**27  # at most, in the bitmap of seeds: 16 MB
+BITS, SPARSE = 2**27, 256  # bits of the bitmap of seeds: 16 MB at most, and SPARSE for each seed where they fit
 SEEDS = 2_000_000  # pairs of places looked at together
 LISTED = 4_000_000  # texts (a few longs each) whose leaks may be broadcast
 
@@ -159,7 +159,7 @@ def finders(items: DataFrame, coverage: float) -> DataFrame:
 def bitmap(items: DataFrame) -> np.ndarray:
     """A bit for each value of the low bits of the seeds' hashes; a row comes to the driver for every 32768 bits."""
     seeds = items.select(F.explode("hashes").alias("h"))
-    bits = min(BITS, max(2**16, 2 ** math.ceil(math.log2(16 * max(1, seeds.count())))))
+    bits = min(BITS, max(2**16, 2 ** math.ceil(math.log2(SPARSE * max(1, seeds.count())))))
     value = F.pmod(F.col("h"), F.lit(bits)) + 1
     rows = seeds.groupBy(F.bitmap_bucket_number(value).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(value)).alias("bits")).collect()
     out = np.zeros(bits // 8, np.uint8)
