@@ -9,13 +9,13 @@ from .values import literal, unicode
 
 # What the presets match.
 PRESETS = {
-    "email": r"[\w.+-]+@[\w-]+\.[\w.-]+",
-    "phone": r"\+?\d[\d\s().-]{7,}\d",
-    "url": r"https?://[^\s<>\"']+",
-    "number": r"-?\d+(?:\.\d+)?",
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+    "phone": r"\+?\d[\d\s().-]{6,}\d",
+    "url": r"https?://[^\s\"'<>)\]]+",
+    "number": r"-?\d+(?:[.,]\d+)?",
     "hashtag": r"#\w+",
     "mention": r"@\w+",
-    "date": r"\d{4}-\d{2}-\d{2}",
+    "date": r"\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}/\d{1,2}/\d{2,4}\b",
 }
 
 

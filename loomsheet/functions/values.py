@@ -165,3 +165,8 @@ def coerced(value, dt: T.DataType) -> Column:
     if isinstance(dt, T.StringType):
         return F.lit(value if isinstance(value, str) else str(value))
     return F.lit(value).cast(dt)
+
+
+def hashable(df: DataFrame) -> list[Column]:
+    """The columns that Spark can hash: all but those with maps or variants."""
+    return [quoted(f.name) for f in df.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))] or [F.lit(0)]

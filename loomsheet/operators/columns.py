@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.values import as_text, coerced, dtype, kind, quoted, typed
-
+from .ranks import medians
 
 DTYPES = {"string": "string", "integer": "bigint", "float": "double", "boolean": "boolean", "date": "date", "datetime": "timestamp"}
 # The text forms that a cast to date or datetime tries, in this order.
@@ -49,12 +51,15 @@ def cast_column(df: DataFrame, column: str, dtype_name: str, new_column: str | N
     return df.withColumn(new_column or column, cast_to(quoted(column), dtype(df, column), dtype_name))
 
 
-def ordered_fill(df: DataFrame, column: str, forward: bool = True, order: str = "row_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def ordered_fill(df: DataFrame, column: str, forward: bool = True, order: str = "row_id", block_rows: int | None = None) -> DataFrame:
     """Each null takes the last value before it (or the next after it), by a numeric order.
 
     Blocks of the order are filled by themselves; what a block hands on is one row of a small table.
+    Blocks grow with the root of the table, so that no task has many more rows than there are blocks.
     """
     c, at = quoted(column), quoted(order)
+    if block_rows is None:
+        block_rows = max(BLOCK_ROWS, math.isqrt(int(df.agg(F.max(at) - F.min(at)).first()[0] or 0)))
     rows = df.withColumn("__block", F.floor(at / block_rows).cast("long"))
     w = Window.partitionBy("__block").orderBy(at if forward else at.desc()).rowsBetween(Window.unboundedPreceding, 0)
     filled = rows.withColumn("__own", F.last(c, ignorenulls=True).over(w))
@@ -66,7 +71,7 @@ def ordered_fill(df: DataFrame, column: str, forward: bool = True, order: str =
     return joined.select(*[F.coalesce("__own", "__carried").alias(n) if n == column else quoted(n) for n in df.columns])
 
 
-def fill_missing(df: DataFrame, column: str, strategy: str, value=None, order: str = "row_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def fill_missing(df: DataFrame, column: str, strategy: str, value=None, order: str = "row_id", block_rows: int | None = None) -> DataFrame:
     """Nulls become a value, a neighbour, or a statistic of the column."""
     dt, c = dtype(df, column), quoted(column)
     if strategy in ("forward", "backward"):
@@ -75,11 +80,14 @@ def fill_missing(df: DataFrame, column: str, strategy: str, value=None, order: s
         return df.withColumn(column, F.coalesce(c, coerced(0 if strategy == "zero" else typed(value, dt), dt)))
     if strategy in ("mean", "median") and kind(dt) not in ("integer", "float"):
         raise ValueError(f"{strategy} needs a column of numbers, {column!r} is {kind(dt)}")
-    stats = {"mean": F.avg(c), "median": F.median(c), "min": F.min(c), "max": F.max(c), "mode": F.mode(c, deterministic=True)}
+    if strategy == "median":
+        middle = medians(df, [], column).select("median").scalar()
+        return df.withColumn(column, F.coalesce(c, middle.cast(dt) if kind(dt) == "integer" else middle))
+    stats = {"mean": F.avg(c), "min": F.min(c), "max": F.max(c), "mode": F.mode(c, deterministic=True)}
     if strategy not in stats:
         raise ValueError(f"unknown strategy {strategy!r}")
     fill = df.agg(stats[strategy].alias("__fill")).scalar()  # one value, planned as a subquery
-    return df.withColumn(column, F.coalesce(c, fill.cast(dt) if strategy in ("mean", "median") and kind(dt) == "integer" else fill))
+    return df.withColumn(column, F.coalesce(c, fill.cast(dt) if strategy == "mean" and kind(dt) == "integer" else fill))
 
 
 def replace_values(df: DataFrame, column: str, mapping: dict, new_column: str | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ An edit list holds ops in order: {"op": "add", "row": {...}}, {"op": "update", "
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,10 +50,6 @@ def count_matches(df: DataFrame, column: str, find, mode: str = "exact", ignore_
     return df.agg(F.count_if(_match(df, column, find, mode, ignore_case)).alias("matches"))
 
 
-def _renumbered(df: DataFrame, row_id: str) -> DataFrame:
-    return number_rows(df, [row_id], row_id) if row_id in df.columns else number_rows(df, df.columns, row_id)
-
-
 def _apply_rows(df: DataFrame, run: list[dict], row_id: str) -> DataFrame:
     """Updates and deletes that follow one another, as one join."""
     rows: dict[int, dict | None] = {}
@@ -113,8 +109,8 @@ def _add(df: DataFrame, rows: list[dict], row_id: str, start: int) -> DataFrame:
     return df.unionByName(df.sparkSession.createDataFrame(data, schema))
 
 
-def apply_changes(df: DataFrame, ops: list[dict], row_id: str = "row_id") -> DataFrame:
-    """The table after all edits in order. Added rows come last, with numbers from 2**40."""
+def apply_changes(df: DataFrame, ops: list[dict], row_id: str = "row_id", start: int = ADDED) -> DataFrame:
+    """The table after all edits in order. Added rows come last, with numbers from ``start``, by default 2**40."""
     run: list[dict] = []
     added = 0
 
@@ -131,7 +127,7 @@ def apply_changes(df: DataFrame, ops: list[dict], row_id: str = "row_id") -> Dat
         df = flush(df)
         if op["op"] == "add":
             rows = op["rows"] if "rows" in op else [op["row"]]
-            df, added = _add(df, rows, row_id, ADDED + added), added + len(rows)
+            df, added = _add(df, rows, row_id, start + added), added + len(rows)
         elif op["op"] == "replace":
             df = find_replace(df, op["column"], op["find"], op["replace"], op.get("mode", "exact"), op.get("ignore_case", False))
         elif op["op"] == "transform":
@@ -176,12 +172,25 @@ def apply_change_table(df: DataFrame, changes: DataFrame, row_id: str = "row_id"
     return kept.select(*[quoted(c) if c == row_id else value(c) for c in df.columns])
 
 
+def change_table(df: DataFrame, ops: list[dict], row_id: str = "row_id") -> DataFrame:
+    """seq, op, row_id, label: a row for each edit, with what it does in words; edits of many rows have no row_id."""
+
+    def label(op: dict) -> str:
+        what = op["op"]
+        if what == "update":
+            return f"Row {op['row_id']}: set {', '.join(f'{c} to {v}' for c, v in op['values'].items())}"
+        if what == "delete":
+            return f"Row {op['row_id']}: deleted"
+        if what == "add":
+            return f"Added {len(op.get('rows', [None]))} row(s)"
+        if what == "replace":
+            return f"{op['column']}: replaced {op['find']} by {op['replace']}"
+        return "Ran " + ", ".join(step["op"] for step in op.get("steps", []))
+
+    rows = [(k, op["op"], op.get("row_id"), label(op)) for k, op in enumerate(ops)]
+    return df.sparkSession.createDataFrame(rows, f"seq int, op string, {row_id} long, label string")
+
+
 def change_summary(df_changes: DataFrame) -> DataFrame:
     """op, changes, rows: how many edits of each kind, of how many rows."""
     return df_changes.groupBy("op").agg(F.count(F.lit(1)).alias("changes"), F.count_distinct("row_id").alias("rows"))
-
-
-def last_change(df_changes: DataFrame) -> DataFrame:
-    """The last edit of each row."""
-    place = F.row_number().over(Window.partitionBy("row_id").orderBy(F.desc("seq")))
-    return df_changes.withColumn("__n", place).where("__n = 1").drop("__n")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import NESTED, as_text, dtype, kind, quoted
+from .ranks import MIDDLE, finite, nearest, ranked
 
 SAMPLE_ROWS = 100_000
 TOP, BINS, DISTRIBUTION_BINS, SHOWN = 20, 20, 50, 200
@@ -17,12 +18,6 @@ def _numbers(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if kind(f.dataType) in ("integer", "float")]
 
 
-def _finite(c: Column) -> Column:
-    """A number as double; NaN and infinities count as missing."""
-    d = c.try_cast("double")
-    return F.when(~F.isnan(d) & (F.abs(d) != float("inf")), d)
-
-
 def overview(df: DataFrame) -> DataFrame:
     """One row: rows, columns, missing_percent, duplicate_rows."""
     nulls = reduce(lambda a, c: a + F.count_if(quoted(c).isNull()), df.columns, F.lit(0))
@@ -52,65 +47,74 @@ def _stacked(df: DataFrame, columns: list[str], value) -> DataFrame:
     return df.select(F.explode(pairs).alias("p")).select("p.column", "p.value")
 
 
-def profile(df: DataFrame, exact: bool = True) -> DataFrame:
+LONG_TEXT = 64  # bytes from which a text is told apart by its hash
+
+
+def _counted(df: DataFrame) -> DataFrame:
+    """column, key, value, many: each different value of each column once, numbers as value, others as key."""
+
+    def one(f) -> Column:
+        c, what = quoted(f.name), kind(f.dataType)
+        number = c.cast("double") if what in ("integer", "float") else F.lit(None).cast("double")
+        exact = what == "float" and f.dataType.typeName() in ("float", "double") or what == "integer" and f.dataType.typeName() != "long"
+        text = F.lit(None).cast("string") if exact else as_text(c, f.dataType)
+        key = F.when(F.octet_length(text) > LONG_TEXT, F.sha2(text.cast("binary"), 256)).otherwise(text)
+        return F.when(c.isNotNull(), F.struct(F.lit(f.name).alias("column"), key.alias("key"), number.alias("value")))
+
+    pairs = F.array_compact(F.array(*[one(f) for f in df.schema]))
+    return df.select(F.explode(pairs).alias("p")).groupBy("p.column", "p.key", "p.value").agg(F.count(F.lit(1)).alias("many"))
+
+
+def profile(df: DataFrame, exact: bool = True, bins: int = BINS) -> DataFrame:
     """A row for each column: type, count, nulls, null_percent, unique, unique_percent, and of numbers
-    min, max, mean, std (0 for one value), median, q1, q3 by nearest rank."""
-    unique = F.count_distinct if exact else F.approx_count_distinct
+    min, max, mean, std (0 for one value), median, q1, q3 by nearest rank, and the counts of ``bins``
+    equal widths from min to max (an array).
+
+    Two passes: one aggregate of scalars, and one table of each column's different values with their
+    counts, from which the rest follows.
+    """
     out = []
     for f in df.schema:
         c, what = quoted(f.name), kind(f.dataType)
-        key = as_text(c, f.dataType) if isinstance(f.dataType, NESTED) else c
-        number = _finite(c) if what in ("integer", "float") else F.lit(None).cast("double")
+        number = finite(c) if what in ("integer", "float") else F.lit(None).cast("double")
         n = F.count(number)
+        unique = F.lit(0).cast("long") if exact else F.approx_count_distinct(as_text(c, f.dataType) if isinstance(f.dataType, NESTED) else c)
         out.append(
             F.struct(
-                F.lit(f.name).alias("column"), F.lit(what).alias("type"), F.count(F.lit(1)).alias("count"), F.count_if(c.isNull()).alias("nulls"), unique(key).alias("unique"),
-                F.min(number).alias("min"), F.max(number).alias("max"), F.avg(number).alias("mean"), F.when(n == 1, 0.0).otherwise(F.stddev_samp(number)).alias("std"), F.median(number).alias("median"),
-                n.alias("n"),
+                F.lit(f.name).alias("column"), F.lit(what).alias("type"), F.count(F.lit(1)).alias("count"), F.count_if(c.isNull()).alias("nulls"), unique.alias("about"),
+                F.min(number).alias("min"), F.max(number).alias("max"), F.avg(number).alias("mean"), F.when(n == 1, 0.0).otherwise(F.stddev_samp(number)).alias("std"),
             )
         )
-    stats = df.agg(F.array(*out).alias("all")).select(F.explode("all").alias("s")).select("s.*")
-    numbers = _numbers(df)
-    share = F.try_divide
-    whole = stats.select(
-        "column", "type", "count", "nulls", F.coalesce(share(F.col("nulls") * 100.0, F.col("count")), F.lit(0.0)).alias("null_percent"), "unique",
-        F.coalesce(share(F.col("unique") * 100.0, F.col("count")), F.lit(0.0)).alias("unique_percent"), "min", "max", "mean", "std", "median",
+    stats = df.agg(F.array(*out).alias("all")).select(F.explode("all").alias("s")).select("s.*")  # a row for each column
+    counted = _counted(df)
+    unique = counted.groupBy("column").agg(F.count(F.lit(1)).alias("unique"))
+    finite_ones = counted.where(finite(F.col("value")).isNotNull()).groupBy("column", "value").agg(F.sum("many").alias("many"))
+    ranks = ranked(finite_ones, "column", [*MIDDLE, nearest(0.25), nearest(0.75)])
+    ranks = ranks.select("column", ((F.col("q_0") + F.col("q_1")) / 2).alias("median"), F.col("q_2").alias("q1"), F.col("q_3").alias("q3"))
+    bounds = stats.select("column", F.col("min").alias("lo"), F.col("max").alias("hi"))
+    binned = finite_ones.join(F.broadcast(bounds), "column").groupBy("column", _bin(F.col("value"), bins).alias("bin")).agg(F.sum("many").alias("many"))
+    held = binned.groupBy("column").agg(F.map_from_entries(F.collect_list(F.struct("bin", "many"))).alias("held"))  # ``bins`` entries at most
+    bars = held.select("column", F.transform(F.sequence(F.lit(1), F.lit(bins)), lambda k: F.coalesce(F.element_at("held", k), F.lit(0).cast("long"))).alias("histogram"))
+    whole = stats
+    for part in (unique, ranks, bars):  # a row for each column at most
+        whole = whole.join(F.broadcast(part), "column", "left")
+    different = F.coalesce("unique", F.lit(0).cast("long")) if exact else F.col("about")
+    percent = lambda n: F.coalesce(F.try_divide(n * 100.0, F.col("count")), F.lit(0.0))
+    return whole.select(
+        "column", "type", "count", "nulls", percent(F.col("nulls")).alias("null_percent"), different.alias("unique"), percent(different).alias("unique_percent"),
+        "min", "max", "mean", "std", "median", "q1", "q3", "histogram",
     )
-    if not numbers:
-        return whole.withColumn("q1", F.lit(None).cast("double")).withColumn("q3", F.lit(None).cast("double"))
-    stacked = _stacked(df, numbers, lambda c: _finite(quoted(c)))
-    return whole.join(nearest_ranks(stacked, (0.25, 0.75)).toDF("column", "q1", "q3"), "column", "left")
 
 
 def nearest_ranks(stacked: DataFrame, shares: tuple[float, ...]) -> DataFrame:
-    """(column, one value for each share): the element whose index is floor((n - 1) share + 1/2).
-
-    Distinct values are counted first, so that groups shrink before they are ordered; each column's
-    counted values are then summed in ranges, and only the ranges that hold a rank are looked into.
-    """
+    """(column, q_0, q_1, ...): of (column, value) rows the element whose index is floor((n - 1) share + 1/2), for each share."""
     counted = stacked.where("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("many"))
-    counted = counted.withColumn("range", _range_key("value"))
-    ranges = counted.groupBy("column", "range").agg(F.sum("many").alias("many"))
-    before = Window.partitionBy("column").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
-    ranges = ranges.select("column", "range", (F.sum("many").over(before) - F.col("many")).alias("start"), F.sum("many").over(before).alias("end"), F.sum("many").over(Window.partitionBy("column")).alias("n"))
-    ranks = F.array(*[F.floor((F.col("n") - 1) * s + 0.5).cast("long") for s in shares])
-    wanted = ranges.select("column", "range", "start", F.explode(F.filter(F.zip_with(ranks, F.array(*[F.lit(k) for k in range(len(shares))]), lambda r, k: F.struct(r.alias("rank"), k.alias("k"))), lambda x: (x["rank"] >= F.col("start")) & (x["rank"] < F.col("end")))).alias("w"))
-    inside = Window.partitionBy("column", "range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    placed = counted.join(wanted.select("column", "range").distinct(), ["column", "range"]).withColumn("upto", F.sum("many").over(inside))
-    hit = placed.join(wanted, ["column", "range"]).where((F.col("start") + F.col("upto") > F.col("w.rank")) & (F.col("start") + F.col("upto") - F.col("many") <= F.col("w.rank")))
-    return hit.groupBy("column").agg(*[F.max(F.when(F.col("w.k") == k, F.col("value"))).alias(f"q_{k}") for k in range(len(shares))])
-
-
-def _range_key(value: str) -> Column:
-    """A number that grows with the value and is the same for values close to each other: sign, and magnitude to 1/64."""
-    v = F.col(value)
-    size = F.floor(F.log2(F.abs(v)) * 64).cast("long") + 100_000
-    return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0).cast("long"))
+    return ranked(counted, "column", [nearest(s) for s in shares])
 
 
 def quantile(df: DataFrame, column: str, shares: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
     """One row with the nearest-rank quantiles q_0, q_1, ... of a column of any size."""
-    return nearest_ranks(df.select(F.lit(column).alias("column"), _finite(quoted(column)).alias("value")), shares)
+    return nearest_ranks(df.select(F.lit(column).alias("column"), finite(quoted(column)).alias("value")), shares)
 
 
 def top_values(df: DataFrame, top: int = TOP) -> DataFrame:
@@ -123,13 +127,18 @@ def top_values(df: DataFrame, top: int = TOP) -> DataFrame:
     return counted.withColumn("place", place).where(F.col("place") <= top).select("column", F.substring("value", 1, SHOWN).alias("value"), "count")
 
 
+def _bin(v: Column, bins: int) -> Column:
+    """The bin, from 1, of a value between lo and hi."""
+    width = (F.col("hi") - F.col("lo")) / bins
+    return F.when(width > 0, F.least(F.lit(bins), F.greatest(F.lit(1), F.ceil((v - F.col("lo")) / width)))).otherwise(1).cast("int")
+
+
 def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
     """bin (from 1), low, high, count, cumulative_share: equal widths from min to max, each bin with its upper end."""
-    v = _finite(quoted(column))
+    v = finite(quoted(column))
     values = df.select(v.alias("v")).where("v IS NOT NULL")
     bounds = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n"))
-    width = (F.col("hi") - F.col("lo")) / bins
-    number = F.when(width > 0, F.least(F.lit(bins), F.greatest(F.lit(1), F.ceil((F.col("v") - F.col("lo")) / width)))).otherwise(1).cast("int")
+    width, number = (F.col("hi") - F.col("lo")) / bins, _bin(F.col("v"), bins)
     counted = values.crossJoin(F.broadcast(bounds)).groupBy(number.alias("bin")).agg(F.count(F.lit(1)).alias("count"))  # one row of bounds
     every = bounds.where("n > 0").select("lo", "hi", "n", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
     joined = every.join(F.broadcast(counted), "bin", "left").withColumn("count", F.coalesce("count", F.lit(0)))
@@ -145,7 +154,7 @@ def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
 
     def r(a: str, b: str) -> Column:
-        x, y = _finite(quoted(a)), _finite(quoted(b))
+        x, y = finite(quoted(a)), finite(quoted(b))
         c = F.corr(F.when(y.isNotNull(), x), F.when(x.isNotNull(), y))
         return F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.when(~F.isnan(c), c).alias("r"))
 
@@ -184,6 +193,18 @@ def distribution(df: DataFrame, column: str, bins: int = DISTRIBUTION_BINS) -> D
     return counted.orderBy(F.desc("count"), "value").limit(bins)
 
 
+def distribution_summary(df: DataFrame, column: str) -> DataFrame:
+    """One row: total (values that aren't null, items of lists), unique, shown (how many rows ``distribution`` shows), and of numbers min, max, mean."""
+    dt = dtype(df, column)
+    if kind(dt) == "list":
+        return distribution_summary(df.select(F.explode(quoted(column)).alias(column)), column)
+    number = finite(quoted(column)) if kind(dt) in ("integer", "float") else F.lit(None).cast("double")
+    text = as_text(quoted(column), dt)
+    counted = df.select(text.alias("key"), number.alias("v")).where("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.first("v").alias("v"))
+    out = counted.agg(F.coalesce(F.sum("many"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("unique"), F.min("v").alias("min"), F.max("v").alias("max"), F.try_divide(F.sum(F.col("v") * F.col("many")), F.sum(F.when(F.col("v").isNotNull(), F.col("many")))).alias("mean"))
+    return out.select("total", "unique", F.least("unique", F.lit(DISTRIBUTION_BINS)).alias("shown"), "min", "max", "mean")
+
+
 def outlier_bounds(df: DataFrame, column: str, method: str = "iqr", threshold: float = 1.5) -> DataFrame:
     """One row low, high."""
     if method == "iqr":
@@ -191,7 +212,7 @@ def outlier_bounds(df: DataFrame, column: str, method: str = "iqr", threshold: f
         spread = (F.col("q_1") - F.col("q_0")) * threshold
         return q.select((F.col("q_0") - spread).alias("low"), (F.col("q_1") + spread).alias("high"))
     if method == "zscore":
-        v = _finite(quoted(column))
+        v = finite(quoted(column))
         held = df.agg(F.avg(v).alias("m"), F.stddev_samp(v).alias("s")).where("s > 0")
         return held.select((F.col("m") - F.col("s") * threshold).alias("low"), (F.col("m") + F.col("s") * threshold).alias("high"))
     raise ValueError(f"unknown method {method!r}")
@@ -201,7 +222,7 @@ def outliers(df: DataFrame, column: str, method: str = "iqr", threshold: float =
     """The rows strictly outside the bounds, with them; none for columns that aren't numbers."""
     if kind(dtype(df, column)) not in ("integer", "float"):
         return df.where(F.lit(False)).withColumn("low", F.lit(None).cast("double")).withColumn("high", F.lit(None).cast("double"))
-    v = _finite(quoted(column))
+    v = finite(quoted(column))
     bounds = outlier_bounds(df, column, method, threshold)
     return df.crossJoin(F.broadcast(bounds)).where((v < F.col("low")) | (v > F.col("high")))  # one row of bounds
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import dtype, kind, quoted
+from .ranks import medians
 from .rows import ORDER
 
 AGGREGATES = ("count", "sum", "mean", "median", "min", "max", "n_unique", "first", "list")
@@ -24,8 +27,6 @@ def aggregate(df: DataFrame, agg: str, column: str | None, order_by: list[str])
         return F.coalesce(F.try_sum(c), F.lit(0))
     if agg == "mean":
         return F.avg(c)
-    if agg == "median":
-        return F.median(c)
     if agg in ("min", "max"):
         held = F.nullif(c, F.lit(float("nan")).cast(dtype(df, column))) if what == "float" and dtype(df, column).typeName() in ("float", "double") else c
         return F.min(held) if agg == "min" else F.max(held)
@@ -40,6 +41,13 @@ def aggregate(df: DataFrame, agg: str, column: str | None, order_by: list[str])
 def group_aggregate(df: DataFrame, by: list[str], agg: str, column: str | None = None, new_column: str | None = None, order_by: list[str] = ORDER) -> DataFrame:
     """One row for each group; nulls are a group. ``first`` and ``list`` follow the order."""
     name = new_column or ("count" if agg == "count" else f"{column}_{agg}")
+    if agg == "median" and column and kind(dtype(df, column)) in ("integer", "float"):
+        groups = df.groupBy(*[quoted(c) for c in by]).agg(F.lit(1).alias("__one"))
+        found = medians(df, list(by), column).select(*[quoted(c).alias(f"__by_{k}") for k, c in enumerate(by)], "median")
+        same = reduce(lambda a, b: a & b, [quoted(c).eqNullSafe(F.col(f"__by_{k}")) for k, c in enumerate(by)], F.lit(True))
+        return groups.join(found, same, "left").select(*[quoted(c) for c in by], F.col("median").alias(name))
+    if agg == "median":
+        raise ValueError(f"a median needs a column of numbers, not {column!r}")
     return df.groupBy(*[quoted(c) for c in by]).agg(aggregate(df, agg, column, list(order_by)).alias(name))
 
 

@@ -76,7 +76,7 @@ def limit_rows(df: DataFrame, n: int, order_by: list[str] = ORDER, dense: bool =
 def sample_rows(df: DataFrame, n: int, seed: int = 42, order_by: list[str] = ORDER) -> DataFrame:
     """Exactly min(n, rows) rows, the same for a seed: those with the smallest hashes of their order keys."""
     keys = [quoted(c) for c in order_by]
-    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(seed), *keys).cast("binary")), *keys).limit(n)
 
 
 def page(df: DataFrame, offset: int, limit: int, filters: list[dict] = (), sorts: list[dict] = (), order_by: list[str] = ORDER, dense: bool = False) -> DataFrame:

@@ -12,6 +12,8 @@ from ..functions.values import as_text, kind, quoted, unicode
 
 BLOCK_ROWS = 10_000
 LIMIT = 1000
+PART = 10_000  # blocks whose numbers lie together in a row of the words
+RANGES = 64  # ranges of row numbers that a search reads, at most
 RUNS = unicode(r"\w+")
 
 
@@ -67,10 +69,10 @@ def highlights(df: DataFrame, query: str, new_column: str = "highlights") -> Dat
 
 
 def index_rows(df: DataFrame, block_rows: int = BLOCK_ROWS, row_id: str = "row_id") -> DataFrame:
-    """token, blocks: each word of the table with the blocks of rows that have it."""
+    """token, part, blocks: each word of the table with the blocks of rows that have it, a row for ``PART`` blocks."""
     words = F.regexp_extract_all(search_text(df, [c for c in df.columns if c != row_id]), F.lit(RUNS), F.lit(0))
     pairs = df.select(F.floor(quoted(row_id) / block_rows).cast("long").alias("block"), F.explode(F.array_distinct(words)).alias("token")).distinct()
-    return pairs.groupBy("token").agg(F.sort_array(F.collect_list("block")).alias("blocks"))  # blocks, not rows
+    return pairs.groupBy("token", F.floor(F.col("block") / PART).alias("part")).agg(F.sort_array(F.collect_list("block")).alias("blocks"))  # PART numbers at most
 
 
 def build_index(df: DataFrame, path: str, block_rows: int = BLOCK_ROWS, row_id: str = "row_id") -> None:
@@ -92,13 +94,36 @@ def candidate_blocks(index: DataFrame, query: str) -> DataFrame | None:
     return found.groupBy("block").agg(F.count(F.lit(1)).alias("runs")).where(F.col("runs") == len(runs)).select("block")
 
 
+def ranges_of(blocks: DataFrame, block_rows: int) -> list[tuple[int, int]]:
+    """Ranges of row numbers that hold all the blocks, ``RANGES`` at most: blocks far apart lie in ranges of their own."""
+    ends = blocks.agg(F.min("block").alias("lo"), F.max("block").alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    if not ends["n"]:
+        return []
+    if ends["n"] <= RANGES:
+        found = [(r["block"], r["block"]) for r in blocks.collect()]  # RANGES rows at most
+    else:
+        step = -(-(ends["hi"] - ends["lo"] + 1) // RANGES)
+        cut = blocks.groupBy(F.floor((F.col("block") - ends["lo"]) / step).alias("at")).agg(F.min("block").alias("lo"), F.max("block").alias("hi"))
+        found = [(r["lo"], r["hi"]) for r in cut.collect()]  # RANGES rows at most
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(found):
+        if out and lo <= out[-1][1] + 1:
+            out[-1] = out[-1][0], hi
+        else:
+            out.append((lo, hi))
+    return [(lo * block_rows, (hi + 1) * block_rows - 1) for lo, hi in out]
+
+
 def search_indexed(data: DataFrame, index: DataFrame, query: str, columns: list[str] | None = None, block_rows: int = BLOCK_ROWS, row_id: str = "row_id") -> DataFrame:
-    """The rows that ``search`` finds, reading only the blocks that the index leaves."""
+    """The rows that ``search`` finds, reading only ranges of row numbers that hold the blocks which the index leaves.
+
+    The ranges are a filter on the row number that reaches the scan; data in its order is read only there.
+    """
     names = [c for c in columns or data.columns if c != row_id]
     blocks = candidate_blocks(index, query)
     if blocks is not None:
-        block = F.floor(quoted(row_id) / block_rows).cast("long")
-        data = data.withColumn("__block", block).join(blocks.select(F.col("block").alias("__block")), "__block", "left_semi").drop("__block")
+        inside = [quoted(row_id).between(lo, hi) for lo, hi in ranges_of(blocks, block_rows)]
+        data = data.where(reduce(lambda a, b: a | b, inside, F.lit(False)))
     return search(data, query, names)
 
 

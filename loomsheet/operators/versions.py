@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 
@@ -10,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import quoted
-from .edits import apply_changes
+from ..sources.rowid import number_rows
+from ..sources.shared import delete
+from .edits import ADDED, apply_changes
 
-EVERY = 8  # versions after which a whole table is kept again
+EVERY = 8  # versions after which a whole table is written again
 
 
 def build_undo(parent: DataFrame, child: DataFrame, touched: list[str] | None = None, row_id: str = "row_id") -> tuple[DataFrame, DataFrame]:
@@ -86,7 +90,7 @@ def diff(a: DataFrame, b: DataFrame, row_id: str | None = "row_id", samples: int
 
 @dataclass
 class Commit:
-    """A version: what undoes it (delta, replay or none), whether the table is kept whole, and its edits."""
+    """A version: how it is kept (first, delta, snapshot or replay), whether its table is whole, and its edits."""
 
     number: int
     message: str
@@ -94,14 +98,16 @@ class Commit:
     whole: bool
     ops: list = field(default_factory=list)
     tag: str | None = None
-    touched: list = field(default_factory=list)
+    restored: int | None = None
 
 
 class Versions:
-    """The versions of a table under one folder: tables, deltas, and a manifest that Spark reads and writes.
+    """The versions of a table under one folder: whole tables, deltas, and a manifest that Spark reads and writes.
 
-    A commit writes the new table and what leads back from it; each ``EVERY``-th version stays whole,
-    so that no chain of deltas is longer, and so does the newest.
+    A commit of row edits writes only the rows that it changed or added and the numbers of those it
+    deleted, however large the table is; each ``EVERY``-th version is written whole as well, so that no
+    chain of deltas is longer. Edits that number rows anew write a whole table. A restored version
+    writes nothing but its note. ``clean`` deletes whole tables that deltas can give again.
     """
 
     def __init__(self, spark: SparkSession, path: str, row_id: str = "row_id"):
@@ -120,10 +126,11 @@ class Versions:
             latest[r["commit"]["number"]] = Commit(**r["commit"])
         return [latest[k] for k in sorted(latest)]
 
-    def _note(self, commit: Commit) -> Commit:
-        at = len(self.spark.read.text(f"{self.path}/manifest/*").select(F.lit(1)).collect()) if commit.number or commit.tag else 0
-        line = json.dumps({"at": at, "commit": asdict(commit)}, default=str)
-        self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("errorifexists").text(f"{self.path}/manifest/{at:08d}")
+    def _note(self, commit: Commit, again: bool = False) -> Commit:
+        """A new commit's note bears its number, so that of two writers one fails; later notes on it have names of their own."""
+        line = json.dumps({"at": time.time_ns(), "commit": asdict(commit)}, default=str)
+        name = f"{commit.number:08d}" + (f"-{uuid.uuid4().hex}" if again else "")
+        self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("errorifexists").text(f"{self.path}/manifest/{name}")
         return commit
 
     def init(self, table: DataFrame, message: str = "first") -> Commit:
@@ -142,59 +149,85 @@ class Versions:
 
     def commit(self, ops: list[dict], message: str = "") -> Commit:
         """Applies edits to the newest version and writes the next."""
-        parent = self.checkout()
-        return self._store(parent, apply_changes(parent, ops, self.row_id), message, ops)
-
-    def _store(self, parent: DataFrame, child: DataFrame, message: str, ops: list[dict]) -> Commit:
         number = self._number(None) + 1
-        child.write.mode("errorifexists").parquet(f"{self.path}/table/{number}")
-        child = self.spark.read.parquet(f"{self.path}/table/{number}")
-        moved = any(op["op"] == "transform" for op in ops) or schema_changes(parent, child)["removed"] or schema_changes(parent, child)["added"] or schema_changes(parent, child)["retyped"]
-        if moved or not ops:
-            # Rows have new numbers, so the parent stays whole.
+        parent = self.checkout()
+        start = ADDED * (number + 1)  # numbers of added rows are a commit's own
+        if any(op["op"] == "transform" for op in ops):
+            apply_changes(parent, ops, self.row_id, start).write.mode("errorifexists").parquet(f"{self.path}/table/{number}")
             return self._note(Commit(number, message, "snapshot", True, ops))
-        touched = sorted({c for op in ops if op["op"] == "update" for c in op["values"]} | {op["column"] for op in ops if op["op"] == "replace"})
-        deleted, cells = build_undo(parent, child, touched or [c for c in parent.columns if c != self.row_id][:1], self.row_id)
-        deleted.write.parquet(f"{self.path}/undo/{number}/deleted")
-        cells.write.parquet(f"{self.path}/undo/{number}/cells")
-        child.join(parent.select(self.row_id), self.row_id, "left_anti").select(self.row_id).write.parquet(f"{self.path}/undo/{number}/added")
-        return self._note(Commit(number, message, "delta", number % EVERY == 0, ops, touched=touched))
+        # Edits of rows keep other columns, so the old row travels beside the new one and nothing is joined.
+        old = F.struct(*[quoted(c) for c in parent.columns])
+        child = apply_changes(parent.withColumn("__old", old), ops, self.row_id, start)
+        changed = child.where(F.col("__old").isNull() | ~old.eqNullSafe(F.col("__old")))
+        changed.select(parent.columns).write.mode("errorifexists").parquet(f"{self.path}/delta/{number}/rows")
+        gone = sorted({int(op["row_id"]) for op in ops if op["op"] == "delete"})
+        deleted = self.spark.createDataFrame([(k,) for k in gone], f"{self.row_id} long")
+        deleted.write.mode("errorifexists").parquet(f"{self.path}/delta/{number}/deleted")
+        whole = number % EVERY == 0
+        if whole:
+            self._patched(parent, [number]).write.mode("errorifexists").parquet(f"{self.path}/table/{number}")
+        return self._note(Commit(number, message, "delta", whole, ops))
+
+    def _patched(self, df: DataFrame, numbers: list[int]) -> DataFrame:
+        """A version with the deltas of later ones applied: the last delta that mentions a row tells what it is."""
+        names, parts = df.columns, []
+        for k in numbers:
+            rows = self.spark.read.parquet(f"{self.path}/delta/{k}/rows").select(F.col(self.row_id).alias("__id"), F.struct(*[quoted(c) for c in names]).alias("__row"))
+            gone = self.spark.read.parquet(f"{self.path}/delta/{k}/deleted").select(F.col(self.row_id).alias("__id"), F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"))
+            parts.append(rows.unionByName(gone).withColumn("__at", F.lit(k)))
+        if not parts:
+            return df
+        last = reduce(lambda a, b: a.unionByName(b), parts).groupBy("__id").agg(F.max_by(F.struct("__row"), "__at").alias("last"))
+        kept = df.join(last.select(F.col("__id").alias(self.row_id)), self.row_id, "left_anti").select(names)
+        return kept.unionByName(last.where("last.__row IS NOT NULL").select("last.__row.*"))
 
     def checkout(self, ref: int | str | None = None) -> DataFrame:
-        """A version as a DataFrame: the nearest whole table after it, and the deltas back."""
+        """A version as a DataFrame: the nearest whole table before it, and the deltas since."""
         number, commits = self._number(ref), {c.number: c for c in self.log()}
-        last = max(commits)
-        start = number
-        while start != last and not (commits[start].whole or commits[start + 1].undo != "delta"):
-            start += 1
-        df = self.spark.read.parquet(f"{self.path}/table/{start}")
-        for k in range(start, number, -1):
-            read = lambda what, k=k: self.spark.read.parquet(f"{self.path}/undo/{k}/{what}")
-            df = apply_undo(df, read("deleted"), read("cells"), self.row_id, read("added"))
-        return df
-
-    def kept(self) -> list[int]:
-        """The versions whose tables a cleaner must leave; the others follow from deltas."""
-        commits = self.log()
-        return [c.number for k, c in enumerate(commits) if c.whole or k + 1 == len(commits) or commits[k + 1].undo != "delta"]
+        deltas: list[int] = []
+        while not commits[number].whole:
+            if commits[number].undo == "replay":
+                number = commits[number].restored
+            else:
+                deltas.append(number)
+                number -= 1
+        return self._patched(self.spark.read.parquet(f"{self.path}/table/{number}"), deltas[::-1])
+
+    def clean(self) -> list[int]:
+        """Deletes the whole tables of all but the newest such version that deltas can give again; the numbers of these."""
+        found = [c for c in self.log() if c.whole and c.undo == "delta"][:-1]
+        for c in found:
+            c.whole = False
+            self._note(c, again=True)
+            delete(self.spark, f"{self.path}/table/{c.number}")
+        return [c.number for c in found]
 
     def restore(self, ref: int | str) -> Commit:
-        """A new version equal to an old one; nothing is lost."""
+        """A new version equal to an old one; nothing is lost, and no row is written."""
         number = self._number(ref)
-        return self._store(self.checkout(), self.checkout(number), f"restore {number}", [])
+        return self._note(Commit(self._number(None) + 1, f"restore {number}", "replay", False, restored=number))
 
     def tag(self, ref: int | str, name: str) -> Commit:
         number = self._number(ref)
         commit = next(c for c in self.log() if c.number == number)
         commit.tag = name
-        return self._note(commit)
+        return self._note(commit, again=True)
 
     def diff(self, a: int | str, b: int | str) -> dict:
         return diff(self.checkout(a), self.checkout(b), self.row_id) | {"commits": [c.message for c in self.log() if self._number(a) < c.number <= self._number(b)]}
 
 
-def parent_positions(child: DataFrame, deleted: list[int], position: str = "position") -> DataFrame:
-    """Adds parent_position: where each row stood before rows were deleted, for few deletions."""
+def parent_positions(child: DataFrame, deleted: list[int] | DataFrame, position: str = "position") -> DataFrame:
+    """Adds parent_position: where each row stood before the rows at ``deleted`` were deleted.
+
+    A list of few positions goes into the expression. A table of any size (column ``position``) is
+    merged with the child: the k-th deleted position less k is a gap, and a row's place among rows and
+    gaps, gaps first, is its old position.
+    """
+    if isinstance(deleted, DataFrame):
+        gaps = number_rows(deleted.select(F.col(deleted.columns[0]).cast("long").alias("__d")), ["__d"], "__k").select((F.col("__d") - F.col("__k")).alias("__at"))
+        merged = gaps.select("__at", F.lit(0).alias("__row")).unionByName(child.select(quoted(position).cast("long").alias("__at"), F.lit(1).alias("__row")))
+        placed = number_rows(merged, ["__at", "__row"], "parent_position").where("__row = 1")
+        return child.join(placed.select(F.col("__at").alias(position), "parent_position"), position).select(*[quoted(c) for c in child.columns], "parent_position")
     gaps = F.array(*[F.lit(d - k).cast("long") for k, d in enumerate(sorted(deleted))]) if deleted else F.array().cast("array<bigint>")
     return child.withColumn("parent_position", quoted(position) + F.size(F.filter(gaps, lambda g: g <= quoted(position))))
-

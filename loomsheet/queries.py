@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import combine, columns, edits, enrich, predicates, profile, reshape, rows, search, text, versions
-from .plans.pipeline import run_pipeline
-from .sources import sinks
+from .plans.pipeline import PREVIEW, SHOWN, preview, run_pipeline
+from .sources import arrow_files, sinks
 from .sources.load import load
 from .sources.rowid import number_rows, with_file_row_id
 from .sources.shared import scratch
@@ -111,12 +111,21 @@ for _name, (_format, _codec) in {
     query(_name, "orders", _PLAIN)(_round_trip)
 
 
-@query("o05_json_array", "nation", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
-def _(nation):
-    path = scratch(nation.sparkSession, "json")
-    whole = nation.select(F.to_json(F.struct("n_nationkey", "n_name", "n_regionkey")).alias("j")).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("j"), ",\n"), F.lit("]")).alias("value"))  # 25 nations
-    whole.coalesce(1).write.text(path)
-    return load(nation.sparkSession, path, "json").select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("int").alias("n_regionkey"))
+def _json_arrays(customer, codec):
+    """A JSON array in each file, one file for each of some ranges of rows."""
+    path = scratch(customer.sparkSession, "json")
+    lines = customer.select(F.to_json(F.struct("c_custkey", "c_name", "c_nationkey")).alias("j"), F.floor(F.col("c_custkey") / 1000).alias("file"))
+    marks = customer.select(F.floor(F.col("c_custkey") / 1000).alias("file")).distinct()
+    first, last = (marks.select(F.lit(x).alias("value"), "file", F.lit(at).alias("at")) for x, at in (("[{}", 0), ("]", 2)))
+    body = lines.select(F.concat(F.lit(","), "j").alias("value"), "file", F.lit(1).alias("at"))
+    whole = first.unionByName(body).unionByName(last).repartition(8, "file").sortWithinPartitions("file", "at")
+    whole.write.partitionBy("file").option("compression", codec or "none").text(path)
+    out = load(customer.sparkSession, f"{path}/*", "json")
+    return out.where("c_custkey IS NOT NULL").select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", F.col("c_nationkey").cast("long").alias("c_nationkey"))
+
+
+for _name, _codec in {"o05_json_array": None, "o07_gzipped_json_array": "gzip"}.items():
+    query(_name, "customer", "SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey FROM customer")(lambda customer, codec=_codec: _json_arrays(customer, codec))
 
 
 @query("o14_export", "orders", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 150000")
@@ -126,6 +135,12 @@ def _(orders):
     return load(orders.sparkSession, path, "parquet")
 
 
+@query("o14_export_measures", "orders", "SELECT count(*) AS \"rows\", 2 AS columns, true AS has_bytes FROM orders WHERE o_totalprice >= 150000")
+def _(orders):
+    made = sinks.export(orders, scratch(orders.sparkSession, "export"), "parquet", ["o_orderkey", "o_totalprice"], [{"column": "o_totalprice", "operator": "gte", "value": 150000}])
+    return orders.sparkSession.createDataFrame([(made["rows"], made["columns"], made["bytes"] > 0)], "rows long, columns int, has_bytes boolean")
+
+
 @query("o15_partitioned_export", "orders", "SELECT o_orderstatus, count(*) AS count FROM orders GROUP BY 1")
 def _(orders):
     path = scratch(orders.sparkSession, "parts")
@@ -172,6 +187,13 @@ def _(part):
     return _versioned(part).checkout(0).select("p_partkey", "p_size")
 
 
+@query("o68a_restore", "part", "SELECT p_partkey, p_size FROM part")
+def _(part):
+    held = _versioned(part)
+    held.restore(0)
+    return held.checkout().select("p_partkey", "p_size")
+
+
 # --- predicates (O-20 to O-25) through filter_rows (O-27)
 _PREDICATES = {
     "o20_eq": ("orders", "o_orderkey", "o_orderstatus", "eq", "F", "o_orderstatus = 'F'"),
@@ -245,14 +267,14 @@ def _(customer):
     return columns.select_columns(customer, ["c_name", "c_custkey"])
 
 
-@query("o33_drop_columns", "nation", "SELECT * EXCLUDE (n_regionkey) FROM nation")
-def _(nation):
-    return columns.drop_columns(nation, ["n_regionkey"])
+@query("o33_drop_columns", "customer", "SELECT * EXCLUDE (c_nationkey) FROM customer")
+def _(customer):
+    return columns.drop_columns(customer, ["c_nationkey"])
 
 
-@query("o34_rename_swap", "nation", "SELECT n_regionkey AS n_nationkey, n_nationkey AS n_regionkey, n_name FROM nation")
-def _(nation):
-    return columns.rename_columns(nation, {"n_nationkey": "n_regionkey", "n_regionkey": "n_nationkey"}).select("n_nationkey", "n_regionkey", "n_name")
+@query("o34_rename_swap", "customer", "SELECT c_nationkey AS c_custkey, c_custkey AS c_nationkey, c_name FROM customer")
+def _(customer):
+    return columns.rename_columns(customer, {"c_custkey": "c_nationkey", "c_nationkey": "c_custkey"}).select("c_custkey", "c_nationkey", "c_name")
 
 
 @query("o35_cast_integer", "orders", "SELECT o_orderkey, TRY_CAST(left(o_orderpriority, 1) AS BIGINT) AS level, TRY_CAST(o_orderpriority AS BIGINT) AS bad FROM orders")
@@ -261,6 +283,12 @@ def _(orders):
     return columns.cast_column(columns.cast_column(shown, "level", "integer"), "o_orderpriority", "integer", "bad").select("o_orderkey", "level", "bad")
 
 
+@query("o35_cast_boolean_and_string", "orders", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS done, CAST(o_custkey AS VARCHAR) AS who FROM orders")
+def _(orders):
+    shown = orders.withColumn("done", F.when(F.col("o_orderstatus") == "F", "true").when(F.col("o_orderstatus") == "O", "false").otherwise("open"))
+    return columns.cast_column(columns.cast_column(shown, "done", "boolean"), "o_custkey", "string", "who").select("o_orderkey", "done", "who")
+
+
 @query("o35_cast_date", "orders", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, CAST(o_orderkey AS DOUBLE) AS key_float FROM orders")
 def _(orders):
     return columns.cast_column(columns.cast_column(orders, "o_orderdate", "date", "day"), "o_orderkey", "float", "key_float").select("o_orderkey", "day", "key_float")
@@ -307,17 +335,23 @@ def _(orders):
     return columns.replace_values(orders, "o_custkey", {k: k + 1_000_000 for k in range(1, 301)}).select("o_orderkey", "o_custkey")
 
 
-@query("o38_concat_columns", "nation", "SELECT n_nationkey, concat(coalesce(nullif(n_name, 'FRANCE'), ''), '-', n_regionkey) AS label FROM nation")
-def _(nation):
-    return columns.concat_columns(nation.withColumn("n_name", F.nullif("n_name", F.lit("FRANCE"))), ["n_name", "n_regionkey"], "label", "-").select("n_nationkey", "label")
+@query("o38_concat_columns", "customer", "SELECT c_custkey, concat(coalesce(nullif(c_mktsegment, 'BUILDING'), ''), '-', c_nationkey) AS label FROM customer")
+def _(customer):
+    return columns.concat_columns(customer.withColumn("c_mktsegment", F.nullif("c_mktsegment", F.lit("BUILDING"))), ["c_mktsegment", "c_nationkey"], "label", "-").select("c_custkey", "label")
 
 
-@query("o39_unnest_struct", "nation", "SELECT n_nationkey, n_name, n_regionkey AS place_n_nationkey, n_regionkey * 2 AS twice FROM nation")
-def _(nation):
-    nested = nation.select("n_nationkey", "n_name", F.struct(F.col("n_regionkey").alias("n_nationkey"), (F.col("n_regionkey") * 2).alias("twice")).alias("place"))
+@query("o39_unnest_struct", "customer", "SELECT c_custkey, c_name, c_nationkey AS place_c_custkey, c_nationkey * 2 AS twice FROM customer")
+def _(customer):
+    nested = customer.select("c_custkey", "c_name", F.struct(F.col("c_nationkey").alias("c_custkey"), (F.col("c_nationkey") * 2).alias("twice")).alias("place"))
     return columns.unnest_struct(nested, "place")
 
 
+@query("o40_extract_struct_field", "customer", "SELECT c_custkey, c_nationkey AS found FROM customer")
+def _(customer):
+    nested = customer.select("c_custkey", F.struct(F.struct(F.col("c_nationkey").alias("key")).alias("nation")).alias("place"))
+    return columns.extract_field(nested, "place", "nation.key", "found").select("c_custkey", "found")
+
+
 @query("o40_extract_field", "events", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def _(events):
     return columns.extract_field(events, "props", "k", "k").select("event_id", "k")
@@ -353,9 +387,9 @@ def _(customer, nation):
     return combine.join(a, b, ["nation"], ["nk"])
 
 
-@query("o42_join_cross", "region nation", "SELECT r_name, n_name FROM region CROSS JOIN nation")
-def _(region, nation):
-    return combine.join(region.select("r_name"), nation.select("n_name"), [], how="cross")
+@query("o42_join_cross", "region supplier", "SELECT r_name, s_name FROM region CROSS JOIN supplier")
+def _(region, supplier):
+    return combine.join(region.select("r_name"), supplier.select("s_name"), [], how="cross")
 
 
 @query(
@@ -465,7 +499,7 @@ def _(documents):
     return rows.limit_rows(documents.select("doc_id", "source"), 40, ["doc_id"])
 
 
-@query("o55_sample_rows", "orders")
+@query("o55_sample_rows", "orders", "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY md5(concat_ws('|', 42, o_orderkey)), o_orderkey LIMIT 500")
 def _(orders):
     return rows.sample_rows(orders.select("o_orderkey", "o_orderstatus"), 500, 42, ["o_orderkey"])
 
@@ -502,9 +536,20 @@ def _(documents):
     return text.extract_pattern(documents, "text", "found", pattern="[0-9]+", all=False).select("doc_id", "found")
 
 
-@query("o80_extract_preset", "pages", "SELECT page_id, array_to_string(regexp_extract_all(url, 'https?://[^\\s<>\"'']+'), ' ') AS found FROM pages")
-def _(pages):
-    return text.extract_pattern(pages, "url", "found", "url").select("page_id", F.array_join("found", " ").alias("found"))
+# What each preset matches in texts of ASCII, told by patterns of another make.
+for _preset, (_t, _key, _c, _pattern) in {
+    "email": ("documents", "doc_id", "text", r"[[:alnum:]_.%+-]+@[[:alnum:].-]+[.][A-Za-z][A-Za-z]+"), "phone": ("documents", "doc_id", "text", r"[+]?[0-9][0-9\s().-]{6}[0-9\s().-]*[0-9]"),
+    "url": ("pages", "page_id", "url", r"http(?:s|):[/][/][^]\s<>\"'')]+"), "number": ("documents", "doc_id", "text", r"(?:-|)[0-9]+(?:[,.][0-9]+|)"), "hashtag": ("documents", "doc_id", "text", r"#[\p{L}\p{M}\p{Nd}\p{Pc}]+"),
+    "mention": ("documents", "doc_id", "text", r"@[\p{L}\p{M}\p{Nd}\p{Pc}]+"), "date": ("orders", "o_orderkey", "shown", r"\b(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/(?:[0-9]{4}|[0-9]{3}|[0-9]{2}))\b"),
+}.items():
+    _from = "(SELECT o_orderkey, concat(strftime(o_orderdate, '%d/%m/%Y'), ' or ', strftime(o_orderdate, '%Y-%m-%d'), ' not ', o_orderkey, '/1') AS shown FROM orders)" if _t == "orders" else _t
+
+    def _preset_query(df, preset=_preset, key=_key, c=_c):
+        if preset == "date":
+            df = df.select(key, F.concat(F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit(" or "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" not "), F.col(key), F.lit("/1")).alias(c))
+        return text.extract_pattern(df, c, "found", preset).select(key, F.array_join("found", " ").alias("found"))
+
+    query("o80_extract_preset" if _preset == "url" else f"o80_preset_{_preset}", _t, f"SELECT {_key}, array_to_string(regexp_extract_all({_c}, '{_pattern}'), ' ') AS found FROM {_from}")(_preset_query)
 
 
 _METRICS = {
@@ -525,8 +570,8 @@ _TRANSFORMS = {
     "o89_collapse_whitespace": ("documents", "doc_id", "text", "collapse_whitespace", "trim(regexp_replace(text, '[\\s]+', ' ', 'g'))"),
     "o90_remove_punctuation": ("documents", "doc_id", "text", "remove_punctuation", "regexp_replace(text, '[^\\p{L}\\p{M}\\p{Nd}_\\s]', '', 'g')"),
     "o91_remove_html": ("pages", "page_id", "html", "remove_html", "regexp_replace(html, '<[^>]+>', ' ', 'g')"),
-    "o92_remove_urls": ("pages", "page_id", "url", "remove_urls", "regexp_replace(url, 'https?://[^\\s<>\"'']+', '', 'g')"),
-    "o92_remove_emails": ("documents", "doc_id", "text", "remove_emails", "regexp_replace(text, '[\\p{L}\\p{M}\\p{Nd}_.+-]+@[\\p{L}\\p{M}\\p{Nd}_-]+\\.[\\p{L}\\p{M}\\p{Nd}_.-]+', '', 'g')"),
+    "o92_remove_urls": ("pages", "page_id", "url", "remove_urls", "regexp_replace(url, 'http(?:s|):[/][/][^]\\s<>\"'')]+', '', 'g')"),
+    "o92_remove_emails": ("documents", "doc_id", "text", "remove_emails", "regexp_replace(text, '[[:alnum:]_.%+-]+@[[:alnum:].-]+[.][A-Za-z][A-Za-z]+', '', 'g')"),
 }
 for _name, (_t, _key, _c, _op, _sql) in _TRANSFORMS.items():
     query(_name, _t, f"SELECT {_key}, {_sql} AS out FROM {_t}")(lambda df, k=_key, c=_c, op=_op: text.transform_text(df, c, op, "out").select(k, "out"))
@@ -643,9 +688,16 @@ def _(part):
     return edits.transform_rows(numbered, steps).select("row_id", "p_partkey", "p_size")
 
 
-@query("o66b_change_summary", "events", "SELECT event_type AS op, count(*) AS changes, count(DISTINCT user_id) AS \"rows\" FROM events GROUP BY 1")
-def _(events):
-    return edits.change_summary(events.select(F.col("event_type").alias("op"), F.col("user_id").alias("row_id")))
+def _edits_of(part):
+    """An edit for every part: each third is deleted, each even one of the others updated twice."""
+    two = F.array(F.struct(F.lit(1).alias("seq"), F.lit("update").alias("op")), F.struct(F.lit(2).alias("seq"), F.lit("update").alias("op")))
+    made = F.when(F.col("p_partkey") % 3 == 0, F.array(F.struct(F.lit(1).alias("seq"), F.lit("delete").alias("op")))).when(F.col("p_partkey") % 2 == 0, two)
+    return part.select(F.col("p_partkey").alias("row_id"), F.explode(made).alias("e")).select("row_id", "e.seq", "e.op")
+
+
+@query("o66b_change_summary", "part", "SELECT 'delete' AS op, count(*) AS changes, count(*) AS \"rows\" FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT 'update', 2 * count(*), count(*) FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 2 = 0")
+def _(part):
+    return edits.change_summary(_edits_of(part))
 
 
 # --- versions (O-67 to O-69)
@@ -682,6 +734,14 @@ def _(part):
     return versions.parent_positions(child, [3, 4, 10]).select("p_partkey", "parent_position")
 
 
+@query("o68_parent_positions_many", "part", "SELECT p_partkey, i AS parent_position FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS i FROM part) WHERE i % 7 NOT IN (0, 1, 5)")
+def _(part):
+    numbered = number_rows(part.select("p_partkey"), ["p_partkey"], "position")
+    gone = F.col("position") % 7
+    child = number_rows(numbered.where(~gone.isin(0, 1, 5)).select("p_partkey"), ["p_partkey"], "position")
+    return versions.parent_positions(child, numbered.where(gone.isin(0, 1, 5)).select("position")).select("p_partkey", "parent_position")
+
+
 @query("o69_row_diff", "orders", "(SELECT o_orderkey, o_totalprice, 'removed' AS side FROM orders WHERE o_orderkey % 11 = 0 OR o_orderkey % 4 = 0) UNION ALL (SELECT o_orderkey, o_totalprice + 1, 'added' FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 4 = 0)")
 def _(orders):
     parent, child = _edited(orders)
@@ -713,6 +773,16 @@ def _(lineitem):
     return out.select("column", "type", "count", "nulls", "unique", "min", "max", r6("mean").alias("mean"), r6("std").alias("std"), "median", "q1", "q3")
 
 
+@query(
+    "o71_profile_histogram", "lineitem",
+    "WITH b AS (SELECT min(l_extendedprice)::DOUBLE AS lo, max(l_extendedprice)::DOUBLE AS hi FROM lineitem), c AS (SELECT least(20, greatest(1, ceil((l_extendedprice - lo) / ((hi - lo) / 20))))::INT AS bin, count(*) AS n FROM lineitem, b GROUP BY 1)"
+    " SELECT k::INT AS bin, coalesce(n, 0) AS count FROM range(1, 21) AS t(k) LEFT JOIN c ON bin = k",
+)
+def _(lineitem):
+    out = profile.profile(lineitem.select("l_extendedprice", "l_returnflag")).where("histogram IS NOT NULL")
+    return out.select(F.posexplode("histogram").alias("at", "count")).select((F.col("at") + 1).alias("bin"), "count")
+
+
 @query(
     "o71_top_values", "orders",
     "SELECT * FROM (SELECT 'o_orderstatus' AS \"column\", o_orderstatus AS value, count(*) AS count FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM orders GROUP BY 2) QUALIFY row_number() OVER (PARTITION BY \"column\" ORDER BY count DESC, value) <= 3",
@@ -762,9 +832,10 @@ def _(lineitem):
     return profile.correlations(lineitem, ["l_quantity", "l_extendedprice", "l_discount"]).withColumn("r", r6("r"))
 
 
-@query("o79a_strongest_correlations", "lineitem", "SELECT 'l_extendedprice' AS a, 'l_quantity' AS b, round(corr(l_extendedprice, l_quantity), 6) AS r FROM lineitem HAVING abs(corr(l_extendedprice, l_quantity)) >= 0.3")
+@query("o79a_strongest_correlations", "lineitem", "SELECT 'l_net' AS a, 'l_quantity' AS b, round(corr(l_quantity * 10 + l_discount * 100, l_quantity), 6) AS r FROM lineitem UNION ALL SELECT 'l_discount', 'l_net', round(corr(l_quantity * 10 + l_discount * 100, l_discount), 6) FROM lineitem HAVING abs(corr(l_quantity * 10 + l_discount * 100, l_discount)) >= 0.3")
 def _(lineitem):
-    return profile.strongest_correlations(lineitem, ["l_quantity", "l_extendedprice", "l_discount"]).withColumn("r", r6("r"))
+    held = lineitem.withColumn("l_net", F.col("l_quantity") * 10 + F.col("l_discount") * 100)
+    return profile.strongest_correlations(held, ["l_quantity", "l_net", "l_discount"]).withColumn("r", r6("r"))
 
 
 @query(
@@ -781,6 +852,11 @@ def _(documents):
     return profile.distribution(documents, "source")
 
 
+@query("o77_distribution_summary", "embeddings", "SELECT count(*) AS total, count(DISTINCT x) AS \"unique\", least(count(DISTINCT x), 50) AS shown, round(min(x), 6) AS min, round(max(x), 6) AS max, round(avg(x), 6) AS mean FROM (SELECT unnest(embedding)::DOUBLE AS x FROM embeddings)")
+def _(embeddings):
+    return profile.distribution_summary(embeddings, "embedding").select("total", "unique", "shown", *[r6(c).alias(c) for c in ("min", "max", "mean")])
+
+
 @query("o77_distribution_list", "embeddings", _HISTOGRAM.format(c="x", t="(SELECT unnest(embedding) AS x FROM embeddings)", k=50))
 def _(embeddings):
     return profile.distribution(embeddings, "embedding").select("bin", "count", r6("cumulative_share").alias("cumulative_share"))
@@ -830,13 +906,56 @@ def _(documents):
 @query("o102_text_index", "conversations", "SELECT token, array_to_string(list_sort(list(DISTINCT block)), ',') AS blocks FROM (SELECT floor(conv_id / 20)::BIGINT AS block, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+')) AS token FROM conversations) GROUP BY token")
 def _(conversations):
     index = search.index_rows(conversations.select(F.col("conv_id").alias("row_id"), "text"), 20)
+    index = index.groupBy("token").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "blocks"))), lambda x: x["blocks"])).alias("blocks"))
     return index.select("token", F.array_join(F.col("blocks").cast("array<string>"), ",").alias("blocks"))
 
 
-@query("o103_search_indexed", "documents", "SELECT doc_id FROM documents WHERE contains(lower(text), 'token') AND contains(lower(text), 'ing')")
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _index_of(spark, sf_dir: str) -> str:
+    """The folder of the word index of documents, built once for a session and a folder of tables."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _INDEXES:
+        path = scratch(spark, "index")
+        documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        search.build_index(documents.select(F.col("doc_id").alias("row_id"), "text"), path, 50)
+        _INDEXES[key] = path
+    return _INDEXES[key]
+
+
+def _search_indexed(words: str):
+    return lambda spark, sf_dir: search.search_index(spark, _index_of(spark, sf_dir), words, block_rows=50).select(F.col("row_id").alias("doc_id"))
+
+
+QUERIES["o103_search_indexed"] = _search_indexed("ing TOKEN")
+ORACLE_SQL["o103_search_indexed"] = "SELECT doc_id FROM documents WHERE contains(lower(text), 'token') AND contains(lower(text), 'ing')"
+QUERIES["o103_search_indexed_rare"] = _search_indexed("AKIA")
+ORACLE_SQL["o103_search_indexed_rare"] = "SELECT doc_id FROM documents WHERE contains(lower(text), 'akia')"
+
+
+@query("o100_search_rare", "documents", "SELECT doc_id FROM documents WHERE contains(lower(text), 'akia')")
 def _(documents):
-    held = documents.select(F.col("doc_id").alias("row_id"), "text")
-    return search.search_indexed(held, search.index_rows(held, 50), "ing TOKEN", block_rows=50).select(F.col("row_id").alias("doc_id"))
+    return search.search(documents.select("doc_id", "text"), "AKIA", ["text"]).select("doc_id")
+
+
+@query("o70_columns_by_type", "orders", "SELECT CASE WHEN data_type IN ('DOUBLE', 'FLOAT') THEN 'float' WHEN data_type LIKE '%INT%' THEN 'integer' WHEN data_type LIKE 'TIMESTAMP%' THEN 'datetime' ELSE 'string' END AS type, count(*)::INT AS columns FROM (SELECT column_type AS data_type FROM (DESCRIBE orders)) GROUP BY 1")
+def _(orders):
+    return profile.columns_by_type(orders)
+
+
+@query("o59a_preview", "orders", f"SELECT o_orderkey, o_totalprice, count(*) OVER () AS total FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT {PREVIEW}) WHERE o_totalprice >= 100000 ORDER BY o_totalprice DESC, o_orderkey LIMIT {SHOWN}")
+def _(orders):
+    steps = [{"op": "filter_range", "params": {"column": "o_totalprice", "min": 100000}}, {"op": "sort_rows", "params": {"columns": ["o_totalprice"], "descending": True}}]
+    shown = preview(orders.select("o_orderkey", "o_totalprice"), steps, ["o_orderkey"])
+    return orders.sparkSession.createDataFrame([(r["o_orderkey"], r["o_totalprice"], shown["total"]) for r in shown["rows"]], "o_orderkey long, o_totalprice double, total long")
+
+
+@query("o10_arrow_files", "orders", "SELECT o_orderkey, o_totalprice FROM orders")
+def _(orders):
+    path = scratch(orders.sparkSession, "arrow")
+    arrow_files.write(orders.select("o_orderkey", "o_totalprice"), path)
+    return load(orders.sparkSession, path, "arrow")
 
 
 @query("o103_candidate_blocks", "documents", "SELECT block FROM (SELECT DISTINCT floor(doc_id / 50)::BIGINT AS block, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+')) AS token FROM documents) WHERE contains(token, 'disgusting') GROUP BY block")

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import glob
 import os
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import StructType
 
 
@@ -19,6 +22,25 @@ def files_of(path: str) -> list[str]:
     return sorted(glob.glob(path))
 
 
+def write(df: DataFrame, path: str) -> int:
+    """A file for each task, in a folder that all machines share; the number of rows. A task that runs again replaces its file."""
+    folder = path.removeprefix("file://")
+    schema = to_arrow_schema(df.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(folder, exist_ok=True)
+        name, rows = f"{folder}/part-{TaskContext.get().partitionId():05d}.arrow", 0
+        unfinished = f"{folder}/.{uuid.uuid4().hex}"
+        with pa.OSFile(unfinished, "wb") as f, pa.ipc.new_file(f, schema) as writer:
+            for batch in batches:
+                writer.write_batch(batch.cast(schema))
+                rows += batch.num_rows
+        os.replace(unfinished, name)
+        yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64())], ["rows"])
+
+    return df.mapInArrow(run, "rows long").agg({"rows": "sum"}).first()[0] or 0
+
+
 class ArrowFiles(DataSource):
     """``spark.read.format("loomsheet_arrow").load(path)``; the path must be one that Python can open on every machine."""
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.values import hashable
+
 ROW_ID = "row_id"
 FEWEST, MOST, STEP = 64, 4096, 64
+SHARES = 2**30
 
 
 def _running(counts: DataFrame, order: list[str]) -> DataFrame:
@@ -36,14 +39,21 @@ def number_rows(df: DataFrame, order_by: list[str], name: str = ROW_ID, descendi
     """Adds a dense number from 0 in the given order, nulls last.
 
     Bounds drawn from the data, about as many as there are shuffle partitions, cut the order into
-    ranges; a row's number is the rows of earlier ranges plus its place in its own. Equal keys keep
-    to one range. A row finds its range in two steps, among every ``STEP``-th bound and then between.
+    ranges; a row's number is the rows of earlier ranges plus its place in its own. Rows with equal keys
+    are ordered by a hash of the row, so that a frequent key spreads over ranges; only equal rows keep
+    to one. A row finds its range in two steps, among every ``STEP``-th bound and then between.
     """
+    names = df.columns
+    df = df.withColumn("__h", F.xxhash64(*hashable(df)))
+    order_by = [*order_by, "__h"]
     order = [F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_last() for c in order_by]
     key = F.struct(*[x for c in order_by for x in (F.col(c).isNull(), F.col(c))])
     n = min(MOST, max(FEWEST, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     keyed = df.withColumn("__k", key)
-    drawn = keyed.select("__k").distinct().orderBy(F.xxhash64(F.to_json("__k")), "__k").limit(n)
+    # A share of the hashes that holds about sixteen times what is wanted, and of that the smallest.
+    share = min(SHARES, -(-16 * n * SHARES // max(1, df.count())))
+    picked = F.pmod(F.xxhash64("__h", F.lit(3)), F.lit(SHARES))
+    drawn = keyed.where(picked < share).select("__k", picked.alias("__p")).distinct().orderBy("__p", "__k").limit(n)
     bounds = drawn.agg(F.array_sort(F.collect_list("__k")).alias("__bounds"))
     bounds = bounds.select("__bounds", F.filter("__bounds", lambda b, i: i % STEP == 0).alias("__coarse"))  # n keys at most
     upto = lambda a: F.size(F.filter(a, lambda b: b <= F.col("__k")))
@@ -53,4 +63,4 @@ def number_rows(df: DataFrame, order_by: list[str], name: str = ROW_ID, descendi
     starts = _running(bucketed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("many")), ["__bucket"]).select("__bucket", "start")
     place = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order))
     out = bucketed.withColumn("__place", place).join(F.broadcast(starts), "__bucket")  # a row for each bucket
-    return out.withColumn(name, (F.col("start") + F.col("__place") - 1).cast("long")).select(name, *[c for c in df.columns if c != name])
+    return out.withColumn(name, (F.col("start") + F.col("__place") - 1).cast("long")).select(name, *[c for c in names if c != name])

@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.values import NESTED, quoted
+from ..functions.values import NESTED, hashable, quoted
 from ..operators.predicates import apply_filters
+from .shared import bytes_under
 
 FORMATS = {"parquet": "parquet", "csv": "csv", "tsv": "csv", "json": "json", "jsonl": "json", "orc": "orc"}
 ROWS_A_FILE = 1_000_000
 
 
+def _dealt(df: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of a value together, a frequent value over as many tasks as it fills files, by hashes of its rows."""
+    counted = df.groupBy(*[quoted(c).alias(f"__by_{k}") for k, c in enumerate(by)]).agg(F.ceil(F.count(F.lit(1)) / ROWS_A_FILE).cast("int").alias("__files")).where("__files > 1")
+    same = [quoted(c).eqNullSafe(F.col(f"__by_{k}")) for k, c in enumerate(by)]
+    joined = df.join(F.broadcast(counted), reduce(lambda a, b: a & b, same), "left")  # a row for ROWS_A_FILE rows at most
+    part = F.pmod(F.xxhash64(*hashable(df)), F.coalesce("__files", F.lit(1)))
+    return joined.repartition(*[quoted(c) for c in by], part).select(*[quoted(c) for c in df.columns])
+
+
 def write(df: DataFrame, path: str, format: str = "parquet", compression: str | None = None, mode: str = "errorifexists", single_file: bool = False, partition_by: list[str] | None = None, **options) -> None:  # noqa: A002
     """A folder of part files, each CSV part with its header; zstd for Parquet unless told otherwise."""
     if format not in FORMATS:
@@ -20,7 +32,7 @@ def write(df: DataFrame, path: str, format: str = "parquet", compression: str |
         raise ValueError(f"{format} can't hold nested columns: {', '.join(nested)}")
     out = df.coalesce(1) if single_file else df
     if partition_by:
-        out = df.repartition(*[quoted(c) for c in partition_by], F.floor(F.rand(7) * 4))  # a large value spreads over a few files
+        out = _dealt(df, partition_by)
     writer = out.write.mode(mode).options(**options)
     if format in ("csv", "tsv"):
         writer = writer.option("header", True).option("sep", "\t" if format == "tsv" else ",")
@@ -40,7 +52,7 @@ def export(df: DataFrame, path: str, format: str = "parquet", columns: list[str]
         out = out.select(*[quoted(c) for c in columns])
     out = out.observe(seen, F.count(F.lit(1)).alias("rows"))
     write(out, path, format, compression, mode, partition_by=partition_by)
-    return {"path": path, "rows": seen.get["rows"], "columns": len(out.columns), "format": format}
+    return {"path": path, "rows": seen.get["rows"], "columns": len(out.columns), "format": format, "bytes": bytes_under(df.sparkSession, path)}
 
 
 def save_as(df: DataFrame, path: str, format: str = "parquet", filters: list[dict] = (), overwrite: bool = False) -> dict:  # noqa: A002

@@ -4,7 +4,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomsheet.operators import combine, edits, enrich, profile, reshape, rows, search, versions
+from loomsheet.operators import columns, combine, edits, enrich, profile, reshape, rows, search, versions
 from loomsheet.plans import pipeline, registry
 from loomsheet.sources import load, rowid, sinks
 
@@ -197,7 +197,7 @@ def test_every_version_can_be_had_back(spark, six, tmp_path):
     table.tag(1, "good")
     table.restore("good")
     assert data(table.checkout().select(six.columns), "row_id") == want[1] and table.checkout("good").count() == 6
-    assert [c.undo for c in table.log()] == ["none", "delta", "delta", "delta", "snapshot", "delta", "snapshot"]
+    assert [c.undo for c in table.log()] == ["none", "delta", "delta", "delta", "snapshot", "delta", "replay"]
     found = table.diff(0, 1)
     assert (found["removed"], found["added"], found["row_delta"]) == (1, 1, 0) and found["commits"] == ["edit"]
 
@@ -287,3 +287,61 @@ def test_sort_and_merge_take_all_rows(spark, sf):
     many = lambda name: spark.read.parquet(f"{sf}/{name}.parquet").count()
     assert QUERIES["o52_sort_rows_all"](spark, sf).count() == many("part") > 100
     assert QUERIES["o43_merge_all"](spark, sf).where("n_chars IS NOT NULL").count() == many("documents")
+
+
+def test_a_commit_writes_only_what_it_changes(spark, tmp_path):
+    sizes = []
+    for n in (1_000, 100_000):
+        table = versions.Versions(spark, str(tmp_path / f"v{n}"))
+        table.init(spark.range(n).select(F.col("id").alias("row_id"), F.concat(F.lit("value "), "id").alias("x")))
+        for k in range(9):
+            table.commit([{"op": "update", "row_id": k, "values": {"x": "new"}}, {"op": "add", "row": {"x": f"added {k}"}}])
+        sizes.append(sum(f.stat().st_size for f in (tmp_path / f"v{n}" / "delta" / "9").rglob("*.parquet")))
+        assert table.checkout().count() == n + 9 and table.checkout(4).where("x = 'new'").count() == 4
+        assert table.checkout().select("row_id").distinct().count() == n + 9
+    assert abs(sizes[0] - sizes[1]) < 1000  # parts and footers
+    before = data(table.checkout(8), "row_id")
+    table.restore(3)
+    for k in range(7):
+        table.commit([{"op": "delete", "row_id": 50 + k}])
+    assert table.clean() == [8] and data(table.checkout(8), "row_id") == before and table.checkout().count() == 100_000 + 3 - 7
+
+
+def test_many_deletions(spark):
+    gone = [0, 1, 5, 6, 7, 20, 99]
+    left = [k for k in range(100) if k not in gone]
+    child = spark.createDataFrame(list(enumerate(left)), "position long, was long")
+    rows_ = versions.parent_positions(child, spark.createDataFrame([(k,) for k in gone], "position long")).collect()
+    assert len(rows_) == len(left) and all(r["parent_position"] == r["was"] for r in rows_)
+
+
+def test_edits_are_described(spark, six):
+    ops = [{"op": "update", "row_id": 1, "values": {"name": "x"}}, {"op": "delete", "row_id": 2}, {"op": "replace", "column": "name", "find": "a", "replace": "b"}, {"op": "add", "row": {"name": "y"}}]
+    held = edits.change_table(six, ops)
+    assert [r["label"] for r in held.orderBy("seq").collect()] == ["Row 1: set name to x", "Row 2: deleted", "name: replaced a by b", "Added 1 row(s)"]
+    assert {r["op"]: r["changes"] for r in edits.change_summary(held).collect()} == {"update": 1, "delete": 1, "replace": 1, "add": 1}
+
+
+def test_presets_match_whole_phrases(spark):
+    from loomsheet.operators import text
+
+    said = "a@b.com. call 555 1234 on 12/31/2024 or 2024-01-02, pay 1,5 see http://x.org/a) #tag @me"
+    df = spark.createDataFrame([(said,)], "t string")
+    found = {p: text.extract_pattern(df, "t", "f", p).first()["f"] for p in ("email", "phone", "date", "number", "url", "hashtag", "mention")}
+    assert found["email"] == ["a@b.com"] and found["phone"] == ["555 1234", "2024-01-02"] and found["date"] == ["12/31/2024", "2024-01-02"]
+    assert "1,5" in found["number"] and found["url"] == ["http://x.org/a"] and found["hashtag"] == ["#tag"] and found["mention"] == ["@b", "@me"]
+
+
+def test_medians_of_groups(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 4.0), ("a", 2.0), ("a", 9.0), ("a", float("nan")), ("b", None), ("c", -5.0)], "g string, x double")
+    assert {r["g"]: r["x_median"] for r in reshape.group_aggregate(df, ["g"], "median", "x").collect()} == {None: 2.5, "a": 5.5, "b": None, "c": -5.0}
+    assert [r["x"] for r in columns.fill_missing(df.where("x IS NULL OR x < 5"), "x", "median").where("g = 'b'").collect()] == [1.5]
+
+
+def test_an_index_reads_only_its_ranges(spark, tmp_path):
+    df = spark.range(3000).select(F.col("id").alias("row_id"), F.when(F.col("id").isin(37, 2981), "rare needle").otherwise("hay").alias("t"))
+    search.build_index(df, str(tmp_path / "i"), 10)
+    found = search.search_index(spark, str(tmp_path / "i"), "needle", block_rows=10)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert [r["row_id"] for r in found.orderBy("row_id").collect()] == [37, 2981] and "PushedFilters: [Or(And(GreaterThanOrEqual(row_id,30)" in plan
+    assert search.search_index(spark, str(tmp_path / "i"), "nothing", block_rows=10).count() == 0 and search.search_index(spark, str(tmp_path / "i"), "ha", block_rows=10).count() == 2998
