@@ -118,7 +118,7 @@ def _json_arrays(customer, codec):
     marks = customer.select(F.floor(F.col("c_custkey") / 1000).alias("file")).distinct()
     first, last = (marks.select(F.lit(x).alias("value"), "file", F.lit(at).alias("at")) for x, at in (("[{}", 0), ("]", 2)))
     body = lines.select(F.concat(F.lit(","), "j").alias("value"), "file", F.lit(1).alias("at"))
-    whole = first.unionByName(body).unionByName(last).repartition(8, "file").sortWithinPartitions("file", "at")
+    whole = first.unionByName(body).unionByName(last).repartition(8, "file").sortWithinPartitions("file", "at").drop("at")
     whole.write.partitionBy("file").option("compression", codec or "none").text(path)
     out = load(customer.sparkSession, f"{path}/*", "json")
     return out.where("c_custkey IS NOT NULL").select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", F.col("c_nationkey").cast("long").alias("c_nationkey"))
