@@ -20,6 +20,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import slices, text_of
 
 BASE = 0x100
+TOGETHER = 1_000_000  # ids decoded together
 KEPT = 200_000  # pre-tokens whose ids a task remembers
 
 
@@ -80,6 +82,7 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_proto(self.ranks))
         self.known: dict[str, bytes] = {}
+        self.table = pa.array(self.tokens, pa.large_binary())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as int32 values one after the other."""
@@ -101,8 +104,13 @@ class Codec:
             known[piece] = flat[at : (at := at + 4 * len(ids))]
         return [b"".join([known[p] for p in pieces]) for pieces in split]
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join([self.tokens[i] for i in ids])
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """The bytes of each list of ids: those of all tokens lie together, so a row is cut out of them."""
+        taken = self.table.take(ids.flatten())
+        _, offsets, data = taken.buffers()
+        starts = np.frombuffer(offsets, np.int64, len(taken) + 1, taken.offset * 8)
+        ends = starts[np.append(0, np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False)))]
+        return pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends.tobytes()), data]).cast(pa.binary())
 
 
 @lru_cache(maxsize=2)
@@ -131,9 +139,12 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                data = pa.array([own.decode(x) for x in part.column("ids").to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), data], ["doc_id", "ids", "data"])
+            counts = np.cumsum(pc.list_value_length(batch.column("ids")).to_numpy(zero_copy_only=False)) if batch.num_rows else []
+            start = 0
+            while start < batch.num_rows:  # about ``TOGETHER`` ids, or one row
+                done = counts[start - 1] if start else 0
+                part = batch.slice(start, max(1, int(np.searchsorted(counts, done + TOGETHER, side="right")) - start))
+                start += part.num_rows
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), own.decode(part.column("ids"))], ["doc_id", "ids", "data"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, data binary")
