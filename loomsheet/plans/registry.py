@@ -31,6 +31,27 @@ class Spec:
         return (self.fn.__doc__ or self.name.replace("_", " ")).strip().splitlines()[0]
 
 
+    @property
+    def output(self) -> str:
+        return _OUTPUTS.get(self.category, "a table")
+
+    @property
+    def example(self) -> dict:
+        """A step that calls the function, with a value for each parameter that has no default."""
+        needed = [k for k, p in self.params.items() if p.default is inspect.Parameter.empty]
+        return {"op": self.name, "params": {k: _SAMPLES.get((self.name, k), _SAMPLES.get(k, "...")) for k in needed}}
+
+
+_OUTPUTS = {
+    "rows": "the same columns, fewer rows or rows in another order", "columns": "the same rows, columns chosen or changed", "text": "the same rows, a column of text changed or added",
+    "text and structure": "the same rows, columns put together or taken apart", "reshape": "a row for each group, value or item", "enrich": "the same rows and a new column", "flags": "the same rows and a column of true and false",
+}
+_SAMPLES = {
+    "column": "text", "columns": ["text", "lang"], "operator": "is_not_null", "keywords": ["spark", "sql"], "n": 10, "mapping": {"text": "body"}, "dtype_name": "integer", "strategy": "forward", "new_column": "found",
+    "metric": "word_count", "operation": "lowercase", "pattern": r"\s+", "path": "user.name", "by": ["lang"], "agg": "count", "categories": {"sport": ["football"], "finance": ["stock"]}, "weights": {"good": 1.0, "bad": -1.0},
+    "breaks": [10.0, 100.0], ("weighted_score", "weights"): {"n_chars": 1.0}, ("replace_values", "mapping"): {"en": "english"}, ("bucketize", "column"): "n_chars",
+}
+
 _BUILT_IN = {
     "rows": (rows, {"filter_rows": ROW_WISE, "filter_range": ROW_WISE, "filter_keywords": ROW_WISE, "drop_nulls": ROW_WISE, "dedupe": WHOLE, "sort_rows": WHOLE, "top_n": WHOLE, "limit_rows": WHOLE, "sample_rows": WHOLE}),
     "columns": (

@@ -345,3 +345,31 @@ def test_an_index_reads_only_its_ranges(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert [r["row_id"] for r in found.orderBy("row_id").collect()] == [37, 2981] and "PushedFilters: [Or(And(GreaterThanOrEqual(row_id,30)" in plan
     assert search.search_index(spark, str(tmp_path / "i"), "nothing", block_rows=10).count() == 0 and search.search_index(spark, str(tmp_path / "i"), "ha", block_rows=10).count() == 2998
+
+
+def test_every_function_tells_what_it_takes_and_gives():
+    for name, spec in registry.FUNCTIONS.items():
+        if spec.category != "own":
+            assert spec.text and spec.output != "a table" and spec.example["op"] == name and "..." not in spec.example["params"].values()
+
+
+def test_examples_run(spark):
+    df = spark.createDataFrame([(0, "A b", "en", 3), (1, None, "de", 0)], "row_id long, text string, lang string, n_chars long")
+    for name in ("filter_rows", "filter_keywords", "sort_rows", "select_columns", "rename_columns", "cast_column", "text_metric", "transform_text", "group_aggregate", "keyword_tag", "keyword_score", "weighted_score", "bucketize", "replace_values", "fill_missing", "value_counts"):
+        pipeline.run_pipeline(df, [registry.FUNCTIONS[name].example]).collect()
+
+
+def test_a_hot_value_fills_several_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "ROWS_A_FILE", 100)
+    df = spark.range(1000).select("id", F.when(F.col("id") < 900, "hot").otherwise(F.col("id").cast("string")).alias("k"), F.lit(None).cast("string").alias("n"))
+    made = sinks.export(df, str(tmp_path / "p"), partition_by=["k"])
+    assert made["bytes"] > 0 and made["rows"] == 1000
+    assert len(list((tmp_path / "p" / "k=hot").glob("*.parquet"))) >= 5 and spark.read.parquet(str(tmp_path / "p")).count() == 1000
+
+
+def test_equal_keys_are_numbered_densely(spark):
+    df = spark.range(20_000).select("id", F.lit(7).alias("k"), F.lit("x").alias("row_id"))
+    out = rowid.number_rows(df.repartition(8), ["k"], "n")
+    assert out.columns == ["n", "id", "k", "row_id"] and out.agg(F.count_distinct("n"), F.min("n"), F.max("n")).first()[:] == (20_000, 0, 19_999)
+    again = {r["id"]: r["n"] for r in rowid.number_rows(df.repartition(3), ["k"], "n").collect()}
+    assert {r["id"]: r["n"] for r in out.collect()} == again
