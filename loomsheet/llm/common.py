@@ -19,8 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# Spark removes the shuffle files of a write once it has ended, and not only when the driver collects garbage.
-CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# While a table is written: Spark removes the shuffle files once the write has ended, and not only when
+# the driver collects garbage; and batches for Python are bounded by bytes, since texts may be long.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 class Tables:
@@ -35,12 +36,14 @@ class Tables:
 
     def __call__(self, df: DataFrame, name: str) -> DataFrame:
         path = scratch(self.spark, name)
-        before = self.spark.conf.get(CLEANED, "false")
-        self.spark.conf.set(CLEANED, "true")
+        before = {key: self.spark.conf.get(key) for key in WRITING}
+        for key, value in WRITING.items():
+            self.spark.conf.set(key, value)
         try:
             df.write.parquet(path)
         finally:
-            self.spark.conf.set(CLEANED, before)
+            for key, value in before.items():
+                self.spark.conf.set(key, value)
         self.paths.setdefault(name, []).append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -48,8 +48,8 @@ from .graph import components
 FREQUENT = 100_000
 HIGHEST = 100_000  # counts are told apart up to it
 EXTRA_PERCENT = 3
-FLUSH = 3_000_000  # shingles counted together in a task
-BLOCK = 2_000_000  # bytes of text hashed together
+FLUSH = 1_000_000  # shingles counted together in a task
+BLOCK = 500_000  # bytes of text hashed together
 HELD = 1_000  # holders of a shingle that a task of step 4 pairs with the others
 PAIRED, PAIRED_SHINGLES = 1_024, 2_000_000  # sets, and shingles in them, of a block whose links are counted
 WIDE = 4_096  # shingles that a step of the counting compares
@@ -214,7 +214,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, perce
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "ta", BLOCK // 2):
+            for part in slices(batch, "ta", BLOCK):
                 sides = [sh.shingles(*sh.words(*utf8(part.column(c))), n) for c in ("ta", "tb")]
                 held = []
                 for a, b, x, y in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), *sides, strict=True):

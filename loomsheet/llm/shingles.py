@@ -46,7 +46,7 @@ def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.
     chars = (_LOWER[raw] if lower else raw)[solid]
     heads = np.flatnonzero(begins[solid])
     lengths = np.diff(np.append(heads, len(chars)))
-    place = np.arange(len(chars)) - np.repeat(heads, lengths)
+    place = np.arange(len(chars), dtype=np.int32) - np.repeat(heads.astype(np.int32), lengths)
     values = (chars.astype(np.uint64) + np.uint64(1)) * series(int(lengths.max()), 17)[place]
     return mix(np.add.reduceat(values, heads)), ends
 

@@ -37,7 +37,7 @@ from .common import Tables, slices, text_of, utf8
 
 SEED = 5
 COVERAGE = 0.5
-BLOCK = 2_000_000  # bytes of text hashed together
+BLOCK = 500_000  # bytes of text hashed together
 BITS, SPARSE = 2**27, 256  # bits of the bitmap of seeds: 16 MB at most, and SPARSE for each seed where they fit
 SEEDS = 2_000_000  # pairs of places looked at together
 LISTED = 4_000_000  # texts (a few longs each) whose leaks may be broadcast
