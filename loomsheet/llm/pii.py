@@ -139,7 +139,8 @@ def _undone(hit: Column) -> Column:
 def _valid(kind: int, hit: Column) -> Column:
     """Whether a candidate is of its kind once the disguise is undone; a phone number only if it has a country's prefix."""
     if kind == 0:
-        return _undone(hit).rlike(f"^{EMAIL}$")
+        # "one at home. The" is a sentence; an at sign, a bracket or a written dot isn't.
+        return _undone(hit).rlike(f"^{EMAIL}$") & hit.rlike(r"(?i)@|[\[({<]|[^a-z]dot[^a-z]")
     if kind == 1:
         return _octets(hit) & (F.size(F.split(hit, "[^0-9]+")) == 4)
     return good_card(hit) if kind == 2 else hit.rlike(r"^(?:00|\+)") & good_phone(hit)

@@ -166,6 +166,7 @@ def planted(n, seed):
         bad = four("".join(str(rng.randrange(10)) for _ in range(15)) + "x", "-")[:-1]
         out += [(f"{say(4)} on 20{rng.randint(10, 29)}-{rng.randint(10, 12)}-{rng.randint(10, 28)} {say(3)} {rng.randint(100, 999)}.{rng.randint(100, 999)}.{rng.randint(300, 999)} {bad}", None, "")]
         out += [(f"{say(3)} version {rng.randint(300, 999)}.{rng.randint(1, 9)}.{rng.randint(1, 9)}.{rng.randint(1, 9)} at {word()} {word()}. Done {say(2)}", None, "")]
+        out += [(f"{say(3)} was {word()} at {word()}. The {say(2)}", None, ""), (f"{word()} at {word()}.\n{word()} {say(2)}", None, "")]
         hidden = rng.choice([
             ("email", "mail", f"{a}{rng.choice([' (at) ', ' [at] ', '[at]', ' (AT) '])}{b}{rng.choice([' (dot) ', '.', '[dot]'])}{c}"), ("email", "write", f"{a} at {b} dot {c}"), ("email", "mail", f"{a} @ {b}.{c}"),
             ("ip", "host", rng.choice(["[.]", "(.)", "[dot]"]).join(ip())), ("card", "visa", four(card(), rng.choice([".", "_", "  "]))), ("phone", "tel", "00" + phone()[1:]),
