@@ -9,7 +9,7 @@ from ..functions.values import hashable
 
 ROW_ID = "row_id"
 FEWEST, MOST, STEP = 64, 4096, 64
-SHARES = 2**30
+SPARE = 4  # rows drawn for each bound, since equal rows are drawn together
 
 
 def _running(counts: DataFrame, order: list[str]) -> DataFrame:
@@ -50,10 +50,9 @@ def number_rows(df: DataFrame, order_by: list[str], name: str = ROW_ID, descendi
     key = F.struct(*[x for c in order_by for x in (F.col(c).isNull(), F.col(c))])
     n = min(MOST, max(FEWEST, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     keyed = df.withColumn("__k", key)
-    # A share of the hashes that holds about sixteen times what is wanted, and of that the smallest.
-    share = min(SHARES, -(-16 * n * SHARES // max(1, df.count())))
-    picked = F.pmod(F.xxhash64("__h", F.lit(3)), F.lit(SHARES))
-    drawn = keyed.where(picked < share).select("__k", picked.alias("__p")).distinct().orderBy("__p", "__k").limit(n)
+    # The keys of the rows with the smallest hashes: each task keeps few, and nothing else is shuffled.
+    picked = keyed.select("__k", F.xxhash64("__h", F.lit(3)).alias("__p")).orderBy("__p", "__k").limit(SPARE * n)
+    drawn = picked.distinct().orderBy("__p", "__k").limit(n)
     bounds = drawn.agg(F.array_sort(F.collect_list("__k")).alias("__bounds"))
     bounds = bounds.select("__bounds", F.filter("__bounds", lambda b, i: i % STEP == 0).alias("__coarse"))  # n keys at most
     upto = lambda a: F.size(F.filter(a, lambda b: b <= F.col("__k")))
