@@ -26,11 +26,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_of
+from .common import bounded, slices, text_of
 
 BASE = 0x100
 TOGETHER = 1_000_000  # ids decoded together
-KEPT = 200_000  # pre-tokens whose ids a task remembers
+KEPT = 50_000  # pre-tokens whose ids a task remembers
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -124,13 +124,13 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            for part in slices(batch, "text", 1_000_000):
+            for part in slices(batch, "text", 250_000):
                 ids = own.encode(part.column("text").to_pylist())
                 ends = (np.cumsum([0, *map(len, ids)]) // 4).astype(np.int32)
                 values = np.frombuffer(b"".join(ids), np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -147,4 +147,4 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
                 start += part.num_rows
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), own.decode(part.column("ids"))], ["doc_id", "ids", "data"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, data binary")
+    return bounded(encoded.select("doc_id", "ids")).mapInArrow(run, "doc_id long, ids array<int>, data binary")

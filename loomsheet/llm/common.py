@@ -19,9 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# While a table is written: Spark removes the shuffle files once the write has ended, and not only when
-# the driver collects garbage; and batches for Python are bounded by bytes, since texts may be long.
-WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+# Spark removes the shuffle files of a write once it has ended, and not only when the driver collects garbage.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH, MOST = "spark.sql.execution.arrow.maxBytesPerBatch", "2m"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, for a function over Arrow batches. From now on the session's batches are bounded by bytes, since texts may be long."""
+    df.sparkSession.conf.set(BATCH, MOST)
+    return df
 
 
 class Tables:
@@ -36,14 +42,12 @@ class Tables:
 
     def __call__(self, df: DataFrame, name: str) -> DataFrame:
         path = scratch(self.spark, name)
-        before = {key: self.spark.conf.get(key) for key in WRITING}
-        for key, value in WRITING.items():
-            self.spark.conf.set(key, value)
+        before = self.spark.conf.get(CLEANED)
+        self.spark.conf.set(CLEANED, "true")
         try:
             df.write.parquet(path)
         finally:
-            for key, value in before.items():
-                self.spark.conf.set(key, value)
+            self.spark.conf.set(CLEANED, before)
         self.paths.setdefault(name, []).append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

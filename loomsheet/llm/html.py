@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import bounded, slices, written
 
 PATHS = 5
 BLOCK = 2_000_000
@@ -276,7 +276,7 @@ def votes(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("host"), pa.array([whole(p) for p in paths], pa.string()), pa.array([f[p] if p else 0.0 for f, p in zip(found, paths, strict=True)])], ["host", "path", "score"])
 
     texts = pages.select(_host().alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    return texts.mapInArrow(run, "host string, path string, score double").where("path IS NOT NULL")
+    return bounded(texts).mapInArrow(run, "host string, path string, score double").where("path IS NOT NULL")
 
 
 def winners(cast: DataFrame, most: int = PATHS) -> DataFrame:

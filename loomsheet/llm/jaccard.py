@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as sh
-from .common import Tables, slices, text_of, utf8
+from .common import Tables, bounded, slices, text_of, utf8
 from .graph import components
 
 FREQUENT = 100_000
@@ -109,7 +109,7 @@ def frequent(docs: DataFrame, n: int, keep: Tables, most: int = FREQUENT) -> np.
                 held, size = [], 0
         yield from flush()
 
-    found = docs.select(text_of().alias("text")).mapInArrow(count, "token long, many long")
+    found = bounded(docs.select(text_of().alias("text"))).mapInArrow(count, "token long, many long")
     counted = keep(found.groupBy("token").agg(F.sum("many").alias("many")).where("many > 2"), "frequent")
     # The least count that at most ``most`` shingles reach, from a histogram with a row for each count.
     histogram = counted.groupBy(F.least("many", F.lit(HIGHEST)).alias("many")).agg(F.count(F.lit(1)).alias("tokens")).collect()
@@ -204,7 +204,7 @@ def _prefixes(texts: DataFrame, n: int, percent: int, last: np.ndarray) -> DataF
             lists = [pa.ListArray.from_arrays(x.offsets, x.values.view(pa.int32())) for x in lists]
             yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(own, pa.int64())), pa.array([len(sets[k]) for k in own], pa.int64()), *lists], ["node", "n", *FURTHER])
 
-    return texts.mapInArrow(run, "node long, n long, " + ", ".join(f"{order} array<int>" for order in FURTHER))
+    return bounded(texts).mapInArrow(run, "node long, n long, " + ", ".join(f"{order} array<int>" for order in FURTHER))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent: int, keep: Tables) -> DataFrame:
@@ -222,7 +222,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, perce
                     held.append(node_of(x) == a and node_of(y) == b and _similar(x, y, percent))
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(held, pa.bool_()))
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+    return bounded(both.select("a", "b", "ta", "tb")).mapInArrow(run, "a long, b long").distinct()
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -303,7 +303,7 @@ def sketches(rows: DataFrame, n: int, percent: int, last: np.ndarray) -> DataFra
             signed = pa.ListArray.from_arrays(lists.offsets, lists.values.view(pa.int64()))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), signed], ["doc_id", "node", "n", "prefix"])
 
-    return rows.mapInArrow(run, "doc_id long, node long, n long, prefix array<long>")
+    return bounded(rows).mapInArrow(run, "doc_id long, node long, n long, prefix array<long>")
 
 
 def near_pivots(tokens: DataFrame, percent: int) -> DataFrame:

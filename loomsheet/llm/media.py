@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_of
+from .common import bounded, slices, text_of
 
 ACROSS, DOWN = 32, 16  # blocks of a frame
 PER_FRAME = ACROSS * DOWN
@@ -334,7 +334,7 @@ def store(docs: DataFrame) -> DataFrame:
                     ["doc_id", "n_bytes", "media"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, STORED)
+    return bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))).mapInArrow(run, STORED)
 
 
 READ = (
@@ -370,7 +370,7 @@ def read_back(stored: DataFrame) -> DataFrame:
                 made = {k: pa.array([r[k] for r in rows], types.get(k, pa.int64())) for k in names[2:]}
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *made.values()], names)
 
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, READ)
+    return bounded(stored.select("doc_id", "n_bytes", "media")).mapInArrow(run, READ)
 
 
 def clips(stored: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, slices, text_of
+from .common import bounded, held_out, labelled_sample, slices, text_of
 
 PIECE = 128
 SAMPLE = 3000  # labelled texts to learn from, at most
@@ -130,7 +130,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(model.scores(d)), pa.array(d)], ["doc_id", "held_out", "score", "difference"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_of().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, difference double").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return bounded(rows).mapInArrow(run, "doc_id long, held_out boolean, score double, difference double").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
@@ -146,4 +146,4 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
 
     if model.weights is None:
         return docs
-    return docs.select(names).mapInArrow(run, schema)
+    return bounded(docs.select(names)).mapInArrow(run, schema)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles as sh
-from .common import Tables, slices, text_of, utf8
+from .common import Tables, bounded, slices, text_of, utf8
 
 SEED = 5
 COVERAGE = 0.5
@@ -144,7 +144,7 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 
     held = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text")).where("item_id IS NOT NULL").distinct()
     held = held.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "text")
-    return held.mapInArrow(run, "item long, item_id long, size int, n int, hashes array<long>").where("size > 0")
+    return bounded(held).mapInArrow(run, "item long, item_id long, size int, n int, hashes array<long>").where("size > 0")
 
 
 def finders(items: DataFrame, coverage: float) -> DataFrame:
@@ -206,7 +206,7 @@ def hits(docs: DataFrame, lengths: list[int], bits: np.ndarray) -> DataFrame:
                     [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), _list(out[2], np.int32), pa.ListArray.from_arrays(lists.offsets, lists.values.view(pa.int64()))], ["key", "n", "places", "hashes"]
                 )
 
-    return docs.select(_key().alias("key"), text_of().alias("text")).mapInArrow(run, "key long, n int, places array<int>, hashes array<long>")
+    return bounded(docs.select(_key().alias("key"), text_of().alias("text"))).mapInArrow(run, "key long, n int, places array<int>, hashes array<long>")
 
 
 def _slices_of(column: pa.ListArray) -> list[np.ndarray]:
@@ -237,7 +237,7 @@ def tiled(pairs: DataFrame, coverage: float) -> DataFrame:
             columns = list(zip(*made, strict=True)) if made else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 5 else pa.int64()) for k, c in enumerate(columns)], [x.split()[0] for x in TILED.split(", ")])
 
-    return pairs.mapInArrow(run, TILED)
+    return bounded(pairs).mapInArrow(run, TILED)
 
 
 def leaked_texts(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:

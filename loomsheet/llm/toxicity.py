@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as sh
-from .common import held_out, labelled_sample, slices, text_of, utf8
+from .common import bounded, held_out, labelled_sample, slices, text_of, utf8
 
 WINDOW, STRIDE = 24, 16
 WORD, CHAR, HIDDEN = 8, 8, 8
@@ -342,5 +342,5 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(p), pa.array(many.astype(np.int64)), pa.array(most)], ["doc_id", "held_out", "score", "n_windows", "most"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_of().alias("text"))
-    scored = rows.mapInArrow(run, "doc_id long, held_out boolean, score double, n_windows long, most double")
+    scored = bounded(rows).mapInArrow(run, "doc_id long, held_out boolean, score double, n_windows long, most double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
