@@ -24,9 +24,9 @@ CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH, MOST = "spark.sql.execution.arrow.maxBytesPerBatch", "2m"
 
 
-def bounded(df: DataFrame) -> DataFrame:
+def bounded(df: DataFrame, most: str = MOST) -> DataFrame:
     """``df``, for a function over Arrow batches. From now on the session's batches are bounded by bytes, since texts may be long."""
-    df.sparkSession.conf.set(BATCH, MOST)
+    df.sparkSession.conf.set(BATCH, most)
     return df
 
 
