@@ -30,7 +30,7 @@ from .common import bounded, slices, text_of
 
 BASE = 0x100
 TOGETHER = 1_000_000  # ids decoded together
-KEPT = 50_000  # pre-tokens whose ids a task remembers
+KEPT = 200_000  # pre-tokens whose ids a task remembers
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -87,10 +87,10 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as int32 values one after the other."""
         split = [self.pattern.findall(t) for t in texts]
-        known, new = self.known, set(chain.from_iterable(split))
-        if len(known) + len(new) > KEPT:
+        known, seen = self.known, set(chain.from_iterable(split))
+        if len(known) + len(seen) > KEPT:
             known.clear()
-        new.difference_update(known)
+        new = [p for p in seen if p not in known]  # a difference of sets would go through all that is known
         merge = []
         for piece in new:
             if (rank := self.ranks.get(piece.encode())) is not None:

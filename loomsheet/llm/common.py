@@ -103,11 +103,12 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.R
         start = stop
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> list[tuple[str, int]]:
-    """At most ``most`` labelled texts to learn from, half of each class where there are enough.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[list[tuple[str, int]], dict[int, int]]:
+    """At most ``most`` labelled texts to learn from, half of each class where there are enough, and how many labels of each class there are.
 
     A bounded, documented sample: the learnable labels with the smallest hashes of their ids,
-    which doesn't depend on partitioning. Only these rows' texts come to the driver.
+    which doesn't depend on partitioning. Only these rows' texts come to the driver; of an id's texts, the
+    one with the smallest hash, so that repeated ids bring no more.
     """
     ids = labels.where(learnable() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label")).distinct()
     key = F.xxhash64(F.col("doc_id"), F.lit(7))
@@ -121,6 +122,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
     rows = (
         docs.select("doc_id", text_of().alias("text"))
         .join(F.broadcast(picked), "doc_id")  # bounded by ``most`` rows
+        .groupBy("doc_id", "label")
+        .agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
         .collect()
     )
-    return [(r["text"], r["label"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
+    return [(r["text"], r["label"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"], r["label"]))], many

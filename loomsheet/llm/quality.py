@@ -6,8 +6,8 @@ shows whatever the words are. A text is compressed whole, in pieces of ``PIECE``
 that the dictionaries rather than the text's own repetitions make them small, and its shape likewise.
 With g and b the total sizes by the good and the bad dictionaries, the normalised difference
 (b - g) / (b + g) is the only feature; a logistic fit on other labelled texts turns it into a
-calibrated score. The sample has as many texts of each class where it can, so the score is calibrated
-for even classes then.
+calibrated score. The sample has as many texts of each class where it can; the fit's intercept is
+then moved by what the classes' shares of all labels differ from those of the sample.
 
 Defined results: null and empty texts have the difference 0; without labels of both classes every
 score is 0.5; repeated rows repeat their score; extra columns are dropped by ``score`` and kept by
@@ -105,7 +105,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE) -> Model:
     """Learns from ``most`` labelled texts at most: one half of each class makes its dictionary, the other the fit."""
-    rows = [(t.encode(), y) for t, y in labelled_sample(docs, labels, label, most) if t]
+    sample, many = labelled_sample(docs, labels, label, most)
+    rows = [(t.encode(), y) for t, y in sample if t]
     by = {y: [t for t, v in rows if v == y] for y in (0, 1)}
     if not by[0] or not by[1]:
         return Model([], None)
@@ -116,6 +117,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     c = made.compressors()
     fit = [(t, y) for y in (0, 1) for t in by[y][1::2] or by[y]]
     made.weights = _logistic(_scaled(np.array([difference(t, c) for t, _ in fit])), np.array([float(y) for _, y in fit]))
+    share = sum(y for _, y in fit) / len(fit)
+    made.weights[0] += np.log(many[1] / many[0]) - np.log(share / (1 - share))
     return made
 
 

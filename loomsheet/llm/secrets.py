@@ -7,9 +7,9 @@ along; the counts of its characters change by one character in and one out, and
 c * log2(c), from which the window's entropy follows. The counts lie ``PACKED`` to a number, ``BITS``
 bits each, so that a step costs the same however long the run is. Windows that touch something on the allow-list
 (placeholders, alphabets, paths of lower-case words) aren't scored, all others are: the allow-list
-cuts a part into pieces, and a piece without a digit is passed over. The limit depends on the piece's
-character class: hexadecimal, digits and letters, or the base-64 alphabet. A part with a window above
-the limit is a secret as a whole.
+cuts a part into pieces. The limit depends on the piece's character class: hexadecimal, digits and
+letters, or the base-64 alphabet; pieces without a digit, which may be words, have higher limits of their own, by
+whether their letters are of one case. A part with a window above the limit is a secret as a whole.
 
 Defined results: null and empty texts have no spans; texts are scanned whole, whatever their length;
 repeated rows repeat their spans; extra columns are dropped by ``find`` and kept by ``redact``.
@@ -42,7 +42,7 @@ RUN, WINDOW = 20, 20
 MASKS = "\x01\x02\x03\x04\x05\x06"
 HEX_ALPHABET = "0123456789abcdef"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-LIMITS = {"hex": 3.0, "alnum": 3.6, "base64": 3.7}  # bits a character
+LIMITS = {"hex": 3.0, "alnum": 3.6, "base64": 3.7, "case": 3.9, "letters": 4.0}  # bits a character
 WORDS = r"(?i:example|placeholder|changeme|dummy|sample|lorem|x{6,}+|0{8,}+|1{8,}+|0123456|1234567|abcdefg)"
 PATH = r"(?:^|(?<=/))[a-z]{2,}+(?:/[a-z]{2,}+(?=/|$))++/?"
 ALLOWED = f"{WORDS}|{PATH}"
@@ -88,15 +88,15 @@ def max_entropy(run: Column, alphabet: str) -> Column:
 def _scored(piece: Column) -> Column:
     """Whether the entropy of a piece's windows exceeds the limit of its character class."""
     of_hex, of_alnum = piece.rlike("^[0-9a-f]+$"), piece.rlike("^[A-Za-z0-9]+$")
-    return F.when(of_hex, max_entropy(piece, HEX_ALPHABET) >= LIMITS["hex"]).otherwise(
-        max_entropy(piece, ALPHABET) >= F.when(of_alnum, LIMITS["alnum"]).otherwise(LIMITS["base64"])
-    )
+    of_words = F.when(piece.rlike("^(?:[^A-Z]+|[^a-z]+)$"), LIMITS["case"]).otherwise(LIMITS["letters"])
+    limit = F.when(~piece.rlike("[0-9]"), of_words).when(of_alnum, LIMITS["alnum"]).otherwise(LIMITS["base64"])
+    return F.when(of_hex & piece.rlike("[0-9]"), max_entropy(piece, HEX_ALPHABET) >= LIMITS["hex"]).otherwise(max_entropy(piece, ALPHABET) >= limit)
 
 
 def is_secret(part: Column) -> Column:
     """Whether a window of a candidate that nothing on the allow-list touches has too much entropy."""
-    pieces = F.filter(F.split(part, ALLOWED, -1), lambda p: (F.char_length(p) >= WINDOW) & p.rlike("[0-9]"))
-    return F.when(~part.rlike("[0-9]"), False).otherwise(F.exists(pieces, _scored))
+    pieces = F.filter(F.split(part, ALLOWED, -1), lambda p: F.char_length(p) >= WINDOW)
+    return F.exists(pieces, _scored)
 
 
 def with_spans(docs: DataFrame) -> DataFrame:

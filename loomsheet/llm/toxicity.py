@@ -259,7 +259,7 @@ def _first_guess(block: Block, labels: np.ndarray, doc_of: np.ndarray) -> np.nda
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE, epochs: int = 4, seed: int = 3) -> Network:
     """Learns from ``most`` labelled texts at most."""
-    return train_on([(t, y) for t, y in labelled_sample(docs, labels, label, most) if t.strip()], epochs, seed)
+    return train_on([(t, y) for t, y in labelled_sample(docs, labels, label, most)[0] if t.strip()], epochs, seed)
 
 
 def train_on(sample: list[tuple[str, int]], epochs: int = 4, seed: int = 3) -> Network:

@@ -186,3 +186,15 @@ def test_planted_look_alikes_are_told_apart(spark):
         caught += kind is not None and f"{kind}:{start}:{start + len(span)}" in added
     print(f"added {found}, right {right}, planted {many}, caught {caught}")
     assert right / found >= 0.95 and caught / many >= 0.9
+
+
+def test_letters_alone_are_judged_by_entropy(spark):
+    """Random letters are found, long words and names of many words are not."""
+    rng = random.Random(9)
+    keys = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(40)) for _ in range(100)]
+    words = [
+        "pneumonoultramicroscopicsilicovolcanoconiosis", "Donaudampfschifffahrtsgesellschaft", "antidisestablishmentarianism", "AbstractSingletonProxyFactoryBean",
+        "some-long-kebab-case-identifier", "getApplicationContextFromParent", "Rindfleischetikettierungsueberwachungsaufgabenuebertragungsgesetz", "the_quick_brown_fox_jumps_over",
+    ]
+    found = secrets.find(frame(spark, keys + words)).select("doc_id", F.size("spans").alias("n")).collect()
+    assert sum(r["n"] for r in found if r["doc_id"] < 100) >= 85 and all(r["n"] == 0 for r in found if r["doc_id"] >= 100)
