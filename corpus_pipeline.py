@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomsheet.llm import bpe, jaccard, quality, secrets, tiling
-from loomsheet.llm.common import table, written
+from loomsheet.llm.common import Tables, table
 
 WORDS, PERCENT = 5, 80
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -60,7 +60,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. A stage's table goes once the next is written."""
+    docs, keep = table(spark, sf_dir, "documents"), Tables(spark)
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        keep.drop_all(f"stage-{name}")
     return docs
