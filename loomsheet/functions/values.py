@@ -39,6 +39,13 @@ def quoted(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A name like this one that no column starts with."""
+    while any(c.startswith(name) for c in columns):
+        name = f"_{name}"
+    return name
+
+
 def as_text(column: Column, dt: T.DataType) -> Column:
     """Strings as they are, nested values as JSON, others as Spark prints them."""
     if isinstance(dt, T.StringType):

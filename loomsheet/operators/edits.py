@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.values import coerced, dtype, kind, literal, quoted, typed, unicode, verbatim
+from ..functions.values import coerced, dtype, kind, literal, quoted, typed, unicode, unused, verbatim
 from ..functions.values import replacement as translated
 from ..plans.pipeline import run_pipeline
 from ..sources.rowid import number_rows
@@ -71,14 +71,15 @@ def _apply_rows(df: DataFrame, run: list[dict], row_id: str) -> DataFrame:
     if not updated:
         return df
     # One row for each changed row; a flag tells "set to null" from "not set".
-    fields = [T.StructField("__id", T.LongType())]
+    own, was_set, new = (unused(name, df.columns) for name in ("__id", "__set_", "__new_"))
+    fields = [T.StructField(own, T.LongType())]
     for k, c in enumerate(columns):
-        fields += [T.StructField(f"__set_{k}", T.BooleanType()), T.StructField(f"__new_{k}", df.schema[c].dataType)]
+        fields += [T.StructField(f"{was_set}{k}", T.BooleanType()), T.StructField(f"{new}{k}", df.schema[c].dataType)]
     data = [(i, *[x for c in columns for x in ((True, _python(v[c], df.schema[c].dataType)) if c in v else (False, None))]) for i, v in updated.items()]
     changes = spark.createDataFrame(data, T.StructType(fields))
-    joined = df.join(F.broadcast(changes) if len(data) <= BROADCAST else changes, quoted(row_id) == F.col("__id"), "left")
+    joined = df.join(F.broadcast(changes) if len(data) <= BROADCAST else changes, quoted(row_id) == F.col(own), "left")
     at = {c: k for k, c in enumerate(columns)}
-    return joined.select(*[F.when(F.col(f"__set_{at[c]}"), F.col(f"__new_{at[c]}")).otherwise(quoted(c)).alias(c) if c in at else quoted(c) for c in df.columns])
+    return joined.select(*[F.when(F.col(f"{was_set}{at[c]}"), F.col(f"{new}{at[c]}")).otherwise(quoted(c)).alias(c) if c in at else quoted(c) for c in df.columns])
 
 
 def _python(value, dt: T.DataType):

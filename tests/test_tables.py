@@ -289,24 +289,6 @@ def test_sort_and_merge_take_all_rows(spark, sf):
     assert QUERIES["o43_merge_all"](spark, sf).where("n_chars IS NOT NULL").count() == many("documents")
 
 
-def test_a_commit_writes_only_what_it_changes(spark, tmp_path):
-    sizes = []
-    for n in (1_000, 100_000):
-        table = versions.Versions(spark, str(tmp_path / f"v{n}"))
-        table.init(spark.range(n).select(F.col("id").alias("row_id"), F.concat(F.lit("value "), "id").alias("x")))
-        for k in range(9):
-            table.commit([{"op": "update", "row_id": k, "values": {"x": "new"}}, {"op": "add", "row": {"x": f"added {k}"}}])
-        sizes.append(sum(f.stat().st_size for f in (tmp_path / f"v{n}" / "delta" / "9").rglob("*.parquet")))
-        assert table.checkout().count() == n + 9 and table.checkout(4).where("x = 'new'").count() == 4
-        assert table.checkout().select("row_id").distinct().count() == n + 9
-    assert abs(sizes[0] - sizes[1]) < 1000  # parts and footers
-    before = data(table.checkout(8), "row_id")
-    table.restore(3)
-    for k in range(7):
-        table.commit([{"op": "delete", "row_id": 50 + k}])
-    assert table.clean() == [8] and data(table.checkout(8), "row_id") == before and table.checkout().count() == 100_000 + 3 - 7
-
-
 def test_many_deletions(spark):
     gone = [0, 1, 5, 6, 7, 20, 99]
     left = [k for k in range(100) if k not in gone]
