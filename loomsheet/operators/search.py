@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,11 @@ LIMIT = 1000
 PART = 10_000  # blocks whose numbers lie together in a row of the words
 RANGES = 64  # ranges of row numbers that a search reads, at most
 RUNS = unicode(r"\w+")
+GRAM = 3  # characters of a word that the look-up goes by
+WORDS = 2_000  # of one run of the query; a run inside more words than these rules out too little to look further
+BLOCKS = 4_096  # that are listed one by one
+SHARE = 0.5  # of all blocks, from which the whole table is read
+COMMON = "etaoinsrhldu"  # letters by which a frequent gram is told from a rare one
 
 
 def terms_of(query: str) -> list[str]:
@@ -75,17 +81,69 @@ def index_rows(df: DataFrame, block_rows: int = BLOCK_ROWS, row_id: str = "row_i
     return pairs.groupBy("token", F.floor(F.col("block") / PART).alias("part")).agg(F.sort_array(F.collect_list("block")).alias("blocks"))  # PART numbers at most
 
 
+def index_grams(words: DataFrame) -> DataFrame:
+    """gram, token: the stretches of one to ``GRAM`` characters of each word of an index, each once."""
+    size = F.char_length("token")
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: F.substring(F.col("token"), i, F.lit(n)))
+    grams = F.array_distinct(F.concat(*[F.when(size >= n, cut(n)).otherwise(F.array().cast("array<string>")) for n in range(1, GRAM + 1)]))
+    return words.select("token").distinct().select(F.explode(grams).alias("gram"), "token")
+
+
 def build_index(df: DataFrame, path: str, block_rows: int = BLOCK_ROWS, row_id: str = "row_id") -> None:
-    """Writes the data sorted by row number, so that blocks are ranges of row groups, and the words sorted by themselves."""
+    """Writes the data sorted by row number, so that blocks are ranges of pages, the words and the grams sorted by themselves, and a note."""
+    spark = df.sparkSession
     df.repartitionByRange(quoted(row_id)).sortWithinPartitions(row_id).write.mode("errorifexists").parquet(f"{path}/data")
     index_rows(df, block_rows, row_id).repartitionByRange("token").sortWithinPartitions("token").write.mode("errorifexists").parquet(f"{path}/words")
+    index_grams(spark.read.parquet(f"{path}/words")).repartitionByRange("gram", "token").sortWithinPartitions("gram", "token").write.mode("errorifexists").parquet(f"{path}/grams")
+    blocks = spark.read.parquet(f"{path}/data").agg(F.floor(F.max(quoted(row_id)) / block_rows).cast("long") + 1).first()[0] or 0
+    spark.createDataFrame([(row_id, block_rows, blocks)], "row_id string, block_rows long, blocks long").coalesce(1).write.parquet(f"{path}/note")
+
+
+def runs_of(query: str) -> list[str]:
+    """The runs of word characters of a query; each must lie inside some word of a row."""
+    return sorted({r for t in terms_of(query) for r in re.findall(r"\w+", t)})
+
+
+def _gram_of(run: str) -> str:
+    """The gram of a run by which its words are looked up: the one with the fewest common letters."""
+    grams = [run[i : i + GRAM] for i in range(max(1, len(run) - GRAM + 1))]
+    return min(grams, key=lambda g: sum(c in COMMON for c in g))
+
+
+def words_with(grams: DataFrame, runs: list[str], most: int = WORDS) -> dict[str, list[str]]:
+    """For each run the words that it lies inside, by one gram of each; runs with more than ``most`` words are left out."""
+
+    def one(run: str) -> DataFrame:
+        return grams.where((F.col("gram") == _gram_of(run)) & F.col("token").contains(run)).select(F.lit(run).alias("run"), "token").limit(most + 1)
+
+    found: dict[str, list[str]] = {run: [] for run in runs}
+    for r in reduce(lambda a, b: a.unionAll(b), map(one, runs)).collect():  # most + 1 rows for each run
+        found[r["run"]].append(r["token"])
+    return {run: sorted(tokens) for run, tokens in found.items() if len(tokens) <= most}
+
+
+def _any(terms: list[Column]) -> Column:
+    """Whether one of the terms holds; a tree of few levels, which a scan of Parquet takes over."""
+    while len(terms) > 1:
+        terms = [terms[i] | terms[i + 1] if i + 1 < len(terms) else terms[i] for i in range(0, len(terms), 2)]
+    return terms[0] if terms else F.lit(False)
+
+
+def blocks_with(words: DataFrame, found: dict[str, list[str]]) -> DataFrame:
+    """block: those that have a word of each run; reads only where these words lie."""
+    tokens = sorted({t for ts in found.values() for t in ts})
+    held = words.where(_any([F.col("token") == t for t in tokens]) if len(tokens) <= 100 else F.col("token").isin(tokens))
+    of = {t: [k for k, run in enumerate(sorted(found)) if t in found[run]] for t in tokens}
+    which = F.create_map(*[x for t, ks in of.items() for x in (F.lit(t), F.array(*map(F.lit, ks)))]) if tokens else F.create_map().cast("map<string,array<int>>")
+    pairs = held.select("blocks", F.explode(F.element_at(which, F.col("token"))).alias("run")).select("run", F.explode("blocks").alias("block")).distinct()
+    if len(found) == 1:
+        return pairs.select("block")
+    return pairs.groupBy("block").agg(F.count(F.lit(1)).alias("runs")).where(F.col("runs") == len(found)).select("block")
 
 
 def candidate_blocks(index: DataFrame, query: str) -> DataFrame | None:
     """The blocks that can hold every term; None if the query has no word characters to go by."""
-    import re
-
-    runs = sorted({r for t in terms_of(query) for r in re.findall(r"\w+", t)})
+    runs = runs_of(query)
     if not runs:
         return None
     which = F.array_compact(F.array(*[F.when(F.col("token").contains(r), F.lit(k)) for k, r in enumerate(runs)]))
@@ -127,5 +185,47 @@ def search_indexed(data: DataFrame, index: DataFrame, query: str, columns: list[
     return search(data, query, names)
 
 
-def search_index(spark: SparkSession, path: str, query: str, **options) -> DataFrame:
-    return search_indexed(spark.read.parquet(f"{path}/data"), spark.read.parquet(f"{path}/words"), query, **options)
+def _close(blocks: list[int], most: int = RANGES) -> list[tuple[int, int]]:
+    """Ranges that hold all the blocks, ``most`` at most: cut at the widest gaps."""
+    blocks = sorted(blocks)
+    gaps = sorted(((b - a, k) for k, (a, b) in enumerate(zip(blocks, blocks[1:], strict=False)) if b > a + 1), reverse=True)[: most - 1]
+    ends = [-1, *sorted(k for _, k in gaps), len(blocks) - 1]
+    return [(blocks[i + 1], blocks[j]) for i, j in zip(ends, ends[1:], strict=False)] if blocks else []
+
+
+class TextIndex:
+    """A written index, opened once: searches look up words by grams, blocks by words, and rows by ranges of blocks."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        note = spark.read.parquet(f"{path}/note").first()
+        self.row_id, self.block_rows, self.blocks = note["row_id"], note["block_rows"], note["blocks"]
+        self.data, self.words, self.grams = (spark.read.parquet(f"{path}/{name}") for name in ("data", "words", "grams"))
+
+    def ranges(self, query: str) -> list[tuple[int, int]] | None:
+        """Ranges of blocks that can have a row of the query; None if the whole table is to be read."""
+        runs = runs_of(query)
+        found = words_with(self.grams, runs) if runs else {}
+        if not found:
+            return None
+        if not all(found.values()):
+            return []
+        held = blocks_with(self.words, found)
+        blocks = [r["block"] for r in held.limit(BLOCKS + 1).collect()]
+        if len(blocks) > BLOCKS:
+            ranges = [(lo // self.block_rows, hi // self.block_rows) for lo, hi in ranges_of(held, self.block_rows)]
+        else:
+            ranges = _close(blocks)
+        return None if sum(hi - lo + 1 for lo, hi in ranges) > SHARE * self.blocks else ranges
+
+    def search(self, query: str, columns: list[str] | None = None) -> DataFrame:
+        """The rows that ``search`` finds in the data."""
+        names = [c for c in columns or self.data.columns if c != self.row_id]
+        ranges, n = self.ranges(query), self.block_rows
+        data = self.data
+        if ranges is not None:
+            data = data.where(_any([quoted(self.row_id).between(lo * n, (hi + 1) * n - 1) for lo, hi in ranges]))
+        return search(data, query, names)
+
+
+def search_index(spark: SparkSession, path: str, query: str, columns: list[str] | None = None) -> DataFrame:
+    return TextIndex(spark, path).search(query, columns)

@@ -748,6 +748,65 @@ def _(orders):
     return versions.row_diff(parent, child, None).select("o_orderkey", "o_totalprice", "side")
 
 
+def _history(orders) -> versions.Versions:
+    """Orders with five commits: F becomes X, each row below 100 goes, O becomes Y, an old version comes back, P becomes Z."""
+    held = versions.Versions(orders.sparkSession, scratch(orders.sparkSession, "versions"))
+    held.init(number_rows(orders.select("o_orderkey", "o_orderstatus", "o_totalprice"), ["o_orderkey"]))
+    status = lambda old, new: {"op": "replace", "column": "o_orderstatus", "find": old, "replace": new}
+    held.commit([status("F", "X")], "one")
+    held.commit([{"op": "delete", "row_id": k} for k in range(100)], "two")
+    held.commit([status("O", "Y")], "three")
+    held.restore(1)
+    held.commit([status("P", "Z")], "five")
+    return held
+
+
+_NUMBERED = "(SELECT o_orderkey, o_orderstatus AS s, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders)"
+
+
+@query(
+    "o69_diff_of_versions", "orders",
+    f"""
+SELECT o_orderkey, CASE WHEN s = 'F' THEN 'X' ELSE s END AS o_orderstatus, o_totalprice, 'removed' AS side FROM {_NUMBERED} WHERE i < 100 OR s = 'O'
+UNION ALL SELECT o_orderkey, 'Y', o_totalprice, 'added' FROM {_NUMBERED} WHERE i >= 100 AND s = 'O'
+""",
+)
+def _(orders):
+    return _history(orders).row_diff(1, 3)
+
+
+@query(
+    "o69_changes_over_a_restore", "orders",
+    f"""
+SELECT i AS row_id, CASE WHEN i < 100 THEN NULL WHEN s = 'O' THEN 'Y' ELSE s END AS before, CASE WHEN s = 'P' THEN 'Z' WHEN s = 'F' THEN 'X' ELSE s END AS after
+FROM {_NUMBERED} WHERE i < 100 OR s = 'O' OR s = 'P'
+""",
+)
+def _(orders):
+    return _history(orders).changes(3, 5).select("row_id", F.col("old.o_orderstatus").alias("before"), F.col("new.o_orderstatus").alias("after"))
+
+
+@query("o68a_commit_after_a_dead_one", "part", "SELECT p_partkey, CASE WHEN i = 5 THEN 99 WHEN p_size IN (10, 11) THEN 12 ELSE p_size END AS p_size FROM (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS i FROM part) WHERE i <> 3 AND i <> 4")
+def _(part):
+    held = _versioned(part)
+    commits = held.log()
+    held._made(commits, versions.Commit(3, "dead", "delta", held._attempt(3)), [{"op": "delete", "row_id": 9}])  # its rows are written, its note isn't
+    held.commit([{"op": "replace", "column": "p_size", "find": 11, "replace": 12}, {"op": "delete", "row_id": 4}], "alive")
+    return held.checkout().select("p_partkey", "p_size").where("p_size IS NOT NULL")
+
+
+@query("o68a_concurrent_commits", "part", "SELECT p_partkey, CASE WHEN p_size = 1 THEN 101 WHEN p_size = 2 THEN 102 ELSE p_size END AS p_size FROM part")
+def _(part):
+    from concurrent.futures import ThreadPoolExecutor
+
+    held = versions.Versions(part.sparkSession, scratch(part.sparkSession, "versions"))
+    held.init(number_rows(part.select("p_partkey", "p_size"), ["p_partkey"]))
+    writers = [versions.Versions(part.sparkSession, held.path) for _ in range(2)]
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda k: writers[k].commit([{"op": "replace", "column": "p_size", "find": k + 1, "replace": k + 101}]), range(2)))
+    return held.checkout().select("p_partkey", "p_size")
+
+
 # --- profiles (O-70 to O-79b)
 @query("o70_overview", "documents", 'SELECT count(*) AS "rows", 3 AS columns, 0.0::DOUBLE AS missing_percent, count(*) - count(DISTINCT (text, lang, n_chars)) AS duplicate_rows FROM documents')
 def _(documents):
@@ -910,33 +969,42 @@ def _(conversations):
     return index.select("token", F.array_join(F.col("blocks").cast("array<string>"), ",").alias("blocks"))
 
 
-_INDEXES: dict[tuple[str, str], str] = {}
+_INDEXES: dict[tuple[str, str], search.TextIndex] = {}
 
 
-def _index_of(spark, sf_dir: str) -> str:
-    """The folder of the word index of documents, built once for a session and a folder of tables."""
+def _index_of(spark, sf_dir: str) -> search.TextIndex:
+    """The word index of documents, built and opened once for a session and a folder of tables."""
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _INDEXES:
         path = scratch(spark, "index")
         documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
         search.build_index(documents.select(F.col("doc_id").alias("row_id"), "text"), path, 50)
-        _INDEXES[key] = path
+        _INDEXES[key] = search.TextIndex(spark, path)
     return _INDEXES[key]
 
 
 def _search_indexed(words: str):
-    return lambda spark, sf_dir: search.search_index(spark, _index_of(spark, sf_dir), words, block_rows=50).select(F.col("row_id").alias("doc_id"))
+    return lambda spark, sf_dir: _index_of(spark, sf_dir).search(words).select(F.col("row_id").alias("doc_id"))
 
 
+# A common word and one inside which many words lie; a stretch inside one rare word.
 QUERIES["o103_search_indexed"] = _search_indexed("ing TOKEN")
 ORACLE_SQL["o103_search_indexed"] = "SELECT doc_id FROM documents WHERE contains(lower(text), 'token') AND contains(lower(text), 'ing')"
-QUERIES["o103_search_indexed_rare"] = _search_indexed("AKIA")
-ORACLE_SQL["o103_search_indexed_rare"] = "SELECT doc_id FROM documents WHERE contains(lower(text), 'akia')"
+QUERIES["o103_search_indexed_rare"] = _search_indexed("HSHANN")
+ORACLE_SQL["o103_search_indexed_rare"] = "SELECT doc_id FROM documents WHERE contains(lower(text), 'hshann')"
+
+
+@query("o103_words_with", "documents", "SELECT token FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+')) AS token FROM documents) WHERE contains(token, 'kens') OR contains(token, 'ok')")
+def _(documents):
+    grams = search.index_grams(search.index_rows(documents.select(F.col("doc_id").alias("row_id"), "text"), 50))
+    found = search.words_with(grams, ["kens", "ok"], 10**6)
+    tokens = sorted({(t,) for ts in found.values() for t in ts})
+    return documents.sparkSession.createDataFrame(tokens, "token string")
 
 
-@query("o100_search_rare", "documents", "SELECT doc_id FROM documents WHERE contains(lower(text), 'akia')")
+@query("o100_search_rare", "documents", "SELECT doc_id FROM documents WHERE contains(lower(text), 'hshann')")
 def _(documents):
-    return search.search(documents.select("doc_id", "text"), "AKIA", ["text"]).select("doc_id")
+    return search.search(documents.select("doc_id", "text"), "HSHANN", ["text"]).select("doc_id")
 
 
 @query("o70_columns_by_type", "orders", "SELECT CASE WHEN data_type IN ('DOUBLE', 'FLOAT') THEN 'float' WHEN data_type LIKE '%INT%' THEN 'integer' WHEN data_type LIKE 'TIMESTAMP%' THEN 'datetime' ELSE 'string' END AS type, count(*)::INT AS columns FROM (SELECT column_type AS data_type FROM (DESCRIBE orders)) GROUP BY 1")

@@ -267,7 +267,7 @@ def test_index_search_equals_scan(mixed, query):
 
 def test_blocks_and_pages(spark, mixed, tmp_path):
     search.build_index(mixed, str(tmp_path / "ix"), 10)
-    assert search.search_index(spark, str(tmp_path / "ix"), "case 41", block_rows=10).count() == 1
+    assert search.search_index(spark, str(tmp_path / "ix"), "case 41").count() == 1
     assert data(search.candidate_blocks(search.index_rows(mixed, 10), "überraschung 39"), "block") == [(3,), (7,)]  # 39 is a score there
     assert [r["row_id"] for r in search.search_page(mixed, "red", ["row_id"], ["text"], 2, 3).collect()] == [8, 12, 16]
     assert search.highlights(mixed.limit(1), "red").first()["highlights"] == {"text": "Red 0"}
@@ -323,10 +323,10 @@ def test_medians_of_groups(spark):
 def test_an_index_reads_only_its_ranges(spark, tmp_path):
     df = spark.range(3000).select(F.col("id").alias("row_id"), F.when(F.col("id").isin(37, 2981), "rare needle").otherwise("hay").alias("t"))
     search.build_index(df, str(tmp_path / "i"), 10)
-    found = search.search_index(spark, str(tmp_path / "i"), "needle", block_rows=10)
+    found = search.search_index(spark, str(tmp_path / "i"), "needle")
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert [r["row_id"] for r in found.orderBy("row_id").collect()] == [37, 2981] and "PushedFilters: [Or(And(GreaterThanOrEqual(row_id,30)" in plan
-    assert search.search_index(spark, str(tmp_path / "i"), "nothing", block_rows=10).count() == 0 and search.search_index(spark, str(tmp_path / "i"), "ha", block_rows=10).count() == 2998
+    assert search.search_index(spark, str(tmp_path / "i"), "nothing").count() == 0 and search.search_index(spark, str(tmp_path / "i"), "ha").count() == 2998
 
 
 def test_every_function_tells_what_it_takes_and_gives():
