@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.values import as_text, dtype, kind, quoted
+from ..functions.values import as_text, dtype, kind, quoted, unused
 
 HOWS = {"inner": "inner", "left": "left", "right": "right", "outer": "full", "full": "full", "semi": "left_semi", "anti": "left_anti", "cross": "cross"}
 
@@ -113,7 +113,13 @@ def part_name(value):
 
 
 def separate(df: DataFrame, column: str, path: str) -> DataFrame:
-    """One folder ``part=<value>`` for each value, in one job; returns value, part, rows and path."""
-    keyed = df.withColumn("part", part_name(as_text(quoted(column), dtype(df, column))))
-    keyed.write.mode("errorifexists").partitionBy("part").parquet(path)
-    return split_values(df, column).withColumn("path", F.concat(F.lit(f"{path}/part="), "part"))
+    """One folder ``part=<value>`` for each value; returns value, part, rows and path.
+
+    Rows of a value go to one task, those of a frequent one to as many as it fills files, so that a value has no
+    more files than its rows need. The folders' key has another name where the table has a column ``part``.
+    """
+    from ..sources.sinks import write
+
+    key = unused("part", df.columns)
+    write(df.withColumn(key, part_name(as_text(quoted(column), dtype(df, column)))), path, partition_by=[key])
+    return split_values(df, column).withColumn("path", F.concat(F.lit(f"{path}/{key}="), "part"))

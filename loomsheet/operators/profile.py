@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import NESTED, as_text, dtype, kind, quoted
+from ..sources.shared import has_shared, scratch
 from .ranks import MIDDLE, finite, nearest, ranked
 
 SAMPLE_ROWS = 100_000
 TOP, BINS, DISTRIBUTION_BINS, SHOWN = 20, 20, 50, 200
+FEW = 16  # columns up to which each pair is an expression of its own
+BLOCK, LOST = 4096, 1e-12  # rows that are multiplied together; share of a sum of squares below which a spread is rounding
 
 
 def _numbers(df: DataFrame) -> list[str]:
@@ -48,6 +53,9 @@ def _stacked(df: DataFrame, columns: list[str], value) -> DataFrame:
 
 
 LONG_TEXT = 64  # bytes from which a text is told apart by its hash
+SKETCH = 1024  # accuracy of the sketch of quantiles: ranks are right to about 0.3 %
+POINTS = 512  # values of a sketch that a histogram is made of
+ABOUT = 0.02  # relative standard deviation of counts of different values
 
 
 def _counted(df: DataFrame) -> DataFrame:
@@ -58,52 +66,93 @@ def _counted(df: DataFrame) -> DataFrame:
         number = c.cast("double") if what in ("integer", "float") else F.lit(None).cast("double")
         exact = what == "float" and f.dataType.typeName() in ("float", "double") or what == "integer" and f.dataType.typeName() != "long"
         text = F.lit(None).cast("string") if exact else as_text(c, f.dataType)
-        key = F.when(F.octet_length(text) > LONG_TEXT, F.sha2(text.cast("binary"), 256)).otherwise(text)
+        key = F.when(F.octet_length(text) > LONG_TEXT, F.md5(text.cast("binary"))).otherwise(text)
         return F.when(c.isNotNull(), F.struct(F.lit(f.name).alias("column"), key.alias("key"), number.alias("value")))
 
     pairs = F.array_compact(F.array(*[one(f) for f in df.schema]))
     return df.select(F.explode(pairs).alias("p")).groupBy("p.column", "p.key", "p.value").agg(F.count(F.lit(1)).alias("many"))
 
 
-def profile(df: DataFrame, exact: bool = True, bins: int = BINS) -> DataFrame:
-    """A row for each column: type, count, nulls, null_percent, unique, unique_percent, and of numbers
-    min, max, mean, std (0 for one value), median, q1, q3 by nearest rank, and the counts of ``bins``
-    equal widths from min to max (an array).
+def _once(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, where there is one, and read back: what several parts of a plan use is made once."""
+    if not has_shared(df.sparkSession):
+        return df
+    path = scratch(df.sparkSession, "counted")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    Two passes: one aggregate of scalars, and one table of each column's different values with their
-    counts, from which the rest follows.
-    """
+
+def _scalars(df: DataFrame, *further) -> DataFrame:
+    """A row for each column, from one aggregate; ``further`` makes more fields of a column, its number (null for others) and how many of these there are."""
     out = []
     for f in df.schema:
         c, what = quoted(f.name), kind(f.dataType)
         number = finite(c) if what in ("integer", "float") else F.lit(None).cast("double")
         n = F.count(number)
-        unique = F.lit(0).cast("long") if exact else F.approx_count_distinct(as_text(c, f.dataType) if isinstance(f.dataType, NESTED) else c)
         out.append(
             F.struct(
-                F.lit(f.name).alias("column"), F.lit(what).alias("type"), F.count(F.lit(1)).alias("count"), F.count_if(c.isNull()).alias("nulls"), unique.alias("about"),
-                F.min(number).alias("min"), F.max(number).alias("max"), F.avg(number).alias("mean"), F.when(n == 1, 0.0).otherwise(F.stddev_samp(number)).alias("std"),
+                F.lit(f.name).alias("column"), F.lit(what).alias("type"), F.count(F.lit(1)).alias("count"), F.count_if(c.isNull()).alias("nulls"),
+                F.min(number).alias("min"), F.max(number).alias("max"), F.avg(number).alias("mean"), F.when(n == 1, 0.0).otherwise(F.stddev_samp(number)).alias("std"), n.alias("n"), *[made(f, number) for made in further],
             )
         )
-    stats = df.agg(F.array(*out).alias("all")).select(F.explode("all").alias("s")).select("s.*")  # a row for each column
-    counted = _counted(df)
+    return df.agg(F.array(*out).alias("all")).select(F.explode("all").alias("s")).select("s.*")
+
+
+def _shown(whole: DataFrame) -> DataFrame:
+    percent = lambda n: F.coalesce(F.try_divide(n * 100.0, F.col("count")), F.lit(0.0))
+    return whole.select(
+        "column", "type", "count", "nulls", percent(F.col("nulls")).alias("null_percent"), "unique", percent(F.col("unique")).alias("unique_percent"),
+        "min", "max", "mean", "std", "median", "q1", "q3", "histogram",
+    )
+
+
+def profile(df: DataFrame, exact: bool = True, bins: int = BINS) -> DataFrame:
+    """A row for each column: type, count, nulls, null_percent, unique, unique_percent, and of numbers
+    min, max, mean, std (0 for one value), median, q1, q3 by nearest rank, and the counts of ``bins``
+    equal widths from min to max (an array).
+
+    Two passes: one aggregate of scalars, and one table of each column's different values with their
+    counts, made once, from which the rest follows. With ``exact`` false one pass, whatever the
+    values are: counts of different values, quantiles and histogram come from sketches that tasks merge.
+    """
+    if not exact:
+        return _sketched(df, bins)
+    stats = _scalars(df)
+    counted = _once(_counted(df))
     unique = counted.groupBy("column").agg(F.count(F.lit(1)).alias("unique"))
     finite_ones = counted.where(finite(F.col("value")).isNotNull()).groupBy("column", "value").agg(F.sum("many").alias("many"))
     ranks = ranked(finite_ones, "column", [*MIDDLE, nearest(0.25), nearest(0.75)])
     ranks = ranks.select("column", ((F.col("q_0") + F.col("q_1")) / 2).alias("median"), F.col("q_2").alias("q1"), F.col("q_3").alias("q3"))
-    bounds = stats.select("column", F.col("min").alias("lo"), F.col("max").alias("hi"))
+    bounds = finite_ones.groupBy("column").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     binned = finite_ones.join(F.broadcast(bounds), "column").groupBy("column", _bin(F.col("value"), bins).alias("bin")).agg(F.sum("many").alias("many"))
     held = binned.groupBy("column").agg(F.map_from_entries(F.collect_list(F.struct("bin", "many"))).alias("held"))  # ``bins`` entries at most
     bars = held.select("column", F.transform(F.sequence(F.lit(1), F.lit(bins)), lambda k: F.coalesce(F.element_at("held", k), F.lit(0).cast("long"))).alias("histogram"))
     whole = stats
     for part in (unique, ranks, bars):  # a row for each column at most
         whole = whole.join(F.broadcast(part), "column", "left")
-    different = F.coalesce("unique", F.lit(0).cast("long")) if exact else F.col("about")
-    percent = lambda n: F.coalesce(F.try_divide(n * 100.0, F.col("count")), F.lit(0.0))
-    return whole.select(
-        "column", "type", "count", "nulls", percent(F.col("nulls")).alias("null_percent"), different.alias("unique"), percent(different).alias("unique_percent"),
-        "min", "max", "mean", "std", "median", "q1", "q3", "histogram",
-    )
+    return _shown(whole.withColumn("unique", F.coalesce("unique", F.lit(0).cast("long"))))
+
+
+def _sketched(df: DataFrame, bins: int) -> DataFrame:
+    """A profile in one aggregate with one exchange."""
+
+    def about(f, number) -> Column:
+        c = quoted(f.name)
+        return F.approx_count_distinct(as_text(c, f.dataType) if isinstance(f.dataType, NESTED) else c, ABOUT).alias("unique")
+
+    def sketch(f, number) -> Column:
+        return (F.kll_sketch_agg_double(number, SKETCH) if kind(f.dataType) in ("integer", "float") else F.lit(None).cast("binary")).alias("sketch")
+
+    some = F.col("n") > 0
+    share = lambda q: F.when(some, F.kll_sketch_get_quantile_double("sketch", F.lit(q)))
+    # As many values at even ranks as ``POINTS`` stand for all.
+    points = F.kll_sketch_get_quantile_double("sketch", F.array(*[F.lit((i + 0.5) / POINTS) for i in range(POINTS)]))
+    width = (F.col("max") - F.col("min")) / bins
+    below = lambda k: F.size(F.filter("points", lambda v: v <= F.when(k == bins, F.col("max")).otherwise(F.col("min") + width * k)))
+    upto = F.transform(F.sequence(F.lit(1), F.lit(bins)), lambda k: F.round(below(k) * F.col("n") / POINTS).cast("long"))
+    bars = F.transform(upto, lambda n, k: n - F.when(k > 0, F.get(upto, k - 1)).otherwise(F.lit(0)))
+    found = _scalars(df, about, sketch).withColumn("points", F.when(some, points))
+    return _shown(found.select("*", share(0.5).alias("median"), share(0.25).alias("q1"), share(0.75).alias("q3"), F.when(some, bars).alias("histogram")))
 
 
 def nearest_ranks(stacked: DataFrame, shares: tuple[float, ...]) -> DataFrame:
@@ -147,20 +196,58 @@ def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
 
 
 def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """a, b, r for all pairs of number columns, both ways and with themselves, over rows that have both."""
+    """a, b, r for all pairs of number columns, both ways and with themselves, over rows that have both.
+
+    Few columns take one aggregate. Of many, one pass gives means and spreads and one the sums of all pairs: rows are arrays of numbers, blocks of rows become matrices whose
+    products are the sums that all pairs need, and the sums of tasks are added. A column's numbers are taken less
+    their mean and over their spread, so that sums of squares lose little.
+    """
     columns = columns or _numbers(df)
+    spark = df.sparkSession
     if len(columns) < 2:
-        return df.sparkSession.createDataFrame([], "a string, b string, r double")
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-
-    def r(a: str, b: str) -> Column:
-        x, y = finite(quoted(a)), finite(quoted(b))
-        c = F.corr(F.when(y.isNotNull(), x), F.when(x.isNotNull(), y))
-        return F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.when(~F.isnan(c), c).alias("r"))
-
-    half = df.agg(F.array(*[r(a, b) for a, b in pairs]).alias("all")).select(F.explode("all").alias("p")).select("p.*").where("r IS NOT NULL")
-    same = df.sparkSession.createDataFrame([(c, c, 1.0) for c in columns], "a string, b string, r double")
-    return half.unionAll(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "r")).unionAll(same)
+        return spark.createDataFrame([], "a string, b string, r double")
+    same = spark.createDataFrame([(c, c, 1.0) for c in columns], "a string, b string, r double")
+    if len(columns) <= FEW:
+
+        def r_of(a: str, b: str) -> Column:
+            x, y = finite(quoted(a)), finite(quoted(b))
+            c = F.corr(F.when(y.isNotNull(), x), F.when(x.isNotNull(), y))
+            return F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.when(~F.isnan(c), c).alias("r"))
+
+        half = df.agg(F.array(*[r_of(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]).alias("all")).select(F.explode("all").alias("p")).select("p.*").where("r IS NOT NULL")
+        return half.unionAll(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "r")).unionAll(same)
+    rows = df.select(F.array(*[finite(quoted(c)) for c in columns]).alias("x"))
+    first = df.agg(*[F.struct(F.avg(finite(quoted(c))).alias("m"), F.stddev_pop(finite(quoted(c))).alias("s")).alias(f"c{k}") for k, c in enumerate(columns)]).first()  # one row
+    middle = np.array([first[k]["m"] or 0.0 for k in range(len(columns))])
+    spread = np.array([first[k]["s"] or 1.0 for k in range(len(columns))])
+    size = len(columns)
+
+    def run(batches):
+        total = np.zeros((6, size, size))
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.column(0).slice(at, BLOCK)
+                x = part.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)  # nulls become NaN
+                here = ~np.isnan(x)
+                x = np.where(here, (x - middle) / spread, 0.0)
+                one = here.astype(np.float64)
+                both, xs, xx, xy = one.T @ one, x.T @ one, (x * x).T @ one, x.T @ x
+                total += np.stack([both, xs, xs.T, xx, xx.T, xy])
+        for i in range(size):  # a row for each column, so that no row is larger than a few columns
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([total[:, i, i + 1 :].ravel()], pa.list_(pa.float64()))], ["i", "sums"])
+
+    found = rows.mapInArrow(run, "i int, sums array<double>").select("i", F.posexplode("sums").alias("at", "v")).groupBy("i", "at").agg(F.sum("v").alias("v"))
+    # Of column i: six sums with each later column.
+    later = F.lit(size - 1) - F.col("i")
+    pairs = found.select("i", (F.col("i") + 1 + F.col("at") % later).alias("j"), F.floor(F.col("at") / later).cast("int").alias("k"), "v")
+    held = pairs.groupBy("i", "j").agg(*[F.max(F.when(F.col("k") == k, F.col("v"))).alias(name) for k, name in enumerate(("n", "x", "y", "xx", "yy", "xy"))])
+    n, vx, vy = F.col("n"), F.expr("xx - x * x / n"), F.expr("yy - y * y / n")
+    # What is left of a spread by rounding is none.
+    r = F.when((n > 1) & (vx > LOST * F.col("xx")) & (vy > LOST * F.col("yy")), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.expr("xy - x * y / n") / F.sqrt(vx * vy))))
+    names = F.array(*[F.lit(c) for c in columns])
+    half = held.where("n > 0").select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), r.alias("r")).where("r IS NOT NULL")
+    both = half.select(F.explode(F.array(F.struct("a", "b", "r"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "r"))).alias("p")).select("p.*")
+    return both.unionAll(same)
 
 
 def strongest_correlations(df: DataFrame, columns: list[str] | None = None, least: float = 0.3, most: int = 15) -> DataFrame:

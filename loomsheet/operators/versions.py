@@ -10,7 +10,6 @@ from functools import reduce
 from threading import Lock
 
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -166,12 +165,10 @@ class Versions:
         return False
 
     def _records(self, folder: str) -> list[dict]:
-        try:
-            return sorted((json.loads(r[0]) for r in self.spark.read.text(f"{self.path}/{folder}").collect()), key=lambda r: r["at"])  # a line for each note
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return []
-            raise
+        held = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
+        if not held.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(held):
+            return []
+        return sorted((json.loads(r[0]) for r in self.spark.read.text(f"{self.path}/{folder}").collect()), key=lambda r: r["at"])  # a line for each note
 
     def log(self) -> list[Commit]:
         """All commits, the oldest first; reads notes only."""

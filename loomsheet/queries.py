@@ -17,6 +17,7 @@ from .sources.load import load
 from .sources.rowid import number_rows, with_file_row_id
 from .sources.shared import scratch
 from .streaming.guard import windowed_counts
+from .streaming.state import dedupe, first_of_key
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,6 +55,16 @@ def _(orders):
     return number_rows(orders.select("o_orderkey"), ["o_orderkey"]).select("row_id", "o_orderkey")
 
 
+@query(
+    "o11_equal_rows", "lineitem",
+    "SELECT l_returnflag, min(i) AS lowest, max(i) AS highest, count(*) AS different FROM (SELECT l_returnflag, row_number() OVER (ORDER BY l_returnflag) - 1 AS i FROM lineitem) GROUP BY 1",
+)
+def _(lineitem):
+    """Rows of three values only: a value's numbers have no gaps."""
+    numbered = number_rows(lineitem.select("l_returnflag"), ["l_returnflag"])
+    return numbered.groupBy("l_returnflag").agg(F.min("row_id").alias("lowest"), F.max("row_id").alias("highest"), F.count_distinct("row_id").alias("different"))
+
+
 def _files_row_id(spark, sf_dir):
     numbered = with_file_row_id(spark.read.parquet(f"{sf_dir}/documents.parquet"), True)
     return numbered.agg(F.count(F.lit(1)).alias("rows"), F.min("row_id").alias("lowest"), F.max("row_id").alias("highest"), F.count_distinct("row_id").alias("different"))
@@ -169,6 +180,14 @@ def _(orders, customer):
     return load(orders.sparkSession, path, "parquet").select("o_orderkey", "c_name")
 
 
+@query("o19_files", "orders", "SELECT replace(o_orderpriority, '/', '_') AS part, 1::BIGINT AS files, count(*) AS \"rows\" FROM orders GROUP BY 1")
+def _(orders):
+    path = scratch(orders.sparkSession, "separate")
+    combine.separate(orders.repartition(16).select("o_orderkey", "o_orderpriority"), "o_orderpriority", path)
+    held = load(orders.sparkSession, path, "parquet").select(F.col("part").cast("string").alias("part"), F.input_file_name().alias("file"))
+    return held.groupBy("part").agg(F.count_distinct("file").alias("files"), F.count(F.lit(1)).alias("rows"))
+
+
 def _versioned(part) -> versions.Versions:
     held = versions.Versions(part.sparkSession, scratch(part.sparkSession, "versions"))
     held.init(number_rows(part.select("p_partkey", "p_size"), ["p_partkey"]))
@@ -832,6 +851,21 @@ def _(lineitem):
     return out.select("column", "type", "count", "nulls", "unique", "min", "max", r6("mean").alias("mean"), r6("std").alias("std"), "median", "q1", "q3")
 
 
+@query(
+    "o71_profile_approximate", "lineitem",
+    "SELECT 'l_extendedprice' AS \"column\", 'float' AS type, count(*) AS count, 0::BIGINT AS nulls, min(l_extendedprice) AS min, max(l_extendedprice) AS max, count(*) AS in_bins, true AS unique_is_close, true AS median_is_close FROM lineitem"
+    " UNION ALL SELECT 'l_quantity', 'float', count(*), 0, min(l_quantity), max(l_quantity), count(*), true, true FROM lineitem UNION ALL SELECT 'l_returnflag', 'string', count(*), 0, NULL, NULL, NULL, true, NULL FROM lineitem",
+)
+def _(lineitem):
+    held = lineitem.select("l_extendedprice", "l_quantity", "l_returnflag")
+    about = profile.profile(held, exact=False)
+    exact = profile.profile(held).select("column", F.col("unique").alias("u"), F.col("median").alias("m"), (F.col("max") - F.col("min")).alias("spread"))
+    in_bins = F.aggregate("histogram", F.lit(0).cast("long"), lambda a, x: a + x)
+    close = F.abs(F.col("unique") - F.col("u")) <= F.greatest(F.lit(1.0), 0.08 * F.col("u"))
+    joined = about.join(F.broadcast(exact), "column")  # a row for each column
+    return joined.select("column", "type", "count", "nulls", "min", "max", in_bins.alias("in_bins"), close.alias("unique_is_close"), (F.abs(F.col("median") - F.col("m")) <= 0.02 * F.col("spread")).alias("median_is_close"))
+
+
 @query(
     "o71_profile_histogram", "lineitem",
     "WITH b AS (SELECT min(l_extendedprice)::DOUBLE AS lo, max(l_extendedprice)::DOUBLE AS hi FROM lineitem), c AS (SELECT least(20, greatest(1, ceil((l_extendedprice - lo) / ((hi - lo) / 20))))::INT AS bin, count(*) AS n FROM lineitem, b GROUP BY 1)"
@@ -1026,6 +1060,14 @@ def _(orders):
     return load(orders.sparkSession, path, "arrow")
 
 
+@query("o10_split_file", "lineitem", "SELECT l_orderkey, l_extendedprice, l_returnflag FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey >= 100")
+def _(lineitem):
+    """One file that several tasks read, with filters that reach it."""
+    path = scratch(lineitem.sparkSession, "arrow")
+    arrow_files.write(lineitem.select("l_orderkey", "l_extendedprice", "l_returnflag").coalesce(1), path)
+    return load(lineitem.sparkSession, path, "arrow", splitBytes=200_000).where("l_returnflag = 'R' AND l_orderkey >= 100")
+
+
 @query("o103_candidate_blocks", "documents", "SELECT block FROM (SELECT DISTINCT floor(doc_id / 50)::BIGINT AS block, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+')) AS token FROM documents) WHERE contains(token, 'disgusting') GROUP BY block")
 def _(documents):
     held = documents.select(F.col("doc_id").alias("row_id"), "text")
@@ -1036,3 +1078,14 @@ def _(documents):
 @query("o110_windowed_counts", "events", "SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS count FROM events GROUP BY 1, 2")
 def _(events):
     return windowed_counts(events, "ts", "event_type")
+
+
+@query("o110_first_of_key", "events", "SELECT event_id, ts, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1")
+def _(events):
+    return first_of_key(events.select("event_id", "ts", "user_id", "event_type"), "user_id", "ts")
+
+
+@query("o110_dedupe", "events", "SELECT DISTINCT user_id, event_type FROM events")
+def _(events):
+    twice = events.select("user_id", "event_type", "ts").unionByName(events.select("user_id", "event_type", "ts"))
+    return dedupe(twice, ["user_id", "event_type"], "ts").select("user_id", "event_type")

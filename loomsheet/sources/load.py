@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow_files import ArrowFiles
+from . import arrow_files
 from .rowid import with_file_row_id
 
 # Formats by file name; the longest ending counts.
@@ -51,7 +51,7 @@ def load(spark: SparkSession, path: str, format: str | None = None, row_id: bool
     elif what == "avro":
         df = reader.options(**options).format("avro").load(path)
     elif what == "arrow":
-        spark.dataSource.register(ArrowFiles)
+        arrow_files.enable(spark)
         df = reader.options(**options).format("loomsheet_arrow").load(path)
         if row_id:
             raise ValueError("Arrow files carry no places that Spark sees; number the rows by a key with number_rows")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import hashable
 
 ROW_ID = "row_id"
 FEWEST, MOST, STEP = 64, 4096, 64
-SPARE = 4  # rows drawn for each bound, since equal rows are drawn together
+SPARE = 2  # rows drawn for each range
 
 
 def _running(counts: DataFrame, order: list[str]) -> DataFrame:
@@ -35,30 +35,45 @@ def with_file_row_id(read: DataFrame, row_index: bool, name: str = ROW_ID, offse
     return joined.select(name, *read.columns)
 
 
-def number_rows(df: DataFrame, order_by: list[str], name: str = ROW_ID, descending: bool = False) -> DataFrame:
-    """Adds a dense number from 0 in the given order, nulls last.
+def _split(df: DataFrame) -> Column:
+    """A hash of the file split that a row is read from, where the table is a scan; the same for all rows elsewhere."""
+    if df._jdf.queryExecution().analyzed().collectLeaves().size() == 1 and not df.isStreaming:
+        return F.xxhash64(F.input_file_name(), F.input_file_block_start())
+    return F.lit(0).cast("long")
 
-    Bounds drawn from the data, about as many as there are shuffle partitions, cut the order into
-    ranges; a row's number is the rows of earlier ranges plus its place in its own. Rows with equal keys
-    are ordered by a hash of the row, so that a frequent key spreads over ranges; only equal rows keep
-    to one. A row finds its range in two steps, among every ``STEP``-th bound and then between.
-    """
-    names = df.columns
-    df = df.withColumn("__h", F.xxhash64(*hashable(df)))
-    order_by = [*order_by, "__h"]
+
+def _in_ranges(df: DataFrame, order_by: list[str], descending: bool) -> tuple[DataFrame, list[Column]]:
+    """Adds __bucket, the number of the range of the order that a row lies in, and gives the order within."""
+    own = _split(df)
+    df = df.withColumn("__h", F.xxhash64(*hashable(df))).withColumn("__t", own)
+    order_by = [*order_by, "__h", "__t"]
     order = [F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_last() for c in order_by]
     key = F.struct(*[x for c in order_by for x in (F.col(c).isNull(), F.col(c))])
     n = min(MOST, max(FEWEST, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     keyed = df.withColumn("__k", key)
-    # The keys of the rows with the smallest hashes: each task keeps few, and nothing else is shuffled.
-    picked = keyed.select("__k", F.xxhash64("__h", F.lit(3)).alias("__p")).orderBy("__p", "__k").limit(SPARE * n)
-    drawn = picked.distinct().orderBy("__p", "__k").limit(n)
-    bounds = drawn.agg(F.array_sort(F.collect_list("__k")).alias("__bounds"))
-    bounds = bounds.select("__bounds", F.filter("__bounds", lambda b, i: i % STEP == 0).alias("__coarse"))  # n keys at most
+    # The keys of the rows with the smallest hashes, each row with one of its own: each task keeps few, and nothing else is
+    # shuffled. The bounds are drawn once, here, so that counts and places go by the same ones.
+    picked = keyed.select("__k", F.xxhash64("__h", "__t", F.monotonically_increasing_id()).alias("__p")).orderBy("__p").limit(SPARE * n)
+    bounds = picked.select("__k").distinct().agg(F.array_sort(F.collect_list("__k")).alias("__bounds"))
+    bounds = bounds.select("__bounds", F.filter("__bounds", lambda b, i: i % STEP == 0).alias("__coarse"))
+    bounds = df.sparkSession.createDataFrame(bounds.collect(), bounds.schema)  # SPARE * n keys at most
     upto = lambda a: F.size(F.filter(a, lambda b: b <= F.col("__k")))
     found = keyed.crossJoin(F.broadcast(bounds)).withColumn("__c", F.greatest(upto("__coarse") - 1, F.lit(0)))
     low = F.col("__c") * STEP + upto(F.slice("__bounds", F.col("__c") * STEP + 1, F.lit(STEP)))
-    bucketed = found.withColumn("__bucket", -low if descending else low).drop("__bounds", "__coarse", "__c", "__k")
+    return found.withColumn("__bucket", -low if descending else low).drop("__bounds", "__coarse", "__c", "__k"), order
+
+
+def number_rows(df: DataFrame, order_by: list[str], name: str = ROW_ID, descending: bool = False) -> DataFrame:
+    """Adds a dense number from 0 in the given order, nulls last.
+
+    Bounds drawn from the data in a job of its own, about as many as there are shuffle partitions, cut the order into
+    ranges; a row's number is the rows of earlier ranges plus its place in its own. Rows with equal keys
+    are ordered by a hash of the row, and equal rows of a scan by the file split that they come from, so that a
+    frequent key or row spreads over ranges; only equal rows of one split keep to one, and equal rows of
+    what isn't a scan. A row finds its range in two steps, among every ``STEP``-th bound and then between.
+    """
+    names = df.columns
+    bucketed, order = _in_ranges(df, order_by, descending)
     starts = _running(bucketed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("many")), ["__bucket"]).select("__bucket", "start")
     place = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order))
     out = bucketed.withColumn("__place", place).join(F.broadcast(starts), "__bucket")  # a row for each bucket

@@ -21,6 +21,11 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def has_shared(spark: SparkSession) -> bool:
+    """Whether ``scratch`` can give a path."""
+    return bool(spark.sparkContext.getConf().get("spark.checkpoint.dir", None)) or spark.sparkContext.master.startswith("local[")
+
+
 def bytes_under(spark: SparkSession, path: str) -> int:
     """The bytes of the files in a folder."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
