@@ -1,5 +1,6 @@
 import html as entities
 import re
+import time
 
 import pytest
 
@@ -9,7 +10,7 @@ from loomsheet.llm.queries_html import op1_html
 
 def text_of(page, path=None):
     stream = html.read(page)
-    return html.extract(stream, path or html.best(html.scores(stream)))
+    return html.extract(stream, stream[1].find(path) if path else html.best(html.scores(stream)))
 
 
 def test_query_equals_a_plain_reading_of_these_templates(spark, sf):
@@ -92,3 +93,43 @@ def test_names_and_hidden_parts(spark, page):
     """Pages without <article>, with others of their host that vote."""
     rows = html.main_text(spark.createDataFrame([(i, "http://h.example/", page) for i in range(3)], "page_id long, url string, html string")).collect()
     assert [r["text"] for r in rows] == [WANT] * 3
+
+
+@pytest.mark.parametrize("sign", ['h2 id="social"', 'h3 id="comments-on-method"', 'p class="related-work"', 'p id="reply"', 'div id="post-story-share"', 'div class="share"', 'section class="notice"', 'li id="footer"', 'h2 class="alert-levels"'])
+def test_articles_keep_what_only_a_name_speaks_against(spark, sign):
+    tag = sign.split()[0]
+    page = f"<body><nav><a href=/>Home</a></nav><article><h1>Title</h1><p>First words.</p><{sign}>These are words of the article</{tag}><p>Last <span class='ad-hoc' id='ad'>words</span> with <code>x <span class=comment># kept</span></code>.</p></article></body>"
+    rows = html.main_text(spark.createDataFrame([(1, "http://h.example/", page)], "page_id long, url string, html string")).collect()
+    assert rows[0]["text"] == "Title\nFirst words.\nThese are words of the article\nLast words with x # kept."
+
+
+def test_headings_may_be_called_anything():
+    words = sorted(html._SURE | html._MAYBE | html._COMMENTS)
+    body = "".join(f'<h2 id="{w}">On {w}</h2><p id="the-{w}">Some text.</p>' for w in words)
+    assert text_of(f"<body><article>{body}</article></body>") == "\n".join(f"On {w}\nSome text." for w in words)
+
+
+def test_two_signs_take_a_part_of_an_article_out():
+    body = "<p>" + "Words of the article. " * 20 + "</p>"
+    gone = '<div class="related"><ul><li><a href=/1>One more</a></li><li><a href=/2>Another one</a></li></ul></div><div class="share-buttons"><a href=#>Share</a></div><div class="notice"><form><p>Enter your name</p></form></div><div class="ad-slot">Buy!</div><div class="userComments"><p>Nice.</p></div><div class="newsletter-box">Sign up</div>'
+    assert text_of(f"<body><article>{body}{gone}</article></body>") == ("Words of the article. " * 20).strip()
+
+
+def test_deep_pages_take_time_by_length(spark):
+    """50,000 levels with names of their own and texts on each, unclosed or closed wrongly."""
+    n = 50_000
+    pages = ["<article>" + "".join(f"<div class=c{k % 7}><p>t" for k in range(n)), "<blockquote>" * n + "x" + "</div>" * n, "<ul><li>" * n + "y", "".join(f"<section id=a{k}><h2>h" for k in range(n)) + "</section>" * n]
+    began = time.time()
+    rows = html.main_text(spark.createDataFrame([(k, "http://deep.example/", p) for k, p in enumerate(pages)], "page_id long, url string, html string")).collect()
+    texts = {r["page_id"]: r["text"] for r in rows}
+    assert texts[0] == "\n".join(["t"] * n) and texts[1] == "x" and texts[2] == "y" and len(texts) == 4
+    assert time.time() - began < 120
+
+
+def test_voted_paths_without_article(spark, sf):
+    """The test tables' pages with the article as a plain div among others: the host's vote finds it on all of them."""
+    pages = [(r["page_id"], r["url"], r["html"].replace("<article>", '<div class="story-text">').replace("</article>", "</div>"), r["html"]) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    schema = "page_id long, url string, html string"
+    plain = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame([(a, b, d) for a, b, _, d in pages], schema)).collect()}
+    voted = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame([(a, b, c) for a, b, c, _ in pages], schema)).collect()}
+    assert sum(voted[k] == plain[k] for k in plain) >= 0.99 * len(plain)
