@@ -4,13 +4,13 @@ Old shards have sizes, new shards capacities of an equal share each. A transfer
 shard i to new shard j costs nothing if i = j, since those rows stay in their file, and one a byte
 otherwise. The cheapest flow says how many bytes go where; it is solved on the driver over the shards
 only, however many rows there are. Each old shard's rows then lie on an axis of bytes, in blocks by
-a hash, and are cut where the flow says.
+a hash, and are cut where the flow says. A row goes to where its middle lies; rows over a cut, one for each cut, change sides
+as long as that makes the new shards more even.
 
-Rows larger than 1/``FINE`` of a share would make cuts uneven, so they are placed first, the largest
-first: at home while there is room, else where there is most. There are at most ``FINE`` rows of that
-kind for each new shard, which bounds what the driver sees. Places on the axis are sums of a block's
-start, from a table of block sums, and of the rows before it in its block, so that no task sorts a
-whole shard.
+What stays at home comes first on an axis, and rows lie in the order of their sizes, the largest first, by
+powers of two: so large rows stay where they are, and cuts fall between small rows as far as can be. Places on
+the axis are sums of a block's start, from a table of block sums, and of the rows before it in its block, so
+that no task sorts a whole shard.
 
 Defined results: a null text has no bytes and a size of 16; equal rows may be parted; rows without an
 old shard count to shard 0; rows without a doc_id are placed like others; an empty table gives no
@@ -21,15 +21,17 @@ ends empty has no folder.
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import delete
 from .common import written
 
-FINE = 64
 ROWS_A_BLOCK = 5_000
+ROWS_A_TASK = 200_000
 OVERHEAD = 16  # bytes that a row takes besides its text
 
 
@@ -108,6 +110,24 @@ def capacities(loads: list[int], rest: int) -> list[int]:
     return out
 
 
+def evened(loads: list[int], over: list[tuple[int, int, int]]) -> list[int]:
+    """Which rows over a cut (size, shard, other side) go to the other side, so that no further change makes the loads more even."""
+    loads, flipped = list(loads), set()
+    while True:
+        best, least = None, 0
+        for k, (size, a, b) in enumerate(over):
+            a, b = (b, a) if k in flipped else (a, b)
+            gain = (loads[a] - size) ** 2 + (loads[b] + size) ** 2 - loads[a] ** 2 - loads[b] ** 2
+            if gain < least:
+                best, least = k, gain
+        if best is None:
+            return sorted(flipped)
+        size, a, b = over[best]
+        a, b = (b, a) if best in flipped else (a, b)
+        loads[a], loads[b] = loads[a] - size, loads[b] + size
+        flipped ^= {best}
+
+
 def sized(docs: DataFrame, old, *further: Column) -> DataFrame:
     """doc_id, size, text_crc32, the old shard and ``further`` columns of each row; written once, without the texts."""
     data = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "utf-8")
@@ -119,23 +139,11 @@ def plan(rows: DataFrame, new_shards: int, n_old: int) -> DataFrame:
     """Adds shard to rows with doc_id, size, text_crc32, old (0 to n_old - 1)."""
     spark = rows.sparkSession
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    limit = max(1, total // (new_shards * FINE))
     key = ["doc_id", "text_crc32", "size"]
-    large = rows.where(F.col("size") > limit)
-    heavy = large.groupBy("old", *key).agg(F.count(F.lit(1)).alias("many")).collect()  # at most new_shards * FINE rows
-    loads, share = [0] * new_shards, -(-total // new_shards)
-    placed: list[tuple] = []
-    for r in sorted(heavy, key=lambda r: (-r["size"], r["doc_id"] is None, r["doc_id"], r["text_crc32"], r["old"])):
-        for copy in range(r["many"]):
-            home = r["old"]
-            j = home if home < new_shards and loads[home] + r["size"] <= share else min(range(new_shards), key=lambda k: (loads[k], k))
-            loads[j] += r["size"]
-            placed.append((r["old"], r["doc_id"], r["text_crc32"], r["size"], copy + 1, j))
-    small = rows.where(F.col("size") <= limit)
     supply, blocks = [0] * n_old, [1] * n_old
-    for r in small.groupBy("old").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("many")).collect():
+    for r in rows.groupBy("old").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("many")).collect():  # a row for each old shard
         supply[r["old"]], blocks[r["old"]] = r["size"], -(-r["many"] // ROWS_A_BLOCK)
-    flow = cheapest_flow(supply, capacities(loads, sum(supply)), lambda i, j: int(i != j))
+    flow = cheapest_flow(supply, capacities([0] * new_shards, total), lambda i, j: int(i != j))
     cuts: dict[int, tuple[list[int], list[int]]] = {}
     for i in range(n_old):
         at, ends, to = 0, [], []
@@ -147,25 +155,26 @@ def plan(rows: DataFrame, new_shards: int, n_old: int) -> DataFrame:
     table = spark.createDataFrame([(i, ends, to) for i, (ends, to) in cuts.items()], "old int, ends array<long>, targets array<int>")
 
     # As many blocks for each old shard as its rows need, so that a hot shard's blocks are no larger.
-    small = small.withColumn("block", F.pmod(F.xxhash64(*key), F.get(F.array(*[F.lit(b) for b in blocks]), F.col("old"))))
-    starts = small.groupBy("old", "block").agg(F.sum("size").alias("bytes"))
+    share = F.pmod(F.xxhash64(*key), F.get(F.array(*[F.lit(b) for b in blocks]), F.col("old")))
+    dealt = rows.withColumn("block", F.struct((-F.floor(F.log2("size"))).alias("power"), share.alias("share")))
+    starts = dealt.groupBy("old", "block").agg(F.sum("size").alias("bytes"))
     starts = starts.select("old", "block", (F.sum("bytes").over(Window.partitionBy("old").orderBy("block")) - F.col("bytes")).alias("start"))
     inside = Window.partitionBy("old", "block").orderBy(*key)
-    ranked = small.withColumn("before", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    middle = F.col("start") + F.col("before") + F.floor(F.col("size") / 2)
-    small = (
-        ranked.join(starts, ["old", "block"])
-        .join(F.broadcast(table), "old")  # one row for each old shard
-        .withColumn("shard", F.get("targets", F.least(F.size(F.filter("ends", lambda e: e <= middle)), F.size("targets") - 1)))
-        .select(*key, "old", "shard")
-    )
-    if not placed:
-        return small
-    where = spark.createDataFrame(placed, "old int, doc_id long, text_crc32 long, size long, copy int, shard int")
-    copies = large.withColumn("copy", F.row_number().over(Window.partitionBy("old", *key).orderBy(F.lit(1))))
-    same = (copies["doc_id"].eqNullSafe(where["doc_id"])) & (copies["old"] == where["old"]) & (copies["text_crc32"] == where["text_crc32"]) & (copies["size"] == where["size"]) & (copies["copy"] == where["copy"])
-    big = copies.join(F.broadcast(where), same).select(*[copies[k] for k in key], copies["old"], where["shard"])
-    return small.unionByName(big)
+    ranked = dealt.withColumn("before", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    low = F.col("start") + F.col("before")
+    middle = low + F.floor(F.col("size") / 2)
+    at = F.least(F.size(F.filter("ends", lambda e: e <= F.col("middle"))), F.size("targets") - 1)
+    placed = ranked.join(starts, ["old", "block"]).select(*key, "old", low.alias("low"), middle.alias("middle"))
+    placed = placed.join(F.broadcast(table), "old").withColumn("at", at)  # one row for each old shard
+    # A row that lies over a cut may go to the cut's other side as well.
+    before, after = F.get("ends", F.col("at") - 1), F.get("ends", "at")
+    other = F.when(before > F.col("low"), F.get("targets", F.col("at") - 1)).when(after < F.col("low") + F.col("size"), F.get("targets", F.col("at") + 1))
+    placed = written(placed.select(*key, "old", "low", F.get("targets", "at").alias("shard"), other.alias("other")), "placed")
+    loads = {r["shard"]: r["size"] for r in placed.groupBy("shard").agg(F.sum("size").alias("size")).collect()}  # a row for each new shard
+    over = placed.where("other IS NOT NULL").select("old", "low", "size", "shard", "other").collect()  # a row for each cut at most
+    flips = evened([loads.get(j, 0) for j in range(new_shards)], [(r["size"], r["shard"], r["other"]) for r in over])
+    chosen = spark.createDataFrame([(over[k]["old"], over[k]["low"], over[k]["other"]) for k in flips], "old int, low long, flipped int")
+    return placed.join(F.broadcast(chosen), ["old", "low"], "left").select(*key, "old", F.coalesce("flipped", "shard").alias("shard"))
 
 
 def with_slots(planned: DataFrame) -> DataFrame:
@@ -205,6 +214,9 @@ def _identity(df: DataFrame, size: Column, crc: Column, old: Column | None) -> D
 def rewrite(docs: DataFrame, planned: DataFrame, path: str, old: Column | None = None) -> list[int]:
     """Writes anew, as ``path/shard=j``, the shards that gain or lose rows, and deletes those left empty; returns them.
 
+    New folders are swapped for old ones once all are written; what is lost with the driver during the swap
+    lies whole in ``_new-`` and ``_old-`` folders, which readers pass over.
+
     Rows without a doc_id and rows that share one are told apart by text; of equal rows, as many go to
     each shard as the plan says. ``old`` is the shard where a row of ``docs`` lies; it's needed where equal
     rows of different shards differ in further columns.
@@ -213,7 +225,6 @@ def rewrite(docs: DataFrame, planned: DataFrame, path: str, old: Column | None =
     planned = written(planned, "plan")
     changed = planned.where("old <> shard")
     affected = sorted(r[0] for r in changed.select("shard").union(changed.select("old")).distinct().collect())  # shards, not rows
-    kept = {r[0] for r in planned.select("shard").distinct().collect()}
     key = ["__id", "__none", "__size", "__crc", "__old"]
     data = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "utf-8")
     rows = _identity(docs.drop("shard") if old is None else docs, (F.octet_length(data) + OVERHEAD).cast("long"), F.crc32(data), old).drop("shard")
@@ -230,10 +241,20 @@ def rewrite(docs: DataFrame, planned: DataFrame, path: str, old: Column | None =
         lambda a: a["shard"],
     )
     out = copies.withColumn("shard", pick).where(F.col("shard").isin(affected)).drop(*key, "__targets", "__copy")
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("shard").parquet(path)
-    hadoop = spark._jsc.hadoopConfiguration()
+    # Few files for each shard: its rows go to as many tasks as they need.
+    salts = max(1, -(-planned.count() // (max(1, len(affected)) * ROWS_A_TASK)))
+    dealt = out.repartition("shard", F.pmod(F.xxhash64("text"), F.lit(salts)))
+    # What is written lies beside the old files until it is whole; these go at the end, so that no moment has a row nowhere.
+    made, gone = f"{path}/_new-{uuid.uuid4().hex}", f"{path}/_old-{uuid.uuid4().hex}"
+    dealt.write.option("compression", "zstd").partitionBy("shard").parquet(made)
+    files = spark._jvm.org.apache.hadoop.fs
+    system = files.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(files.Path(gone))
     for j in affected:
-        if j not in kept:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={j}")
-            folder.getFileSystem(hadoop).delete(folder, True)
+        for start, end in ((path, gone), (made, path)):
+            held = files.Path(f"{start}/shard={j}")
+            if system.exists(held) and not system.rename(held, files.Path(f"{end}/shard={j}")):
+                raise OSError(f"{held} can't be moved")
+    delete(spark, made)
+    delete(spark, gone)
     return affected

@@ -57,19 +57,20 @@ def check(rows, texts, shards):
     return sizes
 
 
-@pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.001", "/root/testdata/sf0.1"])
+@pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.001", "/root/testdata/sf0.01", "/root/testdata/sf0.1"])
 def test_query(spark, sf_dir):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = op5_resharding(spark, sf_dir).collect()
     sizes = check(rows, texts, SHARDS)
     assert {r["law"] for r in rows} == {"bytes"}
+    share = sum(sizes) / SHARDS
     if len(rows) > 1000:
-        share = sum(sizes) / SHARDS
-        assert max(sizes) < 1.03 * share and min(sizes) > 0.97 * share
-        # Nearly the least that must move: what each old shard has beyond a share.
-        old = [sum(r["size"] for r in rows if r["old_shard"] == i) for i in range(OLD)]
-        least = sum(max(0, x - share) for x in old)
-        assert sum(r["size"] for r in rows if r["shard"] != r["old_shard"]) < 1.05 * least
+        assert max(sizes) < 1.01 * share and min(sizes) > 0.99 * share
+    # The least that must move is what each old shard has beyond a share; whole rows miss it by half a row at each cut.
+    old = [sum(r["size"] for r in rows if r["old_shard"] == i) for i in range(OLD)]
+    least = sum(max(0, x - share) for x in old)
+    moved = sum(r["size"] for r in rows if r["shard"] != r["old_shard"])
+    assert abs(moved - least) <= {200: 0.04, 1000: 0.01, 10_000: 0.001}[len(rows)] * least
 
 
 def test_small_odd_tables(spark):
@@ -122,3 +123,19 @@ def test_the_query_reads_back_rewritten_shards(spark, sf, monkeypatch):
     monkeypatch.setattr(resharding, "rewrite", lambda *a: seen.extend(rewrite(*a)))
     op5_resharding(spark, sf).collect()
     assert seen
+
+
+def test_no_row_is_lost_when_the_swap_breaks_off(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"t{i}" * 9, i % 2) for i in range(60)], "doc_id long, text string, part int")
+    path = str(tmp_path / "out")
+    resharding.lay(docs, F.col("part"), path)
+    before = resharding.held(spark, docs, path)
+
+    def broken(*_):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(resharding, "delete", broken)
+    with pytest.raises(KeyboardInterrupt):
+        resharding.rewrite(before, resharding.plan(resharding.sized(before, F.col("shard")), 4, 2), path, F.col("shard"))
+    after = resharding.held(spark, docs, path)
+    assert sorted(r["doc_id"] for r in after.collect()) == list(range(60)) and [p for p in tmp_path.joinpath("out").iterdir() if p.name.startswith("_old-")]
