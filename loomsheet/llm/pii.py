@@ -6,9 +6,13 @@ dots are spaced, bracketed or written out, dotted addresses, cards and phone num
 separators or without a plus. Each candidate has format features (digits, groups, separators, Luhn sum,
 octets) and context features (neighbouring characters, words that announce such data).
 
-The trees learn without labels. Every span of a fixed format is written once more in another way
-(``VARIANTS``, chosen by a hash), in its own context: a positive. Beside it stands a spoilt copy
-(``SPOILT``: a wrong Luhn sum, a part above 255, too few digits, no dot): a negative. So is each
+The generators' repeats end where the formats' standards do: 64 octets before an at sign hold at most 31 dots, 255 after it
+126, and 15 digits of a phone number with two separators each take 43 characters.
+
+The trees learn without labels. Every span of a fixed format is written in each of some other ways
+(``VARIANTS``), in its own context: positives. Beside them stand spoilt copies (``SPOILT``: a wrong Luhn sum, a
+part above 255, too few digits, no dot): negatives. So that a kind of which a table has few spans is learned as well,
+``PRIMER`` adds made-up sentences with plain spans of each kind, whatever the table. A negative, too, is each
 candidate of the texts, unless undoing the disguise gives a valid address, dotted address, card or
 phone number with a country's prefix; those are left out of training. One aggregate counts each combination of features by label, separately for
 two halves of the documents, so what is learned from is bounded by the features' values however large
@@ -16,8 +20,7 @@ the table is. Shallow trees are boosted on the counts of one half; the other hal
 threshold, the lowest score above which at least ``PRECISION`` of the examples are positives. A
 candidate that reaches its kind's threshold is added.
 
-Defined results: null and empty texts have no spans; with no spans of a fixed format there is nothing
-to learn from and nothing is added; texts are scanned whole; repeated rows repeat their spans; extra
+Defined results: null and empty texts have no spans; an empty table gives no rows; texts are scanned whole; repeated rows repeat their spans; extra
 columns are dropped.
 """
 
@@ -47,10 +50,10 @@ _AT = r"(?:\x20?@\x20?|\x20?[\[({<]\x20?(?i:at)\x20?[\])}>]\x20?|\x20(?i:at)\x20
 _DOT = r"(?:\x20?[\[({<]\x20?(?:(?i:dot)|\.)\x20?[\])}>]\x20?|\x20(?i:dot)\x20|_(?i:dot)_|\x20?\.\x20?)"
 _WORD = r"[\p{L}\p{N}%+-]+?"
 GENERATORS = (
-    rf"(?<![\p{{L}}\p{{N}}._%+{MASK}-]){_WORD}(?:{_DOT}{_WORD}){{0,3}}?{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+){{1,4}}{_STOP}",
+    rf"(?<![\p{{L}}\p{{N}}._%+{MASK}-]){_WORD}(?:{_DOT}{_WORD}){{0,31}}?{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+){{1,126}}{_STOP}",
     rf"{_EDGE}[0-9]{{1,4}}(?:(?:{_DOT}|[,:_-])[0-9]{{1,4}}){{3}}{_STOP}",
     rf"{_EDGE}[0-9]{{3,6}}(?:[\x20._/\xa0-]{{0,3}}[0-9]{{3,7}}){{2,5}}{_STOP}",
-    rf"{_EDGE}(?:\+\x20)?[(]?[0-9][\x20()./0-9\xa0-]{{5,20}}[0-9]{_STOP}",
+    rf"{_EDGE}(?:\+\x20)?[(]?[0-9][\x20()./0-9\xa0-]{{5,43}}[0-9]{_STOP}",
 )
 GUARDS = (r"@|(?i:\bat\b|_at_)", r"[0-9]", r"[0-9]{3}", r"[0-9]")
 # Words that announce a kind just before it.
@@ -169,15 +172,28 @@ SPOILT = (
 )
 
 
-def _one_of(ways, span: Column) -> Column:
-    """A span written in one of some ways, by the hash of its text and place."""
-    k = F.pmod(F.xxhash64(span["hit"], span["start"]), F.lit(len(ways)))
-    return reduce(lambda rest, i: F.when(k == i, ways[i](span["hit"])).otherwise(rest), range(1, len(ways)), ways[0](span["hit"]))
+# Made-up sentences with a plain span of each kind; k is a number.
+PRIMER_ROWS = 48
+PRIMER = (
+    ("write to ", lambda k: F.concat(F.lit("user"), k, F.lit(".name@mail"), k % 7, F.lit(".example.org")), " today"),
+    ("the server ", lambda k: F.concat_ws(".", F.lit("10"), k % 256, (k * 7) % 256, (k * 13) % 256), ", as before"),
+    ("card ", lambda k: F.get(F.array(*map(F.lit, ("4111 1111 1111 1111", "5500-0000-0000-0004", "4012888888881881", "6011 0000 0000 0004", "3530111333300000"))), k % 5), " was used"),
+    ("call ", lambda k: F.concat(F.lit("+4"), k % 10, F.lit(" "), 200 + k, F.lit(" "), 5550 + k, F.lit(" "), 10 + k), " or later"),
+    ("number ", lambda k: F.get(F.array(*map(F.lit, ("4111.1111.1111.1111", "4111.1111.1111.1112", "5500_0000_0000_0005", "00076871991019", "0054994038693466"))), k % 5), " is on it"),
+    ("it has ", lambda k: F.concat(k, F.lit("."), k % 9, F.lit(" parts at home. The "), k % 7, F.lit(" others, page "), 100 + k), " too"),
+)
+
+
+def primer(spark) -> DataFrame:
+    """doc_id, text: ``PRIMER_ROWS`` sentences of each kind, a fixed number."""
+    k = F.col("id").cast("int")
+    texts = F.array(*[F.concat(F.lit(before), made(k), F.lit(after)) for before, made, after in PRIMER])
+    return spark.range(0, PRIMER_ROWS, 1, 1).select((-1 - F.col("id")).alias("doc_id"), F.explode(texts).alias("text"))
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, base (kind, start, stop), near and made (candidates with features and a label) for (doc_id, text)."""
-    df = docs.select("doc_id", text_of().alias("text"))
+def candidates(docs: DataFrame, *further: str) -> DataFrame:
+    """doc_id, base (kind, start, stop), all (candidates with features, a label and the weight 1; rewritten spans with weights below 0, which add up to -1 for each span) for (doc_id, text)."""
+    df = docs.select("doc_id", text_of().alias("text"), *further)
     patterns = {"email": (EMAIL, None), "ip": (IP, good_ip), "card": (CARD, good_card), "phone": (PHONE, good_phone)}
     guards = {"email": F.contains("text", F.lit("@")), "phone": F.contains("text", F.lit("+"))}
     for name, (pattern, good) in patterns.items():
@@ -192,20 +208,22 @@ def candidates(docs: DataFrame) -> DataFrame:
     for name, pattern, guard in zip(near, GENERATORS, GUARDS, strict=True):
         df = locate(df, name, pattern, F.col("left_").rlike(guard), text="left_")
 
-    def described(kind: int, span: Column, hit: Column, label: Column) -> Column:
-        s = {"kind": F.lit(kind), "hit": hit, "before": span["before"], "after": span["after"]}
-        return F.struct(F.lit(kind).alias("kind"), span["start"].alias("start"), span["stop"].alias("stop"), label.cast("int").alias("label"), *[f.value(s).cast("int").alias(f.name) for f in FEATURES])
+    def example(kind: int, span: Column, hit: Column, label: Column, weight: float) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), span["start"].alias("start"), span["stop"].alias("stop"), hit.alias("hit"), span["before"].alias("before"), span["after"].alias("after"), label.cast("int").alias("label"), F.lit(weight).alias("weight"))
 
     def natural(name: str, kind: int) -> Column:
-        return F.transform(name, lambda s: described(kind, s, s["hit"], F.when(_valid(kind, s["hit"]), F.lit(None)).otherwise(0)))
+        return F.transform(name, lambda s: example(kind, s, s["hit"], F.when(_valid(kind, s["hit"]), F.lit(None)).otherwise(0), 1.0))
 
     def rewritten(name: str, kind: int, ways: tuple, label: int) -> Column:
-        return F.transform(name, lambda s: described(kind, s, _one_of(ways[kind], s), F.lit(label)))
+        return F.flatten(F.transform(name, lambda s: F.array(*[example(kind, s, way(s["hit"]), F.lit(label), -1.0 / len(ways[kind])) for way in ways[kind]])))
 
     found = [natural(name, k) for k, name in enumerate(near)]
     made = [rewritten(name, k, ways, label) for ways, label in ((VARIANTS, 1), (SPOILT, 0)) for k, name in enumerate(KINDS)]
     base = F.concat(*[bare(F.col(name), k) for k, name in enumerate(KINDS)])
-    return df.select("doc_id", base.alias("base"), F.concat(*found).alias("near"), F.concat(*made).alias("made"))
+    df = bound(df.select("doc_id", base.alias("base"), F.concat(*found, *made).alias("all"), *further), "all")
+    # Features once, for all kinds.
+    described = F.transform("all", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["label"].alias("label"), s["weight"].alias("weight"), *[f.value(s).cast("int").alias(f.name) for f in FEATURES]))
+    return df.select("doc_id", "base", described.alias("all"), *further)
 
 
 @dataclass
@@ -267,13 +285,12 @@ def train(near: DataFrame) -> Model:
     """Boosts on the counts of all examples; their table has one row for each combination of features."""
     names = ["kind", *(f.name for f in FEATURES)]
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
-    flat = near.select(half.alias("half"), F.explode(F.concat("near", "made")).alias("c")).select("half", "c.*").where("label IS NOT NULL")
-    hit = F.col("label").cast("long")
-    rows = flat.groupBy(*names).agg(
-        F.sum(F.when(F.col("half") == 0, 1).otherwise(0)).alias("n0"), F.sum(F.when(F.col("half") == 0, hit).otherwise(0)).alias("y0"),
-        F.sum(F.when(F.col("half") == 1, 1).otherwise(0)).alias("n1"), F.sum(F.when(F.col("half") == 1, hit).otherwise(0)).alias("y1"),
-    ).collect()  # fmt: skip  bounded by the features' values
-    cells = sorted((r.asDict() for r in rows), key=lambda c: [c[n] for n in names])
+    flat = near.select(half.alias("half"), F.explode("all").alias("c")).select("half", "c.*").where("label IS NOT NULL")
+    # All ways to write a span count as one; in 420ths, so that sums don't depend on their order.
+    many = F.round(F.abs("weight") * 420).cast("long")
+    of = lambda k, what: F.sum(F.when(F.col("half") == k, what).otherwise(0))
+    rows = flat.groupBy(*names).agg(of(0, many).alias("n0"), of(0, many * F.col("label")).alias("y0"), of(1, many).alias("n1"), of(1, many * F.col("label")).alias("y1")).collect()  # bounded by the features' values
+    cells = sorted((r.asDict() | {k: r[k] / 420 for k in ("n0", "y0", "n1", "y1")} for r in rows), key=lambda c: [c[n] for n in names])
     n, y = sum(c["n0"] for c in cells), sum(c["y0"] for c in cells)
     if not n:
         return Model()
@@ -308,15 +325,18 @@ def select(near: DataFrame, model: Model) -> DataFrame:
         limits = F.array(*[F.lit(model.limits.get(k, math.inf) - 1e-9) for k in range(len(KINDS))])
         return model.margin(lambda name: c[name]) >= F.get(limits, c["kind"])
 
-    added = F.transform(F.filter("near", wanted), lambda c: F.struct(c["kind"], c["start"], c["stop"]))
+    added = F.transform(F.filter("all", lambda c: (c["weight"] > 0) & wanted(c)), lambda c: F.struct(c["kind"], c["start"], c["stop"]))
     return near.select("doc_id", "base", F.array_sort(F.concat("base", added)).alias("spans"))
 
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, base, spans (kind, start, stop) for every row of ``docs`` (doc_id, text); learns from all of them."""
     keep = Tables(docs.sparkSession)
-    near = keep(candidates(docs), "near")
-    found = keep(select(near, train(near)), "spans")
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    # The primer goes through the same plan, told apart by a flag.
+    both = held.withColumn("primer", F.lit(False)).unionByName(primer(docs.sparkSession).withColumn("primer", F.lit(True)))
+    near = keep(candidates(both, "primer"), "near")
+    found = keep(select(near.where("NOT primer"), train(near)), "spans")
     keep.drop("near")
     return found
 

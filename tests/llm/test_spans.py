@@ -198,3 +198,18 @@ def test_letters_alone_are_judged_by_entropy(spark):
     ]
     found = secrets.find(frame(spark, keys + words)).select("doc_id", F.size("spans").alias("n")).collect()
     assert sum(r["n"] for r in found if r["doc_id"] < 100) >= 85 and all(r["n"] == 0 for r in found if r["doc_id"] >= 100)
+
+
+def test_every_kind_is_learned_on_small_tables(spark):
+    """A few documents without any plain span: disguised ones are found all the same, long ones too."""
+    local, domain = " (dot) ".join(["part"] * 9), " dot ".join(["sub"] * 8 + ["example", "org"])
+    cases = [
+        ("please mail jane.doe (at) mail7.example (dot) org today", "email", "jane.doe (at) mail7.example (dot) org"), (f"please mail {local} (at) {domain} today", "email", f"{local} (at) {domain}"),
+        ("the server 10[.]20[.]30[.]40 is up", "ip", "10[.]20[.]30[.]40"), ("visa card 4111.1111.1111.1111 was used", "card", "4111.1111.1111.1111"), ("tel 00 44 - 20 / 79 - 46 / 09 - 58 please", "phone", "00 44 - 20 / 79 - 46 / 09 - 58"),
+    ]
+    clean = ["version 3.11.4 on 2024-10-12", "it stood at home. The others left", "pages 100-200 and 12 34", ""]
+    rows = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find(frame(spark, [t for t, _, _ in cases] + clean))).collect()}
+    for i, (text, kind, span) in enumerate(cases):
+        start = text.index(span)
+        assert rows[i] == f"{kind}:{start}:{start + len(span)}", (text, rows[i])
+    assert [rows[k] for k in range(len(cases), len(rows))] == [""] * len(clean)
