@@ -31,7 +31,6 @@ from ..sources.shared import delete
 from .common import written
 
 ROWS_A_BLOCK = 5_000
-ROWS_A_TASK = 200_000
 OVERHEAD = 16  # bytes that a row takes besides its text
 
 
@@ -241,12 +240,9 @@ def rewrite(docs: DataFrame, planned: DataFrame, path: str, old: Column | None =
         lambda a: a["shard"],
     )
     out = copies.withColumn("shard", pick).where(F.col("shard").isin(affected)).drop(*key, "__targets", "__copy")
-    # Few files for each shard: its rows go to as many tasks as they need.
-    salts = max(1, -(-planned.count() // (max(1, len(affected)) * ROWS_A_TASK)))
-    dealt = out.repartition("shard", F.pmod(F.xxhash64("text"), F.lit(salts)))
     # What is written lies beside the old files until it is whole; these go at the end, so that no moment has a row nowhere.
     made, gone = f"{path}/_new-{uuid.uuid4().hex}", f"{path}/_old-{uuid.uuid4().hex}"
-    dealt.write.option("compression", "zstd").partitionBy("shard").parquet(made)
+    out.write.option("compression", "zstd").partitionBy("shard").parquet(made)
     files = spark._jvm.org.apache.hadoop.fs
     system = files.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     system.mkdirs(files.Path(gone))
