@@ -15,9 +15,11 @@ last and the rest by a hash, each order by another. The steps:
    under each: the filters of all orders are intersected. Only texts of pairs that pass travel to be
    compared whole.
 4. Components of these links. Within a shared shingle, nodes of different components are then
-   paired, filtered and verified alike, so no link between components is missed. A shingle with more
-   than ``HELD`` holders is split by the second order first: holders must share a shingle of that
-   order's prefixes too, so the pair of both shingles is the key. What is still crowded is salted.
+   paired, filtered and verified alike, so no link between components is missed. The smaller set of a
+   pair must hold the shingle early enough to reach the larger one's size. A shingle with more than
+   ``HELD`` holders is split before any pairing: by classes of sizes that can be similar, then, while
+   still crowded, by the shingles of the second order's prefixes and of the third's, which similar sets
+   must share too. What is crowded after that is salted.
 5. Components of all links.
 
 So every link either is verified or joins two documents that verified links connect already; for the
@@ -306,9 +308,14 @@ def sketches(rows: DataFrame, n: int, percent: int, last: np.ndarray) -> DataFra
     return bounded(rows).mapInArrow(run, "doc_id long, node long, n long, prefix array<long>")
 
 
+def _size(n: str, percent: int) -> Column:
+    """The class of a size: similar sets are of the same class or of neighbouring ones."""
+    return F.floor(F.log(n) / F.log(F.lit(max(100 / percent, 1.05)))).cast("int")
+
+
 def near_pivots(tokens: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b): within each shingle and class of sizes, each node with the node that holds the shingle earliest."""
-    sized = tokens.withColumn("size", F.floor(F.log("n") / F.log(F.lit(100 / percent))))
+    sized = tokens.withColumn("size", _size("n", percent))
     pivots = sized.groupBy("token", "size").agg(F.min(F.struct("at", "n", "node")).alias("p"))
     pivots = pivots.select("token", "size", F.col("p.at").alias("pat"), F.col("p.n").alias("pn"), F.col("p.node").alias("pivot"))
     return (
@@ -319,36 +326,62 @@ def near_pivots(tokens: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _across(held: DataFrame, key: str) -> DataFrame:
-    """Adds ``many`` to the rows of keys that nodes of different components hold; the others go."""
-    span = held.groupBy(key).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("many"))
-    return held.join(span.where("lo <> hi").select(key, "many"), key)
+def _reach(percent: int) -> Column:
+    """The largest set that is similar to one whose first shared shingle is at ``at``; below ``n``, only smaller sets are."""
+    return F.least(F.expr(f"(n - at) * {100 + percent} div {percent} - n"), F.expr(f"n * 100 div {percent}"))
+
+
+def _facing(rows: DataFrame, key: str) -> DataFrame:
+    """Adds ``many``, the larger sides of the key, where a smaller side and other components' larger ones meet; the rest goes."""
+    span = rows.groupBy(key).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count_if("low").alias("lows"), F.count_if("high").alias("many"))
+    return rows.join(span.where("lo <> hi AND lows > 0 AND many > 0").select(key, "many"), key)
+
+
+def _by_size(held: DataFrame, percent: int) -> DataFrame:
+    """Each holder as the larger side (``high``) of its own class of sizes, and as the smaller side (``low``) of the classes that it can reach.
+
+    A shingle late in a set can't be the first one shared with a set as large or larger, so a holder that
+    has it late is no smaller side: where all have it late, nothing is paired.
+    """
+    low = held.withColumn("reach", _reach(percent)).where("reach >= n")
+    low = low.withColumn("size", F.explode(F.sequence(_size("n", percent), _size("reach", percent)))).drop("reach")
+    both = low.withColumns({"low": F.lit(True), "high": F.lit(False)}).unionByName(held.withColumns({"size": _size("n", percent), "low": F.lit(False), "high": F.lit(True)}))
+    return both.withColumn("key", F.xxhash64("token", "size")).drop("token", "size")
 
 
 def between_components(tokens: DataFrame, labels: DataFrame, prefixes_of: Callable[[DataFrame], DataFrame], percent: int, keep: Tables) -> DataFrame:
-    """Pairs (a, b) of nodes of different components that share a shingle, and a second one where the first is crowded."""
+    """Pairs (a, b) of nodes of different components that share a shingle; a crowded one by sizes, then with shingles of further orders."""
     grouped = tokens.join(labels.select(F.col("v").alias("node"), "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    held = keep(_across(keep(grouped, "grouped"), "token"), "held")
+    grouped = grouped.withColumns({"low": _reach(percent) >= F.col("n"), "high": F.lit(True)})
+    held = keep(_facing(keep(grouped, "grouped"), "token"), "held")
     keep.drop("grouped")
-    columns = ["key", "node", "n", "at", "label", "many"]
+    columns = ["key", "node", "n", "at", "label", "low", "high", "many"]
     keyed = held.where(F.col("many") <= HELD).withColumn("key", F.col("token")).select(columns)
-    crowded = held.where(F.col("many") > HELD).drop("many")
+    crowded = held.where(F.col("many") > HELD).drop("many", "low", "high")
     if not crowded.isEmpty():
-        second = prefixes_of(crowded.select("node").distinct()).select("node", "second")
-        finer = crowded.join(second, "node").withColumn("key", F.explode("second")).withColumn("key", F.xxhash64("token", "key"))
-        keyed = keyed.unionByName(_across(finer, "key").select(columns))
+        rest = keep(_facing(_by_size(crowded, percent), "key"), "keys")
+        for order in FURTHER:
+            keyed = keyed.unionByName(rest.where(F.col("many") <= HELD).select(columns))
+            rest = rest.where(F.col("many") > HELD).drop("many")
+            if rest.isEmpty():
+                break
+            listed = prefixes_of(rest.select("node").distinct()).select("node", F.col(order).alias("shingles"))
+            finer = rest.join(listed, "node").withColumn("shingle", F.explode("shingles")).withColumn("key", F.xxhash64("key", "shingle"))
+            rest = keep(_facing(finer.drop("shingle", "shingles"), "key"), "keys")
+        else:
+            keyed = keyed.unionByName(rest.select(columns))
     keyed = keep(keyed, "keyed")
-    keep.drop("held")
-    # A key that is still crowded is dealt over tasks: each takes some of the holders and pairs them with all.
+    keep.drop("held", "keys")
+    # A key that is still crowded is dealt over tasks: each takes some of the larger sides and pairs them with all smaller ones.
     salts = F.ceil(F.col("many") / HELD).cast("int")
-    left = keyed.withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int"))
-    right = keyed.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    left = keyed.where("low").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    right = keyed.where("high").withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int"))
     right = right.select("key", "salt", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "at", "label")])
     return (
         left.join(right, ["key", "salt"])
-        .where((F.col("node") < F.col("o_node")) & (F.col("label") != F.col("o_label")))
+        .where("(n < o_n OR n = o_n AND node < o_node) AND label <> o_label")
         .where(_can_link(F.col("n"), F.col("o_n"), percent) & _can_reach(F.col("n"), F.col("at"), F.col("o_n"), F.col("o_at"), percent))
-        .select(F.col("node").alias("a"), F.col("o_node").alias("b"))
+        .select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b"))
         .distinct()
     )
 

@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomsheet.llm import jaccard
 from loomsheet.llm.graph import components
@@ -65,6 +66,32 @@ def test_components_equal_brute_force(spark, groups, n, percent, parts, held, mo
     assert result(jaccard.join(docs, n, percent)) == brute(groups, n, percent)
 
 
+def test_crowded_shingles_make_few_pairs(spark, monkeypatch):
+    """Texts of one passage and a few own words, each too far from the others to link; some texts of it that do link."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    passage = [word() for _ in range(98)]
+    texts = [" ".join(passage + [word() for _ in range(7)]) for _ in range(1_200)]
+    for at in range(40):  # half of the passage, with one or two words changed: similar to some of their kind
+        texts.append(" ".join([*passage[:50], *[word() for _ in range(40)]][: 90 - at % 3]))
+        texts.append(texts[-1] + " " + word())
+    met = []
+
+    class Counted(jaccard.Tables):
+        def __call__(self, df, name):
+            out = super().__call__(df, name)
+            if name == "keyed":
+                sides = out.groupBy("key").agg(F.count_if("low").alias("lows"), F.count_if("high").alias("highs"))
+                met.append(sides.agg(F.sum(F.col("lows") * F.col("highs"))).first()[0] or 0)
+            return out
+
+    monkeypatch.setattr(jaccard, "HELD", 50)
+    monkeypatch.setattr(jaccard, "Tables", Counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert result(jaccard.join(docs, 3, 90)) == brute(list(enumerate(texts)), 3, 90)
+    assert len(met) == 1 and met[0] < 50 * len(texts)  # all pairs of one shingle would be 720,000
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_links_are_counted_exactly(spark, groups, small, monkeypatch):
     if small:
