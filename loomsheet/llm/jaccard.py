@@ -332,21 +332,30 @@ def _reach(percent: int) -> Column:
 
 
 def _facing(rows: DataFrame, key: str) -> DataFrame:
-    """Adds ``many``, the larger sides of the key, where a smaller side and other components' larger ones meet; the rest goes."""
-    span = rows.groupBy(key).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count_if("low").alias("lows"), F.count_if("high").alias("many"))
-    return rows.join(span.where("lo <> hi AND lows > 0 AND many > 0").select(key, "many"), key)
+    """The smaller (``low``) and larger (``high``) sides of each key that meet one of another component, with ``many``, the number of larger ones.
+
+    A side that meets only its own component is taken off its row, and rows without a side go.
+    """
+    side = lambda f, role: f(F.when(F.col(role), F.col("label")))
+    ends = [side(f, role).alias(f"{role}_{end}") for role in ("low", "high") for end, f in (("from", F.min), ("to", F.max))]
+    span = rows.groupBy(key).agg(*ends, F.count_if("high").alias("many"))
+    span = span.where("low_from IS NOT NULL AND high_from IS NOT NULL AND NOT (low_from = high_to AND low_to = high_from)")
+    meets = lambda other: (F.col(f"{other}_from") != F.col("label")) | (F.col(f"{other}_to") != F.col("label"))
+    met = rows.join(span, key).withColumns({"low": F.col("low") & meets("high"), "high": F.col("high") & meets("low")})
+    return met.where("low OR high").select(*rows.columns, "many")
 
 
 def _by_size(held: DataFrame, percent: int) -> DataFrame:
-    """Each holder as the larger side (``high``) of its own class of sizes, and as the smaller side (``low``) of the classes that it can reach.
+    """Each holder on the larger side of its own class of sizes, and on the smaller side of the classes that it can reach.
 
     A shingle late in a set can't be the first one shared with a set as large or larger, so a holder that
-    has it late is no smaller side: where all have it late, nothing is paired.
+    has it late is on no smaller side: where all have it late, nothing is paired.
     """
-    low = held.withColumn("reach", _reach(percent)).where("reach >= n")
-    low = low.withColumn("size", F.explode(F.sequence(_size("n", percent), _size("reach", percent)))).drop("reach")
-    both = low.withColumns({"low": F.lit(True), "high": F.lit(False)}).unionByName(held.withColumns({"size": _size("n", percent), "low": F.lit(False), "high": F.lit(True)}))
-    return both.withColumn("key", F.xxhash64("token", "size")).drop("token", "size")
+    own, reach = _size("n", percent), _reach(percent)
+    reached = F.when(reach >= F.col("n"), _size("reach", percent)).otherwise(own)
+    out = held.withColumn("reach", reach).withColumns({"own": own, "size": F.explode(F.sequence(own, reached))})
+    out = out.withColumns({"low": F.col("reach") >= F.col("n"), "high": F.col("size") == F.col("own"), "key": F.xxhash64("token", "size")})
+    return out.drop("token", "size", "own", "reach")
 
 
 def between_components(tokens: DataFrame, labels: DataFrame, prefixes_of: Callable[[DataFrame], DataFrame], percent: int, keep: Tables) -> DataFrame:
