@@ -180,8 +180,9 @@ def _(orders, customer):
     return load(orders.sparkSession, path, "parquet").select("o_orderkey", "c_name")
 
 
-@query("o19_files", "orders", "SELECT replace(o_orderpriority, '/', '_') AS part, 1::BIGINT AS files, count(*) AS \"rows\" FROM orders GROUP BY 1")
+@query("o19_files", "orders", f"SELECT replace(o_orderpriority, '/', '_') AS part, ceil(count(*) / {sinks.ROWS_A_FILE}.0)::BIGINT AS files, count(*) AS \"rows\" FROM orders GROUP BY 1")
 def _(orders):
+    """A value has as many files as its rows fill, of ``ROWS_A_FILE`` rows each."""
     path = scratch(orders.sparkSession, "separate")
     combine.separate(orders.repartition(16).select("o_orderkey", "o_orderpriority"), "o_orderpriority", path)
     held = load(orders.sparkSession, path, "parquet").select(F.col("part").cast("string").alias("part"), F.input_file_name().alias("file"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import NESTED, hashable, quoted
+from ..functions.values import NESTED, hashable, quoted, unused
 from ..operators.predicates import apply_filters
 from .shared import bytes_under
 
@@ -16,12 +16,29 @@ ROWS_A_FILE = 1_000_000
 
 
 def _dealt(df: DataFrame, by: list[str]) -> DataFrame:
-    """Rows of a value together, a frequent value over as many tasks as it fills files, by hashes of its rows."""
-    counted = df.groupBy(*[quoted(c).alias(f"__by_{k}") for k, c in enumerate(by)]).agg(F.ceil(F.count(F.lit(1)) / ROWS_A_FILE).cast("int").alias("__files")).where("__files > 1")
-    same = [quoted(c).eqNullSafe(F.col(f"__by_{k}")) for k, c in enumerate(by)]
-    joined = df.join(F.broadcast(counted), reduce(lambda a, b: a & b, same), "left")  # a row for ROWS_A_FILE rows at most
-    part = F.pmod(F.xxhash64(*hashable(df)), F.coalesce("__files", F.lit(1)))
-    return joined.repartition(*[quoted(c) for c in by], part).select(*[quoted(c) for c in df.columns])
+    """Rows of a value together; those of a frequent value are numbered and go to as many tasks as they fill files.
+
+    All files of a frequent value but its last have ``ROWS_A_FILE`` rows, so that a value has no more files than its rows need,
+    also where tasks take several. Numbers go by ranges of the rows' hashes, four for each file.
+    """
+    own = unused("__by_", df.columns)
+    keys, names, kept = [quoted(c) for c in by], [f"{own}{k}" for k in range(len(by))], [quoted(c) for c in df.columns]
+    n, cut, many, of, start, place, file = (f"{own}{x}" for x in ("n", "cut", "many", "of", "start", "place", "file"))
+    counted = df.groupBy(*[c.alias(x) for c, x in zip(keys, names, strict=True)]).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > ROWS_A_FILE)
+    if counted.isEmpty():
+        return df.repartition(*keys)
+    hot = F.broadcast(counted)  # a row for ROWS_A_FILE rows at most
+    same = reduce(lambda a, b: a & b, [c.eqNullSafe(F.col(x)) for c, x in zip(keys, names, strict=True)])
+    drawn = F.xxhash64(*hashable(df))
+    frequent = df.join(hot, same).withColumn(cut, F.pmod(drawn, F.ceil(F.col(n) * 4 / ROWS_A_FILE).cast("int")))
+    counts = frequent.groupBy(*names, cut).agg(F.count(F.lit(1)).alias(many))
+    before = F.sum(many).over(Window.partitionBy(*names).orderBy(cut).rowsBetween(Window.unboundedPreceding, 0)) - F.col(many)
+    starts = counts.select(*[F.col(x).alias(f"{x}_") for x in names], F.col(cut).alias(of), before.alias(start))  # four rows for each file
+    at = reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(f"{x}_")) for x in names], F.col(cut) == F.col(of))
+    numbered = frequent.withColumn(place, F.row_number().over(Window.partitionBy(*names, cut).orderBy(drawn)) - 1).join(F.broadcast(starts), at)
+    dealt = numbered.select(*kept, F.floor((F.col(start) + F.col(place)) / ROWS_A_FILE).alias(file))
+    rest = df.join(hot, same, "left_anti").select(*kept, F.lit(0).cast("long").alias(file))
+    return dealt.unionByName(rest).repartition(*keys, file).select(*kept)
 
 
 def write(df: DataFrame, path: str, format: str = "parquet", compression: str | None = None, mode: str = "errorifexists", single_file: bool = False, partition_by: list[str] | None = None, **options) -> None:  # noqa: A002

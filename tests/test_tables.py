@@ -349,6 +349,21 @@ def test_a_hot_value_fills_several_files(spark, tmp_path, monkeypatch):
     assert len(list((tmp_path / "p" / "k=hot").glob("*.parquet"))) >= 5 and spark.read.parquet(str(tmp_path / "p")).count() == 1000
 
 
+@pytest.mark.parametrize("most", [100, 150])
+def test_a_value_has_no_more_files_than_its_rows_fill(spark, tmp_path, monkeypatch, most):
+    """Also where its rows fill its files to the last row, and where its tasks take several."""
+    monkeypatch.setattr(sinks, "ROWS_A_FILE", most)
+    df = spark.range(1000).select("id", F.when(F.col("id") < 900, "hot").when(F.col("id") < 960, "cold").alias("k"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.export(df, str(tmp_path / "p"), partition_by=["k"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    back = spark.read.parquet(str(tmp_path / "p")).select("id", "k", F.input_file_name().alias("file"))
+    back = back.groupBy("k").agg(F.count_distinct("file"), F.count_distinct("id"), F.count("*"))
+    assert {r[0]: tuple(r)[1:] for r in back.collect()} == {"hot": (900 // most, 900, 900), "cold": (1, 60, 60), None: (1, 40, 40)}
+
+
 def test_equal_keys_are_numbered_densely(spark):
     df = spark.range(20_000).select("id", F.lit(7).alias("k"), F.lit("x").alias("row_id"))
     out = rowid.number_rows(df.repartition(8), ["k"], "n")
