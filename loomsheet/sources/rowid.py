@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import hashable
 
 ROW_ID = "row_id"
-FEWEST, MOST, STEP = 64, 4096, 64
+FEWEST, MOST = 64, 4096
 SPARE = 2  # rows drawn for each range
+ROWS_A_TASK = 100_000  # that a task numbers, while there are no more tasks than shuffle partitions
 
 
 def _running(counts: DataFrame, order: list[str]) -> DataFrame:
@@ -42,25 +45,36 @@ def _split(df: DataFrame) -> Column:
     return F.lit(0).cast("long")
 
 
-def _in_ranges(df: DataFrame, order_by: list[str], descending: bool) -> tuple[DataFrame, list[Column]]:
-    """Adds __bucket, the number of the range of the order that a row lies in, and gives the order within."""
+def _ranged(df: DataFrame, order_by: list[str], descending: bool) -> tuple[DataFrame, list[Column], int]:
+    """Adds __bucket, the number of the range of the order that a row lies in, and gives the order within and how many tasks the rows are for."""
     own = _split(df)
     df = df.withColumn("__h", F.xxhash64(*hashable(df))).withColumn("__t", own)
     order_by = [*order_by, "__h", "__t"]
     order = [F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_last() for c in order_by]
     key = F.struct(*[x for c in order_by for x in (F.col(c).isNull(), F.col(c))])
-    n = min(MOST, max(FEWEST, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    shuffles = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = min(MOST, max(FEWEST, shuffles))
     keyed = df.withColumn("__k", key)
     # The keys of the rows with the smallest hashes, each row with one of its own: each task keeps few, and nothing else is
     # shuffled. The bounds are drawn once, here, so that counts and places go by the same ones.
     picked = keyed.select("__k", F.xxhash64("__h", "__t", F.monotonically_increasing_id()).alias("__p")).orderBy("__p").limit(SPARE * n)
-    bounds = picked.select("__k").distinct().agg(F.array_sort(F.collect_list("__k")).alias("__bounds"))
-    bounds = bounds.select("__bounds", F.filter("__bounds", lambda b, i: i % STEP == 0).alias("__coarse"))
-    bounds = df.sparkSession.createDataFrame(bounds.collect(), bounds.schema)  # SPARE * n keys at most
-    upto = lambda a: F.size(F.filter(a, lambda b: b <= F.col("__k")))
-    found = keyed.crossJoin(F.broadcast(bounds)).withColumn("__c", F.greatest(upto("__coarse") - 1, F.lit(0)))
-    low = F.col("__c") * STEP + upto(F.slice("__bounds", F.col("__c") * STEP + 1, F.lit(STEP)))
-    return found.withColumn("__bucket", -low if descending else low).drop("__bounds", "__coarse", "__c", "__k"), order
+    bounds = picked.agg(F.array_sort(F.collect_set("__k")).alias("__bounds"), F.count(F.lit(1)).alias("drawn"), F.max("__p").alias("last"))
+    held = bounds.collect()  # SPARE * n keys at most
+    drawn, last = held[0]["drawn"], held[0]["last"]
+    # The largest of the smallest hashes tells about how many rows there are.
+    rows = drawn if drawn < SPARE * n else drawn * 2.0**64 / (last + 2.0**63 + 1)
+    one = df.sparkSession.createDataFrame(held, bounds.schema).select("__bounds").scalar()
+    # How many bounds a key reaches, by halves; past the last bound there is none to reach. A plain expression of each half is compiled.
+    found = keyed.withColumn("__low", F.lit(0))
+    half = 1 << len(held[0]["__bounds"]).bit_length()
+    while half := half // 2:
+        found = found.withColumn("__low", F.col("__low") + F.when(F.get(one, F.col("__low") + (half - 1)) <= F.col("__k"), half).otherwise(0))
+    found = found.withColumn("__bucket", -F.col("__low") if descending else F.col("__low")).drop("__low", "__k")
+    return found, order, max(1, min(shuffles, math.ceil(rows / ROWS_A_TASK)))
+
+
+def _in_ranges(df: DataFrame, order_by: list[str], descending: bool) -> tuple[DataFrame, list[Column]]:
+    return _ranged(df, order_by, descending)[:2]
 
 
 def number_rows(df: DataFrame, order_by: list[str], name: str = ROW_ID, descending: bool = False) -> DataFrame:
@@ -70,11 +84,11 @@ def number_rows(df: DataFrame, order_by: list[str], name: str = ROW_ID, descendi
     ranges; a row's number is the rows of earlier ranges plus its place in its own. Rows with equal keys
     are ordered by a hash of the row, and equal rows of a scan by the file split that they come from, so that a
     frequent key or row spreads over ranges; only equal rows of one split keep to one, and equal rows of
-    what isn't a scan. A row finds its range in two steps, among every ``STEP``-th bound and then between.
+    what isn't a scan. Ranges go to a task for ``ROWS_A_TASK`` rows, however few bytes these have.
     """
     names = df.columns
-    bucketed, order = _in_ranges(df, order_by, descending)
+    bucketed, order, tasks = _ranged(df, order_by, descending)
     starts = _running(bucketed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("many")), ["__bucket"]).select("__bucket", "start")
     place = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order))
-    out = bucketed.withColumn("__place", place).join(F.broadcast(starts), "__bucket")  # a row for each bucket
+    out = bucketed.repartition(tasks, "__bucket").withColumn("__place", place).join(F.broadcast(starts), "__bucket")  # a row for each bucket
     return out.withColumn(name, (F.col("start") + F.col("__place") - 1).cast("long")).select(name, *[c for c in names if c != name])

@@ -110,3 +110,14 @@ def test_repeated_and_late_events(spark, sf, tmp_path):
 def test_first_of_key_on_odd_tables(spark):
     df = spark.createDataFrame([(1, None, "a"), (None, "2024-01-01 00:00:00", "b"), (2, "2024-01-02 00:00:00", None), (2, "2024-01-02 00:00:00", "c"), (2, "2024-01-03 00:00:00", "a")], "key long, t string, x string").withColumn("t", F.to_timestamp("t"))
     assert [(r["key"], r["x"]) for r in state.first_of_key(df, "key", "t").collect()] == [(2, None)] and state.first_of_key(df.limit(0), "key", "t").count() == 0
+
+
+def test_ranges_are_found_without_a_list_for_each_row_and_numbered_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Compiled comparisons find a row's range; rows of few bytes aren't left to one task."""
+    monkeypatch.setattr(rowid, "ROWS_A_TASK", 1_000)
+    spark.range(0, 40_000, 1, 4).select(F.lit("same").alias("x")).write.parquet(str(tmp_path / "t"))
+    numbered = rowid.number_rows(spark.read.parquet(str(tmp_path / "t")), ["x"])
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" not in plan and "lambda" not in plan
+    assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(__bucket" in plan
+    assert numbered.agg(F.count_distinct("row_id"), F.min("row_id"), F.max("row_id")).first()[:] == (40_000, 0, 39_999)
