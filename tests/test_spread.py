@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from loomsheet import queries
 from loomsheet.operators import combine
 from loomsheet.sources import arrow_files, rowid
 from loomsheet.sources.load import load
@@ -121,3 +122,12 @@ def test_ranges_are_found_without_a_list_for_each_row_and_numbered_by_many_tasks
     assert "BroadcastNestedLoopJoin" not in plan and "lambda" not in plan
     assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(__bucket" in plan
     assert numbered.agg(F.count_distinct("row_id"), F.min("row_id"), F.max("row_id")).first()[:] == (40_000, 0, 39_999)
+
+
+def test_split_files_are_written_by_the_tasks_of_the_scan(spark, sf, tmp_path, monkeypatch):
+    spark.read.parquet(f"{sf}/lineitem.parquet").repartition(4).write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(queries, "scratch", lambda *_: str(tmp_path / "arrow"))
+    found = queries.QUERIES["o10_split_file"](spark, str(tmp_path))
+    rows = [pa.ipc.open_file(str(p)).num_record_batches and pa.ipc.open_file(str(p)).read_all().num_rows for p in (tmp_path / "arrow").glob("*.arrow")]
+    assert len(rows) >= 3 and max(rows) < sum(rows) / 2
+    assert found.count() == spark.read.parquet(f"{sf}/lineitem.parquet").where("l_returnflag = 'R' AND l_orderkey >= 100").count()
