@@ -89,12 +89,21 @@ def index_grams(words: DataFrame) -> DataFrame:
     return words.select("token").distinct().select(F.explode(grams).alias("gram"), "token")
 
 
+def index_stretches(words: DataFrame) -> DataFrame:
+    """gram, at, token: the ``GRAM`` characters from each place of a word of an index, fewer at its end.
+
+    Each shorter stretch of a word is the start of one of these, so that they are a third of ``index_grams``.
+    """
+    places = words.select("token").distinct().select("token", F.explode(F.sequence(F.lit(1), F.char_length("token"))).alias("at"))
+    return places.select(F.substring(F.col("token"), F.col("at"), F.lit(GRAM)).alias("gram"), "at", "token")
+
+
 def build_index(df: DataFrame, path: str, block_rows: int = BLOCK_ROWS, row_id: str = "row_id") -> None:
     """Writes the data sorted by row number, so that blocks are ranges of pages, the words and the grams sorted by themselves, and a note."""
     spark = df.sparkSession
     df.repartitionByRange(quoted(row_id)).sortWithinPartitions(row_id).write.mode("errorifexists").parquet(f"{path}/data")
     index_rows(df, block_rows, row_id).repartitionByRange("token").sortWithinPartitions("token").write.mode("errorifexists").parquet(f"{path}/words")
-    index_grams(spark.read.parquet(f"{path}/words")).repartitionByRange("gram", "token").sortWithinPartitions("gram", "token").write.mode("errorifexists").parquet(f"{path}/grams")
+    index_stretches(spark.read.parquet(f"{path}/words")).repartitionByRange("gram", "token").sortWithinPartitions("gram", "token").write.mode("errorifexists").parquet(f"{path}/grams")
     blocks = spark.read.parquet(f"{path}/data").agg(F.floor(F.max(quoted(row_id)) / block_rows).cast("long") + 1).first()[0] or 0
     spark.createDataFrame([(row_id, block_rows, blocks)], "row_id string, block_rows long, blocks long").coalesce(1).write.parquet(f"{path}/note")
 
@@ -111,10 +120,17 @@ def _gram_of(run: str) -> str:
 
 
 def words_with(grams: DataFrame, runs: list[str], most: int = WORDS) -> dict[str, list[str]]:
-    """For each run the words that it lies inside, by one gram of each; runs with more than ``most`` words are left out."""
+    """For each run the words that it lies inside, by one gram of each; runs with more than ``most`` words are left out.
+
+    The grams are those of ``index_grams``, or of ``index_stretches``, where a word counts at the first place of the gram.
+    """
+    placed = "at" in grams.columns
 
     def one(run: str) -> DataFrame:
-        return grams.where((F.col("gram") == _gram_of(run)) & F.col("token").contains(run)).select(F.lit(run).alias("run"), "token").limit(most + 1)
+        g = _gram_of(run)
+        here = F.col("gram").startswith(g) if placed and len(g) < GRAM else F.col("gram") == g
+        first = F.instr("token", g) == F.col("at") if placed else F.lit(True)
+        return grams.where(here & first & F.col("token").contains(run)).select(F.lit(run).alias("run"), "token").limit(most + 1)
 
     found: dict[str, list[str]] = {run: [] for run in runs}
     for r in reduce(lambda a, b: a.unionAll(b), map(one, runs)).collect():  # most + 1 rows for each run

@@ -50,6 +50,18 @@ def test_grams_of_short_words(spark):
     assert {tuple(r) for r in search.index_grams(words).collect()} == {("a", "a"), *((g, "abcd") for g in ("a", "b", "c", "d", "ab", "bc", "cd", "abc", "bcd")), ("日", "日本"), ("本", "日本"), ("日本", "日本")}
 
 
+def test_a_place_of_a_word_has_one_row(spark, index):
+    chars = index.words.select("token").distinct().agg(F.sum(F.char_length("token"))).first()[0]
+    assert index.grams.count() == chars
+
+
+def test_stretches_find_what_grams_find(spark):
+    words = spark.createDataFrame([(w, [k]) for k, w in enumerate(["a", "aaaa", "aab", "abab", "日本", "日本日本語", "été", "𝒳𝒳y", "token", "tokens"])], "token string, blocks array<long>")
+    runs = ["a", "aa", "aaa", "aaaa", "ab", "b", "bab", "日", "本日", "é", "été", "𝒳", "𝒳y", "ken", "oken", "tokens", "x"]
+    for most in (1, 2, 4, 10**6):
+        assert search.words_with(search.index_stretches(words), runs, most) == search.words_with(search.index_grams(words), runs, most)
+
+
 def test_ranges_are_cut_at_the_widest_gaps():
     assert search._close([1, 2, 3, 9, 50, 51, 80], 3) == [(1, 9), (50, 51), (80, 80)] and search._close([], 3) == [] and search._close([4], 1) == [(4, 4)]
     assert search._close([5, 1, 3], 9) == [(1, 1), (3, 3), (5, 5)]
