@@ -3,19 +3,30 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
-
+import sys
+import unicodedata
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.values import as_text, kind, quoted, unicode
+from ..functions.values import as_text, kind, quoted
+from ..sources.shared import delete
 
 BLOCK_ROWS = 10_000
 LIMIT = 1000
 PART = 10_000  # blocks whose numbers lie together in a row of the words
 RANGES = 64  # ranges of row numbers that a search reads, at most
-RUNS = unicode(r"\w+")
+PAIRS, BYTES = 3_000_000, 64 << 20  # pairs of a word and a block, and bytes of text, that a task holds before it hands them on
+PIECE = 8 << 20  # bytes of words that a task hands on at once
+ALPHABETIC = ((0x24B6, 0x24E9), (0x1F130, 0x1F149), (0x1F150, 0x1F169), (0x1F170, 0x1F189))  # symbols that count as letters
 GRAM = 3  # characters of a word that the look-up goes by
 WORDS = 2_000  # of one run of the query; a run inside more words than these rules out too little to look further
 BLOCKS = 4_096  # that are listed one by one
@@ -74,11 +85,127 @@ def highlights(df: DataFrame, query: str, new_column: str = "highlights") -> Dat
     return df.withColumn(new_column, F.map_from_entries(F.array_compact(F.array(*entries))) if entries else F.create_map())
 
 
+@lru_cache
+def runs_pattern() -> str:
+    """A run of word characters: letters, marks, decimal digits, connectors, letter numbers and joiners, as Java's ``\\w`` for all of Unicode."""
+    named = {"Lu", "Ll", "Lt", "Lm", "Lo", "Mn", "Mc", "Me", "Nd", "Nl", "Pc"}
+    inside = bytearray(unicodedata.category(chr(c)) in named for c in range(sys.maxunicode + 1))
+    for lo, hi in (*ALPHABETIC, (0x200C, 0x200D)):
+        inside[lo : hi + 1] = b"\1" * (hi + 1 - lo)
+    return "[" + "".join(f"\\U{m.start():08x}-\\U{m.end() - 1:08x}" for m in re.finditer(b"\1+", inside)) + "]+"
+
+
+# ASCII characters outside words become spaces; bytes of others stay.
+SPACED = bytes(c if c >= 128 or chr(c).isalnum() or c == ord("_") else ord(" ") for c in range(256))
+
+
+def _cut(pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From rows of block and text to the words of the blocks, with as many blocks of a word in a row as a task holds at once.
+
+    Texts are cut at ASCII characters as bytes; only different pieces with others go through the pattern.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(pattern).findall
+        parts: dict[int, dict[bytes, list[int]]] = defaultdict(lambda: defaultdict(list))
+        here: set[bytes] = set()
+        seen: dict[bytes, list[bytes]] = {}
+        at, pairs, size = None, 0, 0
+
+        def close() -> None:
+            tokens = parts[at // PART]
+            for piece in [p for p in here if not p.isascii()]:
+                if piece not in seen:
+                    seen[piece] = [t.encode() for t in find(piece.decode("utf-8", "replace"))]
+                here.remove(piece)
+                here.update(seen[piece])
+            for token in here:
+                tokens[token].append(at)
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for part, tokens in parts.items():
+                ends = np.cumsum([0, *map(len, tokens.values())])
+                blocks = np.fromiter(chain.from_iterable(tokens.values()), np.int64, ends[-1])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(blocks))
+                yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()).cast(pa.string()), pa.array(np.full(len(tokens), part)), lists], ["token", "part", "blocks"])
+            parts.clear()
+            seen.clear()
+
+        for batch in batches:
+            for block, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if block != at:
+                    if here:
+                        close()
+                        pairs, here = pairs + len(here), set()
+                    if pairs >= PAIRS or size >= BYTES:
+                        yield from rows()
+                        pairs = size = 0
+                    at = block
+                here.update(text.translate(SPACED).split())
+                size += len(text)
+        if here:
+            close()
+        yield from rows()
+
+    return cut
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one word and part, which follow one another, as one row with each block once; ``first`` marks a word's first part."""
+    last, before = None, None
+
+    def one(rows: pa.RecordBatch, new: np.ndarray) -> pa.RecordBatch:
+        nonlocal before
+        token, part, lists = rows.columns
+        starts, blocks = np.flatnonzero(new), lists.flatten().to_numpy()
+        of = np.repeat(np.cumsum(new) - 1, pc.list_value_length(lists).to_numpy())
+        if not np.all((of[1:] != of[:-1]) | (blocks[1:] > blocks[:-1])):
+            order = np.lexsort((blocks, of))
+            of, blocks = of[order], blocks[order]
+            once = np.append(True, (of[1:] != of[:-1]) | (blocks[1:] != blocks[:-1]))
+            of, blocks = of[once], blocks[once]
+        ends = np.append(0, np.cumsum(np.bincount(of, minlength=len(starts))))
+        token, part = token.take(pa.array(starts)), part.take(pa.array(starts))
+        first = np.append(token[0].as_py() != before, pc.not_equal(token[1:], token[:-1]).to_numpy(zero_copy_only=False))
+        before = token[-1].as_py()
+        return pa.RecordBatch.from_arrays([token, part, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(blocks)), pa.array(first)], ["token", "part", "blocks", "first"])
+
+    def starts_of(rows: pa.RecordBatch) -> np.ndarray:
+        token, part = rows.column(0), rows.column(1)
+        other = pc.or_(pc.not_equal(token[1:], token[:-1]), pc.not_equal(part[1:], part[:-1]))
+        return np.append(True, other.to_numpy(zero_copy_only=False))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = batch if last is None else pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+        new = starts_of(rows)
+        end = int(np.flatnonzero(new)[-1])
+        if end:
+            yield one(rows.slice(0, end), new[:end])
+        last = rows.slice(end)
+    if last is not None:
+        yield one(last, starts_of(last))
+
+
+def _words(df: DataFrame, block_rows: int, row_id: str) -> DataFrame:
+    """token, part, blocks: the words of the table, in several rows each, of several tasks."""
+    text = search_text(df, [c for c in df.columns if c != row_id]).cast("binary")
+    block = F.floor(quoted(row_id) / block_rows).cast("long")
+    return df.where(quoted(row_id).isNotNull()).select(block.alias("block"), text.alias("text")).mapInArrow(_cut(runs_pattern()), "token string, part long, blocks array<long>")
+
+
+def _gathered(dealt: DataFrame) -> DataFrame:
+    """token, part, blocks, first: each word once for a part, in order within a partition; all rows of a word must lie in one."""
+    return dealt.sortWithinPartitions("token", "part").mapInArrow(_merged, "token string, part long, blocks array<long>, first boolean")
+
+
 def index_rows(df: DataFrame, block_rows: int = BLOCK_ROWS, row_id: str = "row_id") -> DataFrame:
-    """token, part, blocks: each word of the table with the blocks of rows that have it, a row for ``PART`` blocks."""
-    words = F.regexp_extract_all(search_text(df, [c for c in df.columns if c != row_id]), F.lit(RUNS), F.lit(0))
-    pairs = df.select(F.floor(quoted(row_id) / block_rows).cast("long").alias("block"), F.explode(F.array_distinct(words)).alias("token")).distinct()
-    return pairs.groupBy("token", F.floor(F.col("block") / PART).alias("part")).agg(F.sort_array(F.collect_list("block")).alias("blocks"))  # PART numbers at most
+    """token, part, blocks: each word of the table with the blocks of rows that have it, a row for ``PART`` blocks.
+
+    A task hands on a word with all the blocks that it holds of it, so that a shuffle has few rows for a word where blocks lie together.
+    """
+    return _gathered(_words(df, block_rows, row_id).repartition("token")).drop("first")
 
 
 def index_grams(words: DataFrame) -> DataFrame:
@@ -94,23 +221,53 @@ def index_stretches(words: DataFrame) -> DataFrame:
 
     Each shorter stretch of a word is the start of one of these, so that they are a third of ``index_grams``.
     """
-    places = words.select("token").distinct().select("token", F.explode(F.sequence(F.lit(1), F.char_length("token"))).alias("at"))
-    return places.select(F.substring(F.col("token"), F.col("at"), F.lit(GRAM)).alias("gram"), "at", "token")
+    return _named(_stretches(words))
+
+
+def _stretches(words: DataFrame) -> DataFrame:
+    """code, at, token: the stretches, with one number for the characters in their order."""
+    once = words.where("first").select("token") if "first" in words.columns else words.select("token").distinct()
+    return once.mapInArrow(_coded, "code long, at int, token string")
+
+
+def _named(stretches: DataFrame) -> DataFrame:
+    return stretches.select(F.substring(F.col("token"), F.col("at"), F.lit(GRAM)).alias("gram"), "at", "token")
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        token = batch.column(0)
+        sizes = pc.utf8_length(token).to_numpy().astype(np.int64)
+        points = np.frombuffer("".join(token.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64)
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.arange(len(of)) - (np.cumsum(sizes) - sizes)[of]
+        code = points << 21 * (GRAM - 1)
+        for k in range(1, GRAM):
+            code |= np.where(at + k < sizes[of], np.roll(points, -k), 0) << 21 * (GRAM - 1 - k)
+        ends = np.cumsum(pc.binary_length(token).to_numpy()[of], dtype=np.int64) // PIECE
+        for rows in np.split(np.arange(len(of)), np.flatnonzero(np.diff(ends)) + 1):
+            yield pa.RecordBatch.from_arrays([pa.array(code[rows]), pa.array(at[rows] + 1, pa.int32()), token.take(pa.array(of[rows]))], ["code", "at", "token"])
 
 
 def build_index(df: DataFrame, path: str, block_rows: int = BLOCK_ROWS, row_id: str = "row_id") -> None:
     """Writes the data sorted by row number, so that blocks are ranges of pages, the words and the grams sorted by themselves, and a note."""
     spark = df.sparkSession
     df.repartitionByRange(quoted(row_id)).sortWithinPartitions(row_id).write.mode("errorifexists").parquet(f"{path}/data")
-    index_rows(df, block_rows, row_id).repartitionByRange("token").sortWithinPartitions("token").write.mode("errorifexists").parquet(f"{path}/words")
-    index_stretches(spark.read.parquet(f"{path}/words")).repartitionByRange("gram", "token").sortWithinPartitions("gram", "token").write.mode("errorifexists").parquet(f"{path}/grams")
-    blocks = spark.read.parquet(f"{path}/data").agg(F.floor(F.max(quoted(row_id)) / block_rows).cast("long") + 1).first()[0] or 0
-    spark.createDataFrame([(row_id, block_rows, blocks)], "row_id string, block_rows long, blocks long").coalesce(1).write.parquet(f"{path}/note")
+    data = spark.read.parquet(f"{path}/data")
+    # Drawing the bounds of ranges reads a table once more; the words, cut once, are written for that.
+    _words(data, block_rows, row_id).write.mode("errorifexists").parquet(f"{path}/runs")
+    _gathered(spark.read.parquet(f"{path}/runs").repartitionByRange("token")).write.mode("errorifexists").parquet(f"{path}/words")
+    delete(spark, f"{path}/runs")
+    # A sort by one number compares nothing else.
+    stretches = _stretches(spark.read.parquet(f"{path}/words")).repartitionByRange("code", "token").sortWithinPartitions("code")
+    _named(stretches).write.mode("errorifexists").parquet(f"{path}/grams")
+    note = data.agg((F.floor(F.max(quoted(row_id)) / block_rows).cast("long") + 1).alias("blocks"))
+    note.select(F.lit(row_id).alias("row_id"), F.lit(block_rows).cast("long").alias("block_rows"), F.coalesce("blocks", F.lit(0)).cast("long").alias("blocks")).write.parquet(f"{path}/note")
 
 
 def runs_of(query: str) -> list[str]:
     """The runs of word characters of a query; each must lie inside some word of a row."""
-    return sorted({r for t in terms_of(query) for r in re.findall(r"\w+", t)})
+    return sorted({r for t in terms_of(query) for r in re.findall(runs_pattern(), t)})
 
 
 def _gram_of(run: str) -> str:

@@ -1,7 +1,9 @@
 """The written word index: equal to a scan, and reading little where little can match."""
 
 import random
+import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +72,41 @@ def test_ranges_are_cut_at_the_widest_gaps():
 def test_empty_table(spark, table, tmp_path):
     search.build_index(table.limit(0), str(tmp_path / "i"), 50)
     assert search.search_index(spark, str(tmp_path / "i"), "word").count() == 0
+
+
+def test_words_go_with_their_blocks_in_one_shuffle(spark):
+    """A row for each pair of a word and a block went through two shuffles before."""
+    table = spark.range(200).select(F.col("id").alias("row_id"), F.lit("some words").alias("text"))
+    found = search.index_rows(table.coalesce(1), 10)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted((r["token"], r["part"], r["blocks"]) for r in found.collect()) == [("some", 0, list(range(20))), ("words", 0, list(range(20)))]
+
+
+@pytest.mark.parametrize("query", ["m²", "a½b", "½", "ét", "12①", "名 前", "ⅷ", "x‍y"])
+def test_characters_that_are_no_part_of_words(spark, tmp_path, query):
+    """A search cuts its terms as the index cuts the texts, also at figures that Python counts to words."""
+    texts = ["12 m² here", "a½b", "½ and 12①", "été", "名“前”", "chapter Ⅷ", "x‍y", "m 2", ""]
+    table = spark.createDataFrame(list(enumerate(texts)), "row_id long, text string")
+    search.build_index(table, str(tmp_path / "i"), 1)
+    want = sorted(r["row_id"] for r in search.search(table, query, ["text"]).collect())
+    assert sorted(r["row_id"] for r in search.search_index(spark, str(tmp_path / "i"), query).collect()) == want
+
+
+@pytest.mark.parametrize("pairs", [1, 20, 10**6])
+def test_words_of_rows_in_any_order(monkeypatch, pairs):
+    """Whatever a task holds at once and wherever batches end, each word has each block once, in order, and one first part."""
+    monkeypatch.setattr(search, "PAIRS", pairs)
+    monkeypatch.setattr(search, "PART", 4)
+    rng = random.Random(pairs)
+    rows = [(rng.randrange(14), " ".join(rng.choice(["a", "b_1", "Été", "naïve—so", "日本", "c\x00d", "x"]) for _ in range(rng.randint(0, 5))).encode() + rng.choice([b"", b" \xff\xfez"])) for _ in range(80)]
+    batches = [pa.RecordBatch.from_pylist([{"block": b, "text": t} for b, t in rows[k : k + 7]]) for k in range(0, 80, 7)]
+    cut = [r for batch in search._cut(search.runs_pattern())(iter(batches)) for r in batch.to_pylist()]
+    cut.sort(key=lambda r: (r["token"], r["part"]))
+    schema = pa.schema({"token": pa.string(), "part": pa.int64(), "blocks": pa.list_(pa.int64())})
+    merged = [r for batch in search._merged(iter([pa.RecordBatch.from_pylist(cut[k : k + 3], schema) for k in range(0, len(cut), 3)])) for r in batch.to_pylist()]
+    want = {}
+    for block, text in rows:
+        for token in re.findall(r"\w+", text.decode("utf-8", "replace")):
+            want.setdefault((token, block // 4), set()).add(block)
+    assert [((r["token"], r["part"]), r["blocks"]) for r in merged] == [(k, sorted(want[k])) for k in sorted(want)]
+    assert [r["first"] for r in merged] == [k == 0 or r["token"] != merged[k - 1]["token"] for k, r in enumerate(merged)]
