@@ -77,16 +77,19 @@ def row_diff(a: DataFrame, b: DataFrame, row_id: str | None = "row_id") -> DataF
     Set semantics: a repeated row is no difference. Rows compare null-safely and exactly.
     """
     shared = [f.name for f in a.schema if f.name in b.columns and b.schema[f.name].dataType == f.dataType and f.name != row_id]
-    left, right = (t.select(*[quoted(c) for c in shared]).distinct() for t in (a, b))
+    was = unused("__was", shared)
+    left, right = (t.select(*[quoted(c) for c in shared], F.lit(old).alias(was)) for t, old in ((a, True), (b, False)))
+    return _one_sided(left.unionByName(right), was)
 
-    def minus(x: DataFrame, y: DataFrame) -> DataFrame:
-        own = unused("__", shared)
-        names = [f"{own}{k}" for k in range(len(shared))]
-        same = F.struct(*[quoted(c) for c in shared]).eqNullSafe(F.struct(*[F.col(n).alias(c) for n, c in zip(names, shared, strict=True)]))
-        return x.join(y.toDF(*names), same, "left_anti")
 
-    removed, added = minus(left, right), minus(right, left)
-    return removed.withColumn("side", F.lit("removed")).unionByName(added.withColumn("side", F.lit("added")))
+def _one_sided(rows: DataFrame, was: str) -> DataFrame:
+    """The rows that only one side has, each once, with ``side``; ``was`` tells the sides apart. Each row goes through one shuffle."""
+    names = [c for c in rows.columns if c != was]
+    own = unused("__is_", names)
+    has = lambda old: F.coalesce(F.bool_or(quoted(was) if old else ~quoted(was)), F.lit(False))
+    held = rows.groupBy(*[quoted(c) for c in names]).agg(has(True).alias(f"{own}old"), has(False).alias(f"{own}new"))
+    side = F.when(F.col(f"{own}old"), "removed").otherwise("added")
+    return held.where(F.col(f"{own}old") != F.col(f"{own}new")).select(*[quoted(c) for c in names], side.alias("side"))
 
 
 def diff(a: DataFrame, b: DataFrame, row_id: str | None = "row_id", samples: int = 5) -> dict:
@@ -237,7 +240,8 @@ class Versions:
             parts.append(df.select(quoted(self.row_id), F.col(names[0]).alias("old"), F.col(names[1]).alias("new"), F.lit(k).alias("__at")))
         if len(parts) == 1:
             return parts[0].drop("__at")
-        held = reduce(lambda x, y: x.unionByName(y), parts).groupBy(quoted(self.row_id))
+        # Dealt by row number first: a run has a number once, so that grouping before the shuffle would only sort its rows once more.
+        held = reduce(lambda x, y: x.unionByName(y), parts).repartition(quoted(self.row_id)).groupBy(quoted(self.row_id))
         both = held.agg(F.min_by(F.struct("old"), "__at").alias("first"), F.max_by(F.struct("new"), "__at").alias("last"))
         return both.select(quoted(self.row_id), "first.old", "last.new").where(~F.col("old").eqNullSafe(F.col("new")))
 
@@ -249,8 +253,13 @@ class Versions:
         last = self._composed([(p, True) for p, _ in reversed(runs)])
         if sum(size for _, size in runs) < SMALL:
             last = F.broadcast(last)
-        kept = held.join(last.select(quoted(self.row_id)), self.row_id, "left_anti").select(held.columns)
-        return kept.unionByName(last.where("new IS NOT NULL").select("new.*").select(held.columns))
+            kept = held.join(last.select(quoted(self.row_id)), self.row_id, "left_anti").select(held.columns)
+            return kept.unionByName(last.where("new IS NOT NULL").select("new.*").select(held.columns))
+        # Both at once, so that the runs are composed once.
+        own, new = unused("__id", held.columns), unused("__new", held.columns)
+        both = held.join(last.select(quoted(self.row_id).alias(own), F.col("new").alias(new)), quoted(self.row_id) == F.col(own), "full_outer")
+        there = both.where(F.col(own).isNull() | F.col(new).isNotNull())
+        return there.select(*[F.when(F.col(own).isNull(), quoted(c)).otherwise(F.col(new)[c]).alias(c) for c in held.columns])
 
     def _buckets(self, commit: Commit) -> int:
         return int(commit.attempt.split("-")[1])
@@ -424,8 +433,12 @@ class Versions:
         found = self._changes(commits, a, b)
         if found is None:
             return row_diff(self._table(commits, a), self._table(commits, b), self.row_id)
-        sides = [found.where(f"{x} IS NOT NULL").select(f"{x}.*").drop(self.row_id) for x in ("old", "new")]
-        out = row_diff(*sides, None)
+        # The rows of both sides from one reading of the changes.
+        sides = F.array(*[F.struct(F.col(x).alias("row"), F.lit(x == "old").alias("was")) for x in ("old", "new")])
+        rows = found.select(F.explode(sides).alias("side")).where("side.row IS NOT NULL")
+        names = [f.name for f in found.schema["old"].dataType if f.name != self.row_id]
+        was = unused("__was", names)
+        out = _one_sided(rows.select(*[F.col("side.row")[c].alias(c) for c in names], F.col("side.was").alias(was)), was)
         if not exact:
             return out
         names = [c for c in out.columns if c != "side"]

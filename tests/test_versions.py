@@ -203,3 +203,36 @@ def test_checkout_shuffles_no_table(spark, table):
     plan = plan_of(table.checkout())
     assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
     assert "SortMergeJoin" not in plan
+
+
+def test_a_diff_composes_the_changes_once(spark, table):
+    """Both sides were composed, made distinct and joined each way: eight shuffles for two runs, now one to compose and one to compare."""
+    table.commit([{"op": "replace", "column": "y", "find": 3, "replace": 4}, {"op": "delete", "row_id": 7}])
+    table.commit([{"op": "update", "row_id": 8, "values": {"y": None}}, {"op": "update", "row_id": 9, "values": {"y": 4}}, {"op": "add", "row": {"x": None, "y": 1}}])
+    found = table.row_diff(0, 2)
+    assert plan_of(found).count("Exchange") == 2
+    want = {(x, y, "removed") for x, y in [("value 7", 2), *((f"value {k}", k % 5) for k in (3, 8, 13, 18, 23, 28, 33, 38)), ("value 9", 4)]}
+    want |= {(f"value {k}", 4, "added") for k in (3, 13, 18, 23, 28, 33, 38)} | {("value 8", None, "added"), (None, 1, "added")}
+    assert {tuple(r) for r in found.collect()} == want - {("value 9", 4, "removed")} and found.count() == len(want) - 1
+
+
+def test_a_row_diff_has_one_shuffle(spark):
+    schema = "row_id long, a double, b string"
+    nan = float("nan")
+    left = spark.createDataFrame([(1, None, None), (2, nan, "x"), (3, 1.0, "x"), (4, 1.0, "x"), (5, 2.0, None), (6, 0.0, "z")], schema)
+    right = spark.createDataFrame([(1, nan, "x"), (2, None, None), (3, 2.0, "y"), (4, 2.0, "y"), (5, -0.0, "z")], schema)
+    found = versions.row_diff(left, right)
+    assert plan_of(found).count("Exchange") == 1
+    assert sorted(tuple(map(str, r)) for r in found.collect()) == [("1.0", "x", "removed"), ("2.0", "None", "removed"), ("2.0", "y", "added")]
+    assert sorted(r["side"] for r in versions.row_diff(left, right.limit(0)).collect()) == ["removed"] * 5
+
+
+def test_large_runs_are_composed_once(spark, table, monkeypatch):
+    """Runs too large to broadcast join the table once; before, they were read for the rows that go and for those that come."""
+    table.commit([{"op": "replace", "column": "y", "find": 3, "replace": 4}, {"op": "delete", "row_id": 7}, {"op": "add", "row": {"x": "n", "y": None}}])
+    table.commit([{"op": "delete", "row_id": 8}, {"op": "update", "row_id": 3, "values": {"y": 3, "x": None}}, {"op": "add", "row": {"x": "m"}}])
+    want = [data(table.checkout(v)) for v in (1, 2)]
+    assert plan_of(table.checkout(2)).count("FileScan parquet") == 5
+    monkeypatch.setattr(versions, "SMALL", 0)
+    assert plan_of(table.checkout(2)).count("FileScan parquet") == 3
+    assert [data(table.checkout(v)) for v in (1, 2)] == want
