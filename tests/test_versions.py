@@ -206,7 +206,7 @@ def test_checkout_shuffles_no_table(spark, table):
 
 
 def test_a_diff_composes_the_changes_once(spark, table):
-    """Both sides were composed, made distinct and joined each way: eight shuffles for two runs, now one to compose and one to compare."""
+    """Both sides were composed, made distinct and joined each way: ten exchanges for two runs, now one to compose and one to compare."""
     table.commit([{"op": "replace", "column": "y", "find": 3, "replace": 4}, {"op": "delete", "row_id": 7}])
     table.commit([{"op": "update", "row_id": 8, "values": {"y": None}}, {"op": "update", "row_id": 9, "values": {"y": 4}}, {"op": "add", "row": {"x": None, "y": 1}}])
     found = table.row_diff(0, 2)
