@@ -56,6 +56,9 @@ LONG_TEXT = 64  # bytes from which a text is told apart by its hash
 SKETCH = 1024  # accuracy of the sketch of quantiles: ranks are right to about 0.3 %
 POINTS = 512  # values of a sketch that a histogram is made of
 ABOUT = 0.02  # relative standard deviation of counts of different values
+PLACES = 256  # bins that values are counted in beside the sketch; the closest merge first, so counts are exact on both sides of a gap wider than this part of the spread
+REACH = 0.01  # share of the spread that a quantile may lie from the mean of the bin that holds its rank
+NOISE = 1e-12  # relative rounding of a bin's mean
 
 
 def _counted(df: DataFrame) -> DataFrame:
@@ -114,6 +117,7 @@ def profile(df: DataFrame, exact: bool = True, bins: int = BINS) -> DataFrame:
     Two passes: one aggregate of scalars, and one table of each column's different values with their
     counts, made once, from which the rest follows. With ``exact`` false one pass, whatever the
     values are: counts of different values, quantiles and histogram come from sketches that tasks merge.
+    These quantiles are of about the right rank, and on the right side of each wide gap between values.
     """
     if not exact:
         return _sketched(df, bins)
@@ -143,16 +147,36 @@ def _sketched(df: DataFrame, bins: int) -> DataFrame:
     def sketch(f, number) -> Column:
         return (F.kll_sketch_agg_double(number, SKETCH) if kind(f.dataType) in ("integer", "float") else F.lit(None).cast("binary")).alias("sketch")
 
+    def places(f, number) -> Column:
+        return (F.histogram_numeric(number, F.lit(PLACES)) if kind(f.dataType) in ("integer", "float") else F.lit(None).cast("array<struct<x:double,y:double>>")).alias("places")
+
     some = F.col("n") > 0
-    share = lambda q: F.when(some, F.kll_sketch_get_quantile_double("sketch", F.lit(q)))
+    shares = (0.25, 0.5, 0.75)
+    ranks = [(0, nearest(0.25)), *[(1, middle) for middle in MIDDLE], (2, nearest(0.75))]
+
+    def mean(rank) -> Column:
+        """Of the bin that holds a rank."""
+        before = F.aggregate("places", F.struct(F.lit(0.0).alias("upto"), F.lit(0).alias("at")), lambda a, b: F.struct((a["upto"] + b["y"]).alias("upto"), (a["at"] + (a["upto"] + b["y"] <= rank(F.col("n"))).cast("int")).alias("at")))
+        return F.get("places", before["at"])["x"]
+
+    def held(k: int) -> Column:
+        """The sketch's value for a rank; where that isn't near the bin that holds the rank, the next value of the sketch that is, or the bin's mean."""
+        # A rank that is off by a few rows may lie across a gap, from a value to quite another one.
+        v, m = F.get("quartiles", F.lit(ranks[k][0])), F.get("means", F.lit(k))
+        reach = F.greatest((F.col("max") - F.col("min")) * REACH, F.abs(m) * NOISE)
+        near = F.filter(F.array_append("points", v), lambda p: F.abs(p - m) <= reach)
+        inside = lambda x, low, high: F.least(F.greatest(x, low), high)
+        return F.when(F.size(near) > 0, inside(v, F.array_min(near), F.array_max(near))).when(some, inside(m, F.col("min"), F.col("max")))
+
     # As many values at even ranks as ``POINTS`` stand for all.
     points = F.kll_sketch_get_quantile_double("sketch", F.array(*[F.lit((i + 0.5) / POINTS) for i in range(POINTS)]))
     width = (F.col("max") - F.col("min")) / bins
     below = lambda k: F.size(F.filter("points", lambda v: v <= F.when(k == bins, F.col("max")).otherwise(F.col("min") + width * k)))
     upto = F.transform(F.sequence(F.lit(1), F.lit(bins)), lambda k: F.round(below(k) * F.col("n") / POINTS).cast("long"))
     bars = F.transform(upto, lambda n, k: n - F.when(k > 0, F.get(upto, k - 1)).otherwise(F.lit(0)))
-    found = _scalars(df, about, sketch).withColumn("points", F.when(some, points))
-    return _shown(found.select("*", share(0.5).alias("median"), share(0.25).alias("q1"), share(0.75).alias("q3"), F.when(some, bars).alias("histogram")))
+    quartiles = F.kll_sketch_get_quantile_double("sketch", F.array(*[F.lit(q) for q in shares]))
+    found = _scalars(df, about, sketch, places).withColumns({"points": F.when(some, points), "quartiles": F.when(some, quartiles), "means": F.array(*[mean(rank) for _, rank in ranks])})
+    return _shown(found.select("*", held(0).alias("q1"), ((held(1) + held(2)) / 2).alias("median"), held(3).alias("q3"), F.when(some, bars).alias("histogram")))
 
 
 def nearest_ranks(stacked: DataFrame, shares: tuple[float, ...]) -> DataFrame:

@@ -56,3 +56,35 @@ def test_correlations_of_few_rows(spark):
     df = spark.createDataFrame([(1.0, 2.0, None), (2.0, None, 5.0)], "a double, b double, c double")
     assert sorted(map(tuple, profile.correlations(df).collect())) == [("a", "a", 1.0), ("b", "b", 1.0), ("c", "c", 1.0)]
     assert profile.correlations(df.limit(0)).count() == 3 and profile.correlations(df.select(F.col("a"))).count() == 0
+
+
+def test_an_approximate_median_keeps_to_its_side_of_a_gap(spark):
+    """Columns of which just over half the rows are 0, in twelve orders: a rank that is off by a few rows would give 1."""
+    n = 30_000
+    place = lambda k: F.col("id") * k % n
+    steps = [7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47]  # prime to n, so that each order has every place once
+    columns = [F.when(place(k) < n // 2 + 3, 0).otherwise(1).alias(f"c{k}") for k in steps]
+    halves = F.when(place(7) < n // 2, 0).otherwise(1).alias("halves")
+    rare = F.when(place(7) < n // 2 - 5, 0.0).when(place(7) < n // 2 + 5, 40.0).otherwise(100.0).alias("rare")
+    quarter = F.when(place(11) < n // 4 + 3, -5e9).otherwise(F.rand(3)).alias("quarter")
+    far = (F.when(place(13) < n // 2 + 3, F.randn(5)).otherwise(500 + F.randn(6))).alias("far")
+    df = spark.range(0, n, 1, 16).select(*columns, halves, rare, quarter, far)
+    found = {r["column"]: r for r in profile.profile(df, exact=False).collect()}
+    assert [found[f"c{k}"]["median"] for k in steps] == [0.0] * len(steps)
+    assert found["halves"]["median"] == 0.5 and found["rare"]["median"] == pytest.approx(40.0) and found["quarter"]["q1"] == -5e9
+    assert found["far"]["median"] < 10 and found["far"]["q3"] > 490
+
+
+def test_approximate_quantiles_keep_their_ranks(spark):
+    """Shapes whose values lie close to each other in places: whole numbers, few far ones, most in one bin, and one value in many parts."""
+    n = 40_000
+    shapes = [F.floor(F.rand(1) * 50).alias("whole"), F.exp(3 * F.randn(2)).alias("skewed"), F.when(F.col("id") == 5, 1e300).otherwise(F.randn(3)).alias("outlier"), F.when(F.col("id") % 2 == 0, 1e15 + F.floor(F.rand(4) * 3)).otherwise(1e15).alias("large"), F.lit(0.1).alias("one")]
+    df = spark.range(0, n, 1, 300).select(*shapes).localCheckpoint()
+    rows = np.array(df.collect(), dtype=float)
+    found = {r["column"]: r for r in profile.profile(df, exact=False).collect()}
+    for k, name in enumerate(df.columns):
+        values = np.sort(rows[:, k])
+        for q, share in (("median", 0.5), ("q1", 0.25), ("q3", 0.75)):
+            v = found[name][q]
+            assert np.searchsorted(values, v, "left") / n - 0.01 <= share <= np.searchsorted(values, v, "right") / n + 0.01, (name, q, v)
+    assert found["one"]["median"] == 0.1 and found["whole"]["median"] == np.median(rows[:, 0])
